@@ -233,11 +233,12 @@ def person_detail(
     labels: DataFrame | None = None,
     variant: str = "live",
 ) -> DataFrame:
-    """Lines of the detail view: ``person_id, section, rank, tie, text``.
+    """Lines of the detail view: ``person_id, section, rank, place, tie, text``.
 
     Sections are name, attribute, org_at_point and org; within a section lines
-    go by ``rank`` and ``tie``.  The older variant shows e-mail and id, and
-    attribute names without their category.
+    go by ``rank``, ``place`` (attributes in the order they were set) and
+    ``tie``.  The older variant shows e-mail and id, and attribute names
+    without their category.
     """
     people = graph.index.filter("type = 'person'")
     own = people.select(F.col("id").alias("person_id"), label_or_id(F.col("label"), F.col("id")).alias("own"), "email")
@@ -245,23 +246,24 @@ def person_detail(
         own = own.join(labels.select(F.col("id").alias("person_id"), "display"), "person_id", "left")
         own = own.withColumn("own", F.coalesce("display", "own")).drop("display")
 
-    def section(rows: DataFrame, name: str, rank: Column, tie: Column, text: Column) -> DataFrame:
+    def section(rows: DataFrame, name: str, rank: Column, tie: Column, text: Column, *more: Column) -> DataFrame:
         return rows.select(
             "person_id",
             F.lit(name).alias("section"),
             rank.cast("bigint").alias("rank"),
-            tie.cast("string").alias("tie"),
+            tie.alias("tie"),
             text.alias("text"),
+            *more,
         )
 
     zero, none = F.lit(0), F.lit("")
     suffix = F.when(F.col("value") != "1", F.concat(F.lit(": "), "value")).otherwise("")
     shown = active_attributes(person_attr, types).join(own.select("person_id"), "person_id", "left_semi")
-    order = F.format_string("%s|%020d|%020d", F.col("batch").cast("string"), "first_ord", "ord")
+    place = F.struct("batch", "first_ord", "ord").alias("place")
     parts = [section(own, "name", zero, none, F.col("own"))]
     if variant == "live":
         label = F.concat("category", F.lit(": "), "attr", suffix)
-        parts.append(section(shown, "attribute", zero, order, label))
+        parts.append(section(shown, "attribute", zero, none, label, place))
         parts.append(section(orgs_at_point, "org_at_point", -F.col("depth"), F.col("label"), F.col("label")))
         mine = all_orgs.join(own.select("person_id"), "person_id", "left_semi")
         parts.append(section(mine, "org", -F.col("depth"), F.col("org_id"), F.col("label")))
@@ -269,9 +271,9 @@ def person_detail(
         mails = own.filter(F.coalesce(F.col("email"), F.lit("")) != "")
         parts.append(section(mails, "email", zero, none, F.col("email")))
         parts.append(section(own, "id", zero, none, F.col("person_id")))
-        parts.append(section(shown, "attribute", zero, order, F.concat("attr", suffix)))
+        parts.append(section(shown, "attribute", zero, none, F.concat("attr", suffix), place))
         parts.append(section(orgs_at_point, "org", -F.col("depth"), F.col("label"), F.col("label")))
     lines = parts[0]
     for part in parts[1:]:
-        lines = lines.unionByName(part)
+        lines = lines.unionByName(part, allowMissingColumns=True)
     return lines

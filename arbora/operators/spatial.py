@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,9 @@ PARTIAL = "root_id STRING, x DOUBLE, y DOUBLE"
 MERGE_BUCKETS = 64
 GRID = 32
 
+# The task functions travel with the plan, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def convex_hull(points: np.ndarray) -> np.ndarray:
     """Corner points, from the rightmost one over the lower side and back over the

@@ -16,27 +16,46 @@ def _size(spark: SparkSession, key: str) -> int:
 def line_order(spark: SparkSession) -> Column:
     """Position of a line within its file, without a shuffle.
 
-    A file is read in splits that start at ``file_block_start``; within a split
-    lines come in order.  Splits are never smaller than ``unit`` bytes, so
+    A file is read in splits that start at ``block``; within a split lines come
+    in order.  Splits are never smaller than ``unit`` bytes, so
     start // unit tells them apart; the low 31 bits count the rows of the task.
     """
     unit = min(_size(spark, "split"), _size(spark, "open"))
     row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 31) - 1))
-    block = F.floor(F.col("_metadata.file_block_start") / F.lit(max(unit, 1))).cast("bigint")
+    block = F.floor(F.col("block") / F.lit(max(unit, 1))).cast("bigint")
     return F.shiftleft(block, 31).bitwiseOR(row)
 
 
-def read_attribute_files(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
-    """Lines ``file, ord, line`` and the files ``file, length``, empty ones included."""
-    lines = spark.read.option("lineSep", "\n").text(paths)
-    lines = lines.select(
-        F.col("_metadata.file_path").alias("file"),
-        line_order(spark).alias("ord"),
+def source_path(path: Column) -> Column:
+    """The dropped file; part files belong to the folder they lie in."""
+    return F.regexp_replace(path, r"/part-[^/]*$", "")
+
+
+def text_lines(text: DataFrame) -> DataFrame:
+    """``file, part, block, time, line`` of a text source read line by line, batch or streaming."""
+    return text.select(
+        source_path(F.col("_metadata.file_path")).alias("file"),
+        F.col("_metadata.file_name").alias("part"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.col("_metadata.file_modification_time").alias("time"),
         F.regexp_replace("value", "\r$", "").alias("line"),
     )
+
+
+def with_order(spark: SparkSession, lines: DataFrame) -> DataFrame:
+    """Add ``ord``: the part file and the position in it, which sorts like the
+    lines of one long file.  Must see the lines as they were read, unshuffled."""
+    ord_ = F.struct("part", line_order(spark).alias("line")).alias("ord")
+    return lines.select("file", ord_, "time", "line")
+
+
+def read_attribute_files(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """Lines ``file, ord, line`` and the files ``file, length``, empty ones included."""
+    text = spark.read.option("lineSep", "\n").option("recursiveFileLookup", True).text(paths)
     # only the listing is used: the content column is pruned away
-    files = spark.read.format("binaryFile").load(paths)
-    return lines, files.select(F.col("_metadata.file_path").alias("file"), "length")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
+    listed = files.groupBy(source_path(F.col("_metadata.file_path")).alias("file")).agg(F.sum("length").alias("length"))
+    return with_order(spark, text_lines(text)).drop("time"), listed
 
 
 def category_from_path(path: Column) -> Column:

@@ -14,23 +14,28 @@ from pyspark.sql.streaming import StreamingQuery
 from ..graph import Graph
 from ..operators.attributes import match_attributes, merge_attributes
 from ..session import empty_like
-from ..sources.attributes import category_from_file_name, line_order, parse_attribute_lines
+from ..sources.attributes import category_from_file_name, parse_attribute_lines, text_lines, with_order
 
+PLACE = "STRUCT<part: STRING, line: BIGINT>"
 DELTA = (
     "person_id STRING, category STRING, attr STRING, value STRING, "
-    "batch STRUCT<batch: BIGINT, time: TIMESTAMP, file: STRING>, first_ord BIGINT, ord BIGINT"
+    f"batch STRUCT<batch: BIGINT, time: TIMESTAMP, file: STRING>, first_ord {PLACE}, ord {PLACE}"
 )
 
 
 def _ingest(graph: Graph, batch: DataFrame, number: int, store: str) -> None:
+    batch = with_order(graph.spark, batch)
+    # one row per file; parts of a folder count as one file, as old as its oldest part
+    times = batch.groupBy("file").agg(F.min("time").alias("time"))
+    load = F.struct(F.lit(number).cast("bigint").alias("batch"), "time", "file")
     # a file is one load: entries of different files never mix
-    loads = batch.withColumn("load", F.struct(F.lit(number).cast("bigint").alias("batch"), "time", "file"))
-    lines = loads.select(F.struct("category", "load").alias("category"), "line", "ord")
-    entries = parse_attribute_lines(lines)
-    matched = match_attributes(graph, entries).person_attr
+    lines = batch.drop("time").join(times, "file").withColumn("load", load)
+    name = category_from_file_name(F.col("file")).alias("name")
+    keyed = lines.select(F.struct(name, "load").alias("category"), "line", "ord")
+    matched = match_attributes(graph, parse_attribute_lines(keyed)).person_attr
     rows = matched.select(
         "person_id",
-        F.col("category.category").alias("category"),
+        F.col("category.name").alias("category"),
         "attr",
         "value",
         F.col("category.load").alias("batch"),
@@ -46,16 +51,9 @@ def ingest_attribute_drops(graph: Graph, folder: str, store: str, files_per_batc
     reader = spark.readStream.format("text").option("lineSep", "\n").option("recursiveFileLookup", True)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    file = F.col("_metadata.file_path")
-    lines = reader.load(folder).select(
-        category_from_file_name(F.col("_metadata.file_name")).alias("category"),
-        F.col("_metadata.file_modification_time").alias("time"),
-        file.alias("file"),
-        line_order(spark).alias("ord"),
-        F.regexp_replace("value", "\r$", "").alias("line"),
-    )
     return (
-        lines.writeStream.option("checkpointLocation", f"{store}/checkpoint")
+        text_lines(reader.load(folder))
+        .writeStream.option("checkpointLocation", f"{store}/checkpoint")
         .trigger(availableNow=True)
         .foreachBatch(lambda batch, number: _ingest(graph, batch, number, store))
         .start()
