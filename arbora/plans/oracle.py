@@ -105,7 +105,7 @@ ends AS (
   SELECT DISTINCT root_id, x, unnest([lo, hi]) AS y
   FROM (SELECT root_id, x, min(y) AS lo, max(y) AS hi FROM members GROUP BY 1, 2)),
 sides AS (
-  SELECT a.root_id, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by
+  SELECT a.root_id, a.x AS from_x, a.y AS from_y, b.x AS to_x, b.y AS to_y
   FROM ends a JOIN ends b ON a.root_id = b.root_id AND (a.x <> b.x OR a.y <> b.y)
   JOIN counts k ON k.root_id = a.root_id AND k.n > 2
   WHERE NOT EXISTS (
@@ -118,8 +118,8 @@ sides AS (
       AND (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) > 0)),
 at_point AS (
   SELECT pos.id, s.root_id AS org_id
-  FROM pos JOIN sides s ON (ay > y) <> (by > y)
-  WHERE x < (bx - ax) * (y - ay) / (by - ay) + ax
+  FROM pos JOIN sides s ON (from_y > y) <> (to_y > y)
+  WHERE x < (to_x - from_x) * (y - from_y) / (to_y - from_y) + from_x
   GROUP BY ALL HAVING count(*) % 2 = 1)
 """
 
@@ -213,8 +213,9 @@ def _distance(name: str, nodes: str, links: str, roots) -> str:
     SELECT source AS v, target AS w FROM {links} UNION SELECT target, source FROM {links}),
   walk AS (
     SELECT id, 0 AS level FROM {nodes} WHERE id IN ({listed})
-    UNION SELECT n.id, level + 1 FROM walk JOIN pairs ON v = walk.id JOIN {nodes} n ON n.id = w WHERE level < 12)
-  SELECT n.id, coalesce(min(level), 999) AS level FROM {nodes} n LEFT JOIN walk ON walk.id = n.id GROUP BY 1)
+    UNION SELECT n.id, walk.level + 1 FROM walk JOIN pairs ON v = walk.id JOIN {nodes} n ON n.id = w
+    WHERE walk.level < 12)
+  SELECT n.id, coalesce(min(walk.level), 999) AS level FROM {nodes} n LEFT JOIN walk ON walk.id = n.id GROUP BY 1)
 """
 
 
@@ -274,7 +275,7 @@ tree AS (
 
 PER_PERSON = """
 SELECT id AS person_id, coalesce(n, 0) AS active_count, coalesce(n, 0) > 0 AS has_attributes,
-       greatest(0, coalesce(n, 0) - 1) AS extra_rings, 9.5 + greatest(0, coalesce(n, 0) - 1) * 7.0 AS outer_radius
+       greatest(0, coalesce(n, 0) - 1) AS extra_rings, CAST(9.5 + greatest(0, coalesce(n, 0) - 1) * 7 AS DOUBLE) AS outer_radius
 FROM idx LEFT JOIN (SELECT person_id, count(*) AS n FROM shown {where} GROUP BY 1) ON person_id = id WHERE type = 'person'
 """
 
@@ -366,7 +367,7 @@ def oracle_sql() -> dict[str, str]:
         "cluster_memberships": _ask("SELECT root_id, person_id, org_id, x, y FROM members", HULLS),
         "cluster_order": _ask("SELECT root_id AS org_id, depth FROM counts JOIN depth ON id = root_id", HULLS),
         "group_hull": _ask(
-            "SELECT DISTINCT root_id, n, ax AS x, ay AS y FROM sides JOIN counts USING (root_id) "
+            "SELECT DISTINCT root_id, n, from_x AS x, from_y AS y FROM sides JOIN counts USING (root_id) "
             "UNION ALL SELECT root_id, n, x, y FROM members JOIN counts USING (root_id) WHERE n < 3",
             HULLS,
         ),
@@ -375,7 +376,7 @@ def oracle_sql() -> dict[str, str]:
             "FROM (SELECT *, sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy)) AS d FROM corners "
             "JOIN (SELECT root_id, avg(x) AS cx, avg(y) AS cy FROM corners GROUP BY 1) USING (root_id))",
             HULLS,
-            "corners AS (SELECT DISTINCT root_id, ax AS x, ay AS y FROM sides)",
+            "corners AS (SELECT DISTINCT root_id, from_x AS x, from_y AS y FROM sides)",
         ),
         "hulls_at_point": _ask(
             "SELECT a.id, org_id, depth, label FROM at_point a JOIN depth d ON d.id = org_id JOIN idx i ON i.id = org_id",

@@ -31,7 +31,7 @@ SELECT '', s_name, NULL, false, 2000000000 + s_suppkey FROM {supplier}
 ORGS = """
 SELECT concat('n', n_nationkey) AS id, n_name AS label, CAST(n_nationkey AS BIGINT) AS ord FROM {nation}
 UNION ALL SELECT concat('r', r_regionkey), r_name, 1000 + r_regionkey FROM {region}
-UNION ALL SELECT 'w', 'WORLD', 2000 FROM {region} GROUP BY ALL
+UNION ALL SELECT min('w'), min('WORLD'), min(2000) FROM {region}
 UNION ALL SELECT concat('s', s_suppkey), s_name, 3000 + s_suppkey FROM {supplier}
 """
 
