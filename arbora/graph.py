@@ -26,6 +26,7 @@ class Graph:
     index: DataFrame
     links: DataFrame
     org_parent: DataFrame
+    email_index: DataFrame
     _edges: dict[str, Edges] = field(default_factory=dict, repr=False)
 
     @property
@@ -40,10 +41,6 @@ class Graph:
     def person_org(self) -> DataFrame:
         return person_orgs(self.links)
 
-    @property
-    def email_index(self) -> DataFrame:
-        return email_index(self.nodes)
-
     @property
     def types(self) -> DataFrame:
         return self.index.select("id", "type")
@@ -94,4 +91,5 @@ def build_graph(persons: DataFrame, orgs: DataFrame, links: DataFrame) -> Graph:
     index = materialize(node_index(nodes), "index").df
     clean = materialize(normalize_links(links, index), "links").df
     parents = materialize(org_parent(clean), "org_parent").df
-    return Graph(nodes, index, clean, parents)
+    mails = materialize(email_index(nodes), "email_index").df
+    return Graph(nodes, index, clean, parents, mails)

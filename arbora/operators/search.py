@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import collate, label_or_id, trimmed
@@ -26,9 +26,9 @@ def search_nodes(graph: Graph, term: str, labels: DataFrame | None = None, limit
         nodes = nodes.filter(F.lit(False))
     hit = F.lower("label").contains(wanted) | F.lower("id").contains(wanted)
     first = nodes.filter(hit).orderBy("ord").limit(limit)
-    # at most `limit` rows from here on
-    reached = first.agg((F.count(F.lit(1)) >= limit).alias("truncated")).scalar()
-    return first.withColumn("truncated", reached).orderBy(collate(F.col("label")), "ord")
+    # the window sees at most `limit` rows
+    found = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
+    return first.withColumn("truncated", found >= limit).orderBy(collate(F.col("label")), "ord")
 
 
 def resolve_node(graph: Graph, texts: DataFrame) -> DataFrame:
@@ -36,9 +36,9 @@ def resolve_node(graph: Graph, texts: DataFrame) -> DataFrame:
     asked = texts.select("text").distinct().withColumn("term", F.lower(trimmed(F.lower("text"))))
     by_mail = graph.email_index.select(F.col("email").alias("term"), F.col("person_id").alias("mail_hit"))
     by_id = graph.index.select(F.col("id").alias("term"), F.col("id").alias("id_hit"))
-    by_label = graph.index.groupBy(F.lower(F.coalesce("label", F.lit(""))).alias("term")).agg(
-        F.min_by("id", "ord").alias("label_hit")
-    )
+    labelled = graph.index.select("id", "ord", F.lower(F.coalesce("label", F.lit(""))).alias("term"))
+    wanted = labelled.join(asked.select("term").distinct(), "term", "left_semi")
+    by_label = wanted.groupBy("term").agg(F.min_by("id", "ord").alias("label_hit"))
     found = asked.join(by_mail, "term", "left").join(by_id, "term", "left").join(by_label, "term", "left")
     hit = F.coalesce("mail_hit", "id_hit", "label_hit")
     return found.select("text", F.when(F.col("text") != "", hit).alias("id"))

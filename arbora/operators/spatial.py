@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import collate
 from ..schema import CLUSTER_PAD, NODE_RADIUS
+from ..session import materialize
 
 POINTS = "ARRAY<STRUCT<x: DOUBLE, y: DOUBLE>>"
-PARTIAL = "root_id STRING, x DOUBLE, y DOUBLE"
+PARTIAL = "root_id STRING, x DOUBLE, y DOUBLE, ord BIGINT, n BIGINT"
 MERGE_BUCKETS = 64
 GRID = 32
 
@@ -47,28 +48,43 @@ def convex_hull(points: np.ndarray) -> np.ndarray:
     return np.array(lower[::-1] + upper[::-1][1:-1])
 
 
+def _reduced(root: str, rows: pd.DataFrame) -> pd.DataFrame:
+    """The rows of a group with fewer points and the same hull.
+
+    ``n`` adds up to the number of entries.  Up to two entries stay as they
+    are, because they are drawn differently.
+    """
+    entries = int(rows["n"].sum())
+    if entries <= 2:
+        return rows
+    corners = convex_hull(rows[["x", "y"]].to_numpy())
+    kept = pd.DataFrame({"root_id": root, "x": corners[:, 0], "y": corners[:, 1], "ord": 0, "n": 0})
+    kept.loc[0, "n"] = entries
+    return kept
+
+
 def _shrink(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Hull per group of everything this task reads."""
-    corners: dict[str, np.ndarray] = {}
+    """Every group of this task, reduced."""
+    groups: dict[str, pd.DataFrame] = {}
     for batch in batches:
-        for root, rows in batch.groupby("root_id", sort=False):
-            points = rows[["x", "y"]].to_numpy()
-            if root in corners:
-                points = np.vstack([corners[root], points])
-            corners[root] = convex_hull(points)
-    for root, points in corners.items():
-        yield pd.DataFrame({"root_id": root, "x": points[:, 0], "y": points[:, 1]})
+        for root, rows in batch.assign(n=1).groupby("root_id", sort=False):
+            if root in groups:
+                rows = pd.concat([groups[root], rows])
+            groups[root] = _reduced(root, rows)
+    yield from groups.values()
 
 
 def _merge(rows: pd.DataFrame) -> pd.DataFrame:
-    points = convex_hull(rows[["x", "y"]].to_numpy())
-    return pd.DataFrame({"root_id": rows["root_id"].iloc[0], "x": points[:, 0], "y": points[:, 1]})
+    return _reduced(rows["root_id"].iloc[0], rows)
 
 
 def _outline(rows: pd.DataFrame) -> pd.DataFrame:
-    points = convex_hull(rows[["x", "y"]].to_numpy())
-    outline = [{"x": x, "y": y} for x, y in points] if len(points) > 2 else []
-    return pd.DataFrame({"root_id": [rows["root_id"].iloc[0]], "outline": [outline]})
+    rows = _merge(rows).sort_values("ord", kind="stable")
+    entries = int(rows["n"].sum())
+    points = [{"x": x, "y": y} for x, y in zip(rows["x"], rows["y"])]
+    if entries > 2 and len(points) < 3:
+        points = []
+    return pd.DataFrame({"root_id": [rows["root_id"].iloc[0]], "n": [entries], "points": [points]})
 
 
 def hull_vertices(members: DataFrame) -> DataFrame:
@@ -78,21 +94,10 @@ def hull_vertices(members: DataFrame) -> DataFrame:
     every task first shrinks what it reads, groups that many tasks share are
     merged over several buckets, and only corner points reach the last step.
     """
-    small = members.groupBy("root_id").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min_by(F.struct("x", "y"), F.struct("ord", "person_id")).alias("first"),
-        F.max_by(F.struct("x", "y"), F.struct("ord", "person_id")).alias("last"),
-    )
-    partial = members.select("root_id", "x", "y").mapInPandas(_shrink, PARTIAL)
+    partial = members.select("root_id", "x", "y", "ord").mapInPandas(_shrink, PARTIAL)
     spread = partial.withColumn("bucket", F.pmod(F.xxhash64("x", "y"), F.lit(MERGE_BUCKETS)))
-    merged = spread.groupBy("root_id", "bucket").applyInPandas(_merge, PARTIAL)
-    outlines = merged.groupBy("root_id").applyInPandas(_outline, f"root_id STRING, outline {POINTS}")
-    points = (
-        F.when(F.col("n") == 1, F.array("first"))
-        .when(F.col("n") == 2, F.array("first", "last"))
-        .otherwise(F.col("outline"))
-    )
-    return small.join(outlines, "root_id").select("root_id", "n", points.cast(POINTS).alias("points"))
+    merged = spread.groupBy("root_id", "bucket").applyInPandas(lambda rows: _merge(rows.drop(columns="bucket")), PARTIAL)
+    return merged.groupBy("root_id").applyInPandas(_outline, f"root_id STRING, n BIGINT, points {POINTS}")
 
 
 def padded_polygon(n: Column, points: Column, pad: float, radius: float = NODE_RADIUS) -> Column:
@@ -139,55 +144,96 @@ def group_hull(members: DataFrame, pad: float = CLUSTER_PAD, radius: float = NOD
     return hull_vertices(members).select("root_id", "n", polygon)
 
 
-def _inside(polygon: Column, x: Column, y: Column) -> Column:
-    """Even-odd rule: how many sides lie to the right of the point."""
+def _sides(polygon: Column) -> Column:
     following = F.concat(F.slice(polygon, 2, F.size(polygon)), F.slice(polygon, 1, 1))
+    return F.arrays_zip(polygon.alias("a"), following.alias("b"))
+
+
+def _inside(sides: Column, x: Column, y: Column) -> Column:
+    """Even-odd rule: how many sides lie to the right of the point."""
 
-    def crossed(a: Column, b: Column) -> Column:
+    def crossed(side: Column) -> Column:
+        a, b = side["a"], side["b"]
         at = F.try_divide((a["x"] - b["x"]) * (y - b["y"]), a["y"] - b["y"]) + b["x"]
         return ((a["y"] > y) != (b["y"] > y)) & F.coalesce(x < at, F.lit(False))
 
-    hits = F.filter(F.zip_with(polygon, following, crossed), lambda hit: hit)
-    return F.size(hits) % 2 == 1
+    return F.size(F.filter(sides, crossed)) % 2 == 1
+
+
+def _touches(side: Column, x0: Column, x1: Column, y0: Column, y1: Column) -> Column:
+    """False only if the side certainly stays out of the box."""
+    a, b = side["a"], side["b"]
+    apart = (
+        (F.greatest(a["x"], b["x"]) < x0)
+        | (F.least(a["x"], b["x"]) > x1)
+        | (F.greatest(a["y"], b["y"]) < y0)
+        | (F.least(a["y"], b["y"]) > y1)
+    )
+
+    def turn(x: Column, y: Column) -> Column:
+        return (b["x"] - a["x"]) * (y - a["y"]) - (b["y"] - a["y"]) * (x - a["x"])
+
+    turns = [turn(x, y) for x in (x0, x1) for y in (y0, y1)]
+    return ~(apart | (F.least(*turns) > 0) | (F.greatest(*turns) < 0))
 
 
 def hulls_at_point(points: DataFrame, hulls: DataFrame, allowed: DataFrame, orgs: DataFrame) -> DataFrame:
     """``id, org_id, depth, label`` of the allowed hulls that contain each point.
 
-    ``orgs`` has ``org_id, depth, label``.  Hulls and points meet by grid cell,
-    then by bounding box, and only then are the sides counted.
+    ``orgs`` has ``org_id, depth, label``.  Hulls are laid over a grid once.  A
+    cell no side touches lies wholly inside or outside its hull, so its points
+    need no test; in the other cells the sides are counted.
     """
     shapes = hulls.filter(F.size("polygon") >= 3).withColumnRenamed("root_id", "org_id")
     shapes = shapes.join(allowed.select("org_id").distinct(), "org_id", "left_semi").join(orgs, "org_id")
     xs, ys = F.col("polygon")["x"], F.col("polygon")["y"]
-    boxed = shapes.select(
+    outlined = shapes.select(
         "org_id",
         "depth",
         "label",
-        "polygon",
+        _sides(F.col("polygon")).alias("sides"),
         F.array_min(xs).alias("x0"),
         F.array_max(xs).alias("x1"),
         F.array_min(ys).alias("y0"),
         F.array_max(ys).alias("y1"),
     )
+    boxed = materialize(outlined, "boxed").df
     west, east, south, north = boxed.agg(F.min("x0"), F.max("x1"), F.min("y0"), F.max("y1")).first()
     if west is None:
         west, east, south, north = 0.0, 1.0, 0.0, 1.0
+    across, along = (east - west) / GRID or 1.0, (north - south) / GRID or 1.0
 
-    def cell(value: Column, low: float, high: float) -> Column:
-        width = (high - low) / GRID or 1.0
+    def cell(value: Column, low: float, width: float) -> Column:
         return F.floor((value - low) / width).cast("int")
 
-    cells = boxed.withColumn("cx", F.explode(F.sequence(cell(F.col("x0"), west, east), cell(F.col("x1"), west, east))))
-    cells = cells.withColumn(
-        "cy", F.explode(F.sequence(cell(F.col("y0"), south, north), cell(F.col("y1"), south, north)))
+    def edge(number: Column, low: float, width: float) -> Column:
+        return F.lit(low) + number * F.lit(width)
+
+    def covered(first: str, last: str, low: float, width: float) -> Column:
+        return F.explode(F.sequence(cell(F.col(first), low, width), cell(F.col(last), low, width)))
+
+    cx, cy = F.col("cx"), F.col("cy")
+    margin = 1e-6
+    box = (
+        edge(cx - margin, west, across),
+        edge(cx + 1 + margin, west, across),
+        edge(cy - margin, south, along),
+        edge(cy + 1 + margin, south, along),
+    )
+    cells = (
+        boxed.withColumn("cx", covered("x0", "x1", west, across))
+        .withColumn("cy", covered("y0", "y1", south, along))
+        .withColumn("cut", F.exists("sides", lambda side: _touches(side, *box)))
+        .filter(F.col("cut") | _inside(F.col("sides"), edge(cx + 0.5, west, across), edge(cy + 0.5, south, along)))
+        .select("org_id", "depth", "label", "cx", "cy", F.when(F.col("cut"), F.col("sides")).alias("sides"))
     )
+    cells = materialize(cells, "cells").df
     located = points.filter("x IS NOT NULL AND y IS NOT NULL").select(
-        "id", "x", "y", cell(F.col("x"), west, east).alias("cx"), cell(F.col("y"), south, north).alias("cy")
+        "id", "x", "y", cell(F.col("x"), west, across).alias("cx"), cell(F.col("y"), south, along).alias("cy")
     )
-    near = located.join(cells, ["cx", "cy"]).filter("x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1")
     return (
-        near.filter(_inside(F.col("polygon"), F.col("x"), F.col("y")))
+        located.join(cells, ["cx", "cy"])
+        .filter(F.col("sides").isNull() | _inside(F.col("sides"), F.col("x"), F.col("y")))
         .select("id", "org_id", "depth", "label")
         .orderBy("id", F.desc("depth"), collate(F.col("label")), "org_id")
     )

@@ -124,16 +124,16 @@ def typed_bfs(graph: Graph, roots: DataFrame, depth: int, mode: str) -> DataFram
 def legend_orgs(graph: Graph, reach: DataFrame) -> DataFrame:
     """``root_id, org_id, level``: orgs of the reached persons that are not the
     direct parent of another org of the same person, with the nearest level."""
-    parents = graph.org_parent
+    people = graph.types.filter("type = 'person'").select("id")
+    reached = reach.join(people, "id", "left_semi").withColumnRenamed("id", "person_id")
     member = graph.person_org.select("person_id", "org_id")
+    member = member.join(reached.select("person_id").distinct(), "person_id", "left_semi")
     above = (
-        member.join(parents.withColumnRenamed("child", "org_id"), "org_id")
+        member.join(graph.org_parent.withColumnRenamed("child", "org_id"), "org_id")
         .filter("parent <> org_id")
         .select("person_id", F.col("parent").alias("org_id"))
     )
     lowest = member.join(above, ["person_id", "org_id"], "left_anti")
-    people = graph.types.filter("type = 'person'").select("id")
-    reached = reach.join(people, "id", "left_semi").withColumnRenamed("id", "person_id")
     return reached.join(lowest, "person_id").groupBy("root_id", "org_id").agg(F.min("level").alias("level"))
 
 

@@ -12,7 +12,7 @@ import tempfile
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # AQE splits hot partitions of joins at run time, also where an aggregate follows.
@@ -28,7 +28,11 @@ _local_base: dict[str, str] = {}
 
 @dataclass(frozen=True)
 class Stored:
-    """A written intermediate table and the number of its rows."""
+    """A written intermediate table and the number of its rows.
+
+    The count is taken while writing; a repeated task may raise it, but an
+    empty table always counts 0.
+    """
 
     df: DataFrame
     rows: int
@@ -62,10 +66,9 @@ def materialize(df: DataFrame, name: str = "table") -> Stored:
     """Write ``df`` to the working folder and read it back."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
-    stored = spark.read.schema(df.schema).parquet(path)
-    # answered from the parquet footers
-    return Stored(stored, stored.count(), path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    return Stored(spark.read.schema(df.schema).parquet(path), seen.get["rows"], path)
 
 
 def read_stored(spark: SparkSession, like: Stored, paths: list[str]) -> DataFrame:

@@ -76,9 +76,18 @@ def not_blank(line: Column) -> Column:
     return trimmed(line) != ""
 
 
-def _fields(line: Column, tabbed: Column) -> Column:
+def _has_tab(line: Column) -> Column:
+    return F.contains(line, F.lit("\t"))
+
+
+def _field(line: Column, tabbed: Column, number: int) -> Column:
     parts = F.when(tabbed, F.split(line, "\t")).otherwise(F.split(line, ","))
-    return F.transform(parts, trimmed)
+    return trimmed(F.get(parts, F.lit(number)))
+
+
+def _several_fields(line: Column, tabbed: Column) -> Column:
+    """A line with a separator has at least two fields; no need to split it to know."""
+    return F.when(tabbed, _has_tab(line)).otherwise(F.contains(line, F.lit(",")))
 
 
 def split_attribute_lines(lines: DataFrame) -> DataFrame:
@@ -87,23 +96,28 @@ def split_attribute_lines(lines: DataFrame) -> DataFrame:
     Each line picks its own separator: tab if it has one, else comma.  A
     missing value is "1", an empty one stays empty.
     """
-    parts = lines.filter(not_blank(F.col("line"))).withColumn("f", _fields(F.col("line"), F.contains("line", F.lit("\t"))))
-    value = F.coalesce(F.get("f", F.lit(2)), F.lit("1"))
-    return parts.filter(F.size("f") >= 2).select(
-        "category", F.get("f", F.lit(0)).alias("identifier"), F.get("f", F.lit(1)).alias("attr"), value.alias("value"), "ord"
+    line = F.col("line")
+    tabbed = _has_tab(line)
+    return lines.filter(not_blank(line) & _several_fields(line, tabbed)).select(
+        "category",
+        _field(line, tabbed, 0).alias("identifier"),
+        _field(line, tabbed, 1).alias("attr"),
+        F.coalesce(_field(line, tabbed, 2), F.lit("1")).alias("value"),
+        "ord",
     )
 
 
 def split_attribute_lines_strict(lines: DataFrame) -> DataFrame:
     """Variant with one separator per file, no empty names, and "1" for empty values."""
-    full = lines.filter(not_blank(F.col("line")))
-    tabbed = full.groupBy("category").agg(F.bool_or(F.contains("line", F.lit("\t"))).alias("tabbed"))
-    parts = full.join(tabbed, "category").withColumn("f", _fields(F.col("line"), F.col("tabbed")))
-    value = F.get("f", F.lit(2))
-    rows = parts.filter(F.size("f") >= 2).select(
+    line, tabbed = F.col("line"), F.col("tabbed")
+    full = lines.filter(not_blank(line))
+    format_of = full.groupBy("category").agg(F.bool_or(_has_tab(line)).alias("tabbed"))
+    value = _field(line, tabbed, 2)
+    rows = full.join(format_of, "category").filter(_several_fields(line, tabbed))
+    rows = rows.select(
         "category",
-        F.get("f", F.lit(0)).alias("identifier"),
-        F.get("f", F.lit(1)).alias("attr"),
+        _field(line, tabbed, 0).alias("identifier"),
+        _field(line, tabbed, 1).alias("attr"),
         F.when(has_text(value), value).otherwise("1").alias("value"),
         "ord",
     )
@@ -146,7 +160,7 @@ def category_registry(lines: DataFrame, files: DataFrame) -> DataFrame:
     """Where each category came from.  ``files`` has ``category, url, batch``; of
     several files of a category the last one counts."""
     shape = lines.groupBy("category", "url").agg(
-        F.bool_or(F.contains("line", F.lit("\t"))).alias("tabbed"), F.bool_or(not_blank(F.col("line"))).alias("filled")
+        F.bool_or(_has_tab(F.col("line"))).alias("tabbed"), F.bool_or(not_blank(F.col("line"))).alias("filled")
     )
     name = F.split_part(F.substring_index("url", "/", -1), F.lit("?"), F.lit(1))
     filled = F.coalesce("filled", F.lit(False))
