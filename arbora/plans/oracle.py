@@ -374,8 +374,17 @@ def oracle_sql() -> dict[str, str]:
         "group_hull_padded": _ask(
             "SELECT root_id, round(cx + (x - cx) * (d + 12.0) / d, 6) AS x, round(cy + (y - cy) * (d + 12.0) / d, 6) AS y "
             "FROM (SELECT *, sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy)) AS d FROM corners "
-            "JOIN (SELECT root_id, avg(x) AS cx, avg(y) AS cy FROM corners GROUP BY 1) USING (root_id))",
+            "JOIN (SELECT root_id, avg(x) AS cx, avg(y) AS cy FROM corners GROUP BY 1) USING (root_id)) "
+            "UNION ALL SELECT root_id, round(x + cos(pi() * i / 6) * 20, 6) + 0.0, round(y + sin(pi() * i / 6) * 20, 6) + 0.0 "
+            "FROM members JOIN counts USING (root_id), range(12) AS t(i) WHERE n = 1 "
+            "UNION ALL SELECT root_id, round(px + f * nx * 20, 6) + 0.0, round(py + f * ny * 20, 6) + 0.0 FROM ("
+            "  SELECT root_id, f, px, py, -(by_ - ay) / d AS nx, (bx - ax) / d AS ny FROM ("
+            "    SELECT *, CASE WHEN e = 0 THEN 1 ELSE e END AS d FROM ("
+            "      SELECT *, sqrt((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)) AS e FROM pairs)), "
+            "  LATERAL (VALUES (1, ax, ay), (1, bx, by_), (-1, bx, by_), (-1, ax, ay)) AS v(f, px, py))",
             HULLS,
+            "pairs AS (SELECT root_id, arg_min(x, ord) AS ax, arg_min(y, ord) AS ay, arg_max(x, ord) AS bx, "
+            "arg_max(y, ord) AS by_ FROM members JOIN counts USING (root_id) WHERE n = 2 GROUP BY 1)",
             "corners AS (SELECT DISTINCT root_id, from_x AS x, from_y AS y FROM sides)",
         ),
         "hulls_at_point": _ask(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import has_text, trimmed
+from ..session import rows_of
 
 
 def _size(spark: SparkSession, key: str) -> int:
@@ -52,10 +53,27 @@ def with_order(spark: SparkSession, lines: DataFrame) -> DataFrame:
 def read_attribute_files(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
     """Lines ``file, ord, line`` and the files ``file, length``, empty ones included."""
     text = spark.read.option("lineSep", "\n").option("recursiveFileLookup", True).text(paths)
-    # only the listing is used: the content column is pruned away
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
-    listed = files.groupBy(source_path(F.col("_metadata.file_path")).alias("file")).agg(F.sum("length").alias("length"))
-    return with_order(spark, text_lines(text)).drop("time"), listed
+    return with_order(spark, text_lines(text)).drop("time"), list_files(spark, paths)
+
+
+def list_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``file, length`` below the paths.  Scans skip files without content, so
+    the names come from the file system; a category is one file, or one folder of parts."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    found = []
+    for pattern in [paths] if isinstance(paths, str) else paths:
+        top = hadoop.Path(pattern)
+        fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for match in fs.globStatus(top) or []:
+            entries = fs.listFiles(match.getPath(), True)
+            while entries.hasNext():
+                entry = entries.next()
+                if not entry.getPath().getName().startswith(("_", ".")):
+                    found.append((entry.getPath().toUri().toString(), entry.getLen()))
+    listed = rows_of(spark, found, "file STRING, length BIGINT")
+    # file:/x and file:///x are the same place; scans write the long form
+    path = source_path(F.regexp_replace("file", r"^(\w+):/(?!/)", "$1:///"))
+    return listed.groupBy(path.alias("file")).agg(F.sum("length").alias("length"))
 
 
 def category_from_path(path: Column) -> Column:
