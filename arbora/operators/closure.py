@@ -11,6 +11,8 @@ from ..session import Stored, materialize, read_stored
 
 # A vertex with more out-edges than this is split over several join keys.
 HUB_ROWS = 1_000_000
+# A frontier of at most this many vertices is pushed into the scan of the edges.
+PUSHED_IDS = 200
 
 
 @dataclass(frozen=True)
@@ -26,7 +28,14 @@ class Edges:
 
 
 def prepare_edges(edges: DataFrame, name: str = "edges", hub_rows: int = HUB_ROWS) -> Edges:
-    stored = materialize(edges, name)
+    """Write the edges sorted by their start.
+
+    Row groups then cover narrow ranges of ``v``, so a small frontier reads
+    only those that may hold its edges.  Ranges include ``w``: a hub spreads
+    over many files.
+    """
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stored = materialize(edges.repartitionByRange(parts, "v", "w").sortWithinPartitions("v"), name)
     if stored.rows <= hub_rows:
         return Edges(stored.df, None)
     degree = stored.df.groupBy("v").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hub_rows)
@@ -38,14 +47,17 @@ def prepare_edges(edges: DataFrame, name: str = "edges", hub_rows: int = HUB_ROW
     return Edges(salted.drop("slots"), hubs.df)
 
 
-def follow(frontier: DataFrame, edges: Edges) -> DataFrame:
+def follow(frontier: Stored, edges: Edges) -> DataFrame:
     """Join the frontier's ``id`` with the edges that start there."""
-    starts = frontier.withColumnRenamed("id", "v")
+    starts, steps = frontier.df.withColumnRenamed("id", "v"), edges.df
+    if frontier.rows <= PUSHED_IDS:
+        ids = sorted({row.v for row in starts.select("v").collect()})
+        steps = steps.filter(F.col("v").isin(ids))
     if edges.hubs is None:
-        return starts.join(edges.df, "v")
+        return starts.join(steps, "v")
     last = F.coalesce("slots", F.lit(1)) - 1
     spread = starts.join(edges.hubs, "v", "left").withColumn("slot", F.explode(F.sequence(F.lit(0), last)))
-    return spread.drop("slots").join(edges.df, ["v", "slot"]).drop("slot")
+    return spread.drop("slots").join(steps, ["v", "slot"]).drop("slot")
 
 
 def frontier_closure(
@@ -68,7 +80,7 @@ def frontier_closure(
     paths, total, level = [frontier.path], frontier.rows, 0
     while frontier.rows and (max_depth is None or level < max_depth):
         level += 1
-        reached = follow(frontier.df, edges)
+        reached = follow(frontier, edges)
         if admit is not None:
             reached = reached.filter(admit)
         reached = reached.select("root_id", F.col("w").alias("id"), *carry).dropDuplicates(keys)

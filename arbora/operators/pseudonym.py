@@ -67,16 +67,24 @@ def pseudonymize_orgs(labels: DataFrame, orgs: DataFrame, variant: str = "live")
 
 
 def display_label(
-    graph: Graph, depth: DataFrame | None, dictionary: tuple[DataFrame, DataFrame] | None, enabled: bool = True
+    graph: Graph,
+    depth: DataFrame | None,
+    dictionary: tuple[DataFrame, DataFrame] | None,
+    enabled: bool = True,
+    variant: str = "live",
 ) -> DataFrame:
-    """``id, display``: the label or id, or its pseudonym when switched on."""
+    """``id, display``: the label or id, or its pseudonym when switched on.
+
+    ``depth(id, depth)`` is the level of the orgs; orgs it does not list count as level 0.
+    """
     nodes = graph.index.select("id", "type", label_or_id(F.col("label"), F.col("id")).alias("label"), "ord")
     if not enabled or dictionary is None:
         return nodes.select("id", F.col("label").alias("display"))
     names, units = dictionary
     people, orgs = nodes.filter("type = 'person'"), nodes.filter("type = 'org'")
     levels = orgs.join(depth, "id", "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
-    per_name = pseudonymize_names(people, names)
-    per_unit = pseudonymize_orgs(levels, units)
-    shown = people.join(per_name, "label").unionByName(orgs.join(per_unit, "label"))
+    per_name = pseudonymize_names(people, names, variant)
+    per_unit = pseudonymize_orgs(levels, units, variant)
+    on = ["label"] if variant == "live" else ["label", "depth"]
+    shown = people.join(per_name, "label").unionByName(levels.join(per_unit, on).drop("depth"))
     return shown.select("id", F.col("pseudonym").alias("display"))

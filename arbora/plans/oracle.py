@@ -40,14 +40,14 @@ person_org AS (SELECT source AS person_id, target AS org_id, ord FROM links WHER
 reports AS (SELECT source, target, ord FROM links WHERE kind = 'pp'),
 managers AS (SELECT target AS person_id, arg_max(source, ord) AS manager_id FROM reports GROUP BY 1),
 org_up AS (
-  SELECT id AS org_id, id AS ancestor_id, 0 AS step FROM idx WHERE as_org
+  SELECT id AS org_id, id AS ancestor_id, CAST(0 AS BIGINT) AS step FROM idx WHERE as_org
   UNION ALL SELECT org_id, parent, step + 1 FROM org_up JOIN org_parent ON child = ancestor_id),
 depth AS (SELECT org_id AS id, max(step) AS depth FROM org_up GROUP BY 1),
 org_below AS (
   SELECT id AS root_id, id FROM idx WHERE as_org
   UNION SELECT root_id, child FROM org_below JOIN org_child ON parent = id),
 levels AS (
-  SELECT id, 0 AS level FROM idx WHERE type = 'person' AND id NOT IN (SELECT person_id FROM managers)
+  SELECT id, CAST(0 AS BIGINT) AS level FROM idx WHERE type = 'person' AND id NOT IN (SELECT person_id FROM managers)
   UNION ALL SELECT person_id, level + 1 FROM levels JOIN managers ON manager_id = id),
 forward AS (SELECT source AS v, target AS w, kind FROM links),
 backward AS (SELECT target AS v, source AS w, kind FROM links),
@@ -162,7 +162,7 @@ def _walk(name: str, roots, depth: int, edges: str) -> str:
     return f"""
 {name} AS (
   WITH RECURSIVE steps AS (
-    SELECT r AS root_id, r AS id, idx.type = 'org' AS org_start, 0 AS level
+    SELECT r AS root_id, r AS id, idx.type = 'org' AS org_start, CAST(0 AS BIGINT) AS level
     FROM (VALUES {_ids(roots)}) AS q(r, n) JOIN idx ON idx.id = r
     UNION SELECT s.root_id, e.w, s.org_start, s.level + 1
     FROM steps s JOIN {edges} e ON e.v = s.id WHERE s.level < {depth} AND (NOT e.from_org OR s.org_start))
@@ -212,7 +212,7 @@ def _distance(name: str, nodes: str, links: str, roots) -> str:
   WITH RECURSIVE pairs AS (
     SELECT source AS v, target AS w FROM {links} UNION SELECT target, source FROM {links}),
   walk AS (
-    SELECT id, 0 AS level FROM {nodes} WHERE id IN ({listed})
+    SELECT id, CAST(0 AS BIGINT) AS level FROM {nodes} WHERE id IN ({listed})
     UNION SELECT n.id, walk.level + 1 FROM walk JOIN pairs ON v = walk.id JOIN {nodes} n ON n.id = w
     WHERE walk.level < 12)
   SELECT n.id, coalesce(min(walk.level), 999) AS level FROM {nodes} n LEFT JOIN walk ON walk.id = n.id GROUP BY 1)
@@ -242,13 +242,13 @@ spans AS (
 )
 
 DETAIL_LIVE = """
-SELECT id AS person_id, 'name' AS section, 0 AS rank, label AS text FROM idx WHERE type = 'person'
+SELECT id AS person_id, 'name' AS section, CAST(0 AS BIGINT) AS rank, label AS text FROM idx WHERE type = 'person'
 UNION ALL SELECT person_id, 'attribute', 0, category || ': ' || attr || CASE WHEN value <> '1' THEN ': ' || value ELSE '' END FROM shown
 UNION ALL SELECT a.id, 'org_at_point', -depth, label FROM at_point a JOIN depth d ON d.id = org_id JOIN idx i ON i.id = org_id
 UNION ALL SELECT person_id, 'org', -depth, label FROM all_orgs
 """
 DETAIL_OLD = """
-SELECT id AS person_id, 'name' AS section, 0 AS rank, label AS text FROM idx WHERE type = 'person'
+SELECT id AS person_id, 'name' AS section, CAST(0 AS BIGINT) AS rank, label AS text FROM idx WHERE type = 'person'
 UNION ALL SELECT id, 'email', 0, email FROM idx WHERE type = 'person' AND email <> ''
 UNION ALL SELECT id, 'id', 0, id FROM idx WHERE type = 'person'
 UNION ALL SELECT person_id, 'attribute', 0, attr || CASE WHEN value <> '1' THEN ': ' || value ELSE '' END FROM shown
@@ -268,7 +268,7 @@ merged_attr AS (
 
 TREE = """
 tree AS (
-  SELECT id AS org_id, 0 AS depth, id AS path FROM idx WHERE as_org AND id NOT IN (SELECT child FROM org_parent)
+  SELECT id AS org_id, CAST(0 AS BIGINT) AS depth, id AS path FROM idx WHERE as_org AND id NOT IN (SELECT child FROM org_parent)
   UNION ALL SELECT child, depth + 1, path || '>' || child FROM tree JOIN org_child ON parent = org_id
   WHERE NOT list_contains(string_split(path, '>'), child))
 """
@@ -563,7 +563,7 @@ FROM named""",
             f"{_hash('id')} % 12 * 30 AS cluster_hue FROM depth"
         ),
         "palette_slot": _ask(
-            "SELECT category, attr, palette, hue, saturation, lightness FROM types JOIN palettes ON slot = ordinal % 5 "
+            "SELECT category, attr, palette, hue, CAST(saturation AS BIGINT) AS saturation, lightness FROM types JOIN palettes ON slot = ordinal % 5 "
             f"UNION ALL SELECT category, attr, 'none', CAST(({HUE} + ordinal % 6 * 10) % 360 AS DOUBLE), 65, 50 + ordinal % 2 * 5 "
             "FROM (SELECT *, category AS t FROM types)",
             ATTRIBUTES,

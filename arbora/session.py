@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -21,9 +23,12 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # lets parquet check each pushed id against the row group statistics
+    "spark.sql.parquet.pushdown.inFilterThreshold": "200",
 }
 
 _local_base: dict[str, str] = {}
+_scopes: list[str] = []
 
 
 @dataclass(frozen=True)
@@ -59,7 +64,7 @@ def workspace(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{workspace(spark)}/{name}-{uuid.uuid4().hex}"
+    return "/".join([workspace(spark), *_scopes, f"{name}-{uuid.uuid4().hex}"])
 
 
 def materialize(df: DataFrame, name: str = "table") -> Stored:
@@ -75,11 +80,30 @@ def read_stored(spark: SparkSession, like: Stored, paths: list[str]) -> DataFram
     return spark.read.schema(like.df.schema).parquet(*paths)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Delete the intermediate tables written inside the block when it ends.
+
+    Results have to be written or collected before; a graph that should outlive
+    the block must be built, and its edge tables used, outside.
+    """
+    _scopes.append(f"scope-{uuid.uuid4().hex}")
+    folder = "/".join([workspace(spark), *_scopes])
+    try:
+        yield
+    finally:
+        _scopes.pop()
+        _delete(spark, folder)
+
+
 def release(spark: SparkSession) -> None:
     """Delete the intermediate tables of this application."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(workspace(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, workspace(spark))
 
 
 def rows_of(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:

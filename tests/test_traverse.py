@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from conftest import rows
 from model import depth_of, lowest_orgs, many_graphs, parents, random_graph, walk, with_managers
@@ -5,7 +7,7 @@ from pyspark.sql import functions as F
 
 from arbora.operators import closure, subgraph, traverse
 from arbora.operators.visibility import Hidden
-from arbora.session import materialize
+from arbora.session import materialize, scope
 
 
 def test_report_subtree_follows_reports_only(make_graph, roots_of):
@@ -181,6 +183,22 @@ def test_depth_and_direction_only_add_nodes(make_graph, roots_of):
         assert len(rows(traverse.typed_bfs(g, roots_of("p7.0"), 3, mode))) <= sizes[3]
 
 
+def test_wide_frontiers_join_instead_of_being_pushed(many, roots_of, monkeypatch):
+    g, _, _, links = many
+    monkeypatch.setattr(closure, "PUSHED_IDS", 0)
+    starts = [f"p{seed}.0" for seed in range(25)]
+    reach = traverse.typed_bfs(g, roots_of(*starts), 3, "both")
+    model = {root: walk(links, root, 3, "both") for root in starts}
+    assert rows(reach, "root_id", "id", "level") == sorted((r, n, v) for r, m in model.items() for n, v in m.items())
+
+
+def test_a_scope_removes_what_it_wrote(spark):
+    with scope(spark):
+        inner = materialize(spark.range(3), "inner")
+        assert os.path.isdir(inner.path.removeprefix("file:"))
+    assert not os.path.exists(inner.path.removeprefix("file:"))
+
+
 def test_stored_tables_know_their_size(spark):
     assert materialize(spark.range(10).filter("id > 99"), "none").rows == 0
     assert materialize(spark.range(10).filter(F.lit(False)), "none").rows == 0

@@ -146,6 +146,8 @@ def test_pseudonyms(spark, make_graph):
     depth = traverse.org_depth(g)
     shown = dict(rows(pseudonym.display_label(g, depth, (names, units))))
     assert shown == {"1": "N0", "2": "N1", "3": "N0", "4": "N0", "w": "U0", "a": "M0", "b": "M0", "c": "U0", "d": "U0"}
+    old = dict(rows(pseudonym.display_label(g, depth, (names, units), variant="old")))
+    assert old == {"1": "N0", "2": "N1", "3": "N0", "4": "N0", "w": "U0", "a": "M0", "b": "M0", "c": "U0", "d": "U0"}
     plain = dict(rows(pseudonym.display_label(g, depth, (names, units), enabled=False)))
     assert plain["1"] == "Zoe" and plain == dict(rows(pseudonym.display_label(g, depth, None)))
     nobody = names.filter(F.lit(False))
