@@ -48,7 +48,7 @@ class Graph:
     def edges(self, name: str) -> Edges:
         """Edge tables of the loops, written once per graph and reused."""
         if name not in self._edges:
-            self._edges[name] = prepare_edges(self._edge_plan(name), name)
+            self._edges[name] = prepare_edges(self._edge_plan(name), name, reused=True)
         return self._edges[name]
 
     def _edge_plan(self, name: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import collate, label_or_id
 from ..graph import Graph
 from ..schema import ATTRIBUTE_RING_GAP, NODE_RADIUS, NODE_STROKE_WIDTH
-from ..session import rows_of
+from ..session import materialize, rows_of
 from .numbering import dense_index
 
 ATTR_KEY = ["person_id", "category", "attr"]
@@ -46,7 +46,8 @@ def match_attributes(graph: Graph, entries: DataFrame, batch: Column | None = No
     """
     known = resolve_identifiers(graph, entries)
     first = entries.groupBy("category", "identifier").agg(F.min("ord").alias("first_ord"))
-    owners = first.join(known, "identifier", "left")
+    # every output below starts from the resolved identifiers
+    owners = materialize(first.join(known, "identifier", "left"), "owners").df
     hits = owners.filter("person_id IS NOT NULL")
     place = F.struct("first_ord", "ord")
     person_attr = (

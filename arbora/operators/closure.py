@@ -27,15 +27,19 @@ class Edges:
     hubs: DataFrame | None
 
 
-def prepare_edges(edges: DataFrame, name: str = "edges", hub_rows: int = HUB_ROWS) -> Edges:
-    """Write the edges sorted by their start.
+def prepare_edges(
+    edges: DataFrame, name: str = "edges", hub_rows: int = HUB_ROWS, reused: bool = False
+) -> Edges:
+    """Write the edges; those that many walks will use are sorted by their start.
 
     Row groups then cover narrow ranges of ``v``, so a small frontier reads
     only those that may hold its edges.  Ranges include ``w``: a hub spreads
     over many files.
     """
-    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    stored = materialize(edges.repartitionByRange(parts, "v", "w").sortWithinPartitions("v"), name)
+    if reused:
+        parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        edges = edges.repartitionByRange(parts, "v", "w").sortWithinPartitions("v")
+    stored = materialize(edges, name)
     if stored.rows <= hub_rows:
         return Edges(stored.df, None)
     degree = stored.df.groupBy("v").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hub_rows)

@@ -134,39 +134,31 @@ def hidden_legend(graph: Graph, hidden: Hidden, labels: DataFrame | None = None)
 
 def hidden_totals(hidden: Hidden, hidden_count: DataFrame) -> DataFrame:
     """One row: nodes dropped at present and the sum of all hidden sets."""
-    current = hidden_count.select(F.lit("current").alias("k"), F.col("hidden_count").alias("n"))
-    total = hidden.by_root.groupBy().agg(F.count(F.lit(1)).alias("n")).select(F.lit("total").alias("k"), "n")
-    return _one_row(current.unionByName(total), ["current", "total"])
+    current = hidden_count.agg(F.coalesce(F.sum("hidden_count"), F.lit(0)).alias("current"))
+    return _one_row([current, hidden.by_root.agg(F.count(F.lit(1)).alias("total"))])
 
 
-def _one_row(rows: DataFrame, names: list[str]) -> DataFrame:
-    """``k, n`` rows as one row with a column per name."""
-    value = [F.coalesce(F.sum(F.when(F.col("k") == k, F.col("n"))), F.lit(0)).alias(k) for k in names]
-    return rows.agg(*value)
+def _one_row(parts: list[DataFrame]) -> DataFrame:
+    """Single rows with different columns side by side, without a join."""
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    return rows.agg(*[F.max(name).alias(name) for name in rows.columns])
 
 
 def graph_stats(graph: Graph, merged: Subgraph, types: DataFrame, allowed: DataFrame) -> DataFrame:
     """One row of key figures.  Node totals count repeated records; visible counts
     come with orgs and, as ``drawn``, for persons only."""
-    person = F.col("type") == "person"
-    # links carry no types here; both ends being drawn means both are persons
-    people = merged.nodes.filter(person).select("id")
-    drawn = merged.links.join(people.withColumnRenamed("id", "source"), "source", "left_semi").join(
-        people.withColumnRenamed("id", "target"), "target", "left_semi"
+    each = F.count(F.lit(1))
+    return _one_row(
+        [
+            graph.nodes.agg(each.alias("nodes_total")),
+            graph.links.agg(each.alias("links_total")),
+            merged.nodes.agg(
+                each.alias("nodes_visible"), F.count_if(F.col("type") == "person").alias("persons_drawn")
+            ),
+            merged.links.agg(each.alias("links_visible"), F.count_if(F.col("kind") == "pp").alias("links_drawn")),
+            types.agg(F.count_if("active").alias("attributes_active"), each.alias("attributes_total")),
+            allowed.agg(each.alias("allowed_orgs")),
+        ]
     )
-    counted = {
-        "nodes_total": graph.nodes,
-        "links_total": graph.links,
-        "nodes_visible": merged.nodes,
-        "persons_drawn": merged.nodes.filter(person),
-        "links_visible": merged.links,
-        "links_drawn": drawn,
-        "attributes_active": types.filter("active"),
-        "attributes_total": types,
-        "allowed_orgs": allowed,
-    }
-    rows = None
-    for name, table in counted.items():
-        part = table.groupBy().agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("k"), "n")
-        rows = part if rows is None else rows.unionByName(part)
-    return _one_row(rows, list(counted))

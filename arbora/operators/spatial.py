@@ -177,7 +177,9 @@ def _touches(side: Column, x0: Column, x1: Column, y0: Column, y1: Column) -> Co
     return ~(apart | (F.least(*turns) > 0) | (F.greatest(*turns) < 0))
 
 
-def hulls_at_point(points: DataFrame, hulls: DataFrame, allowed: DataFrame, orgs: DataFrame) -> DataFrame:
+def hulls_at_point(
+    points: DataFrame, hulls: DataFrame, allowed: DataFrame, orgs: DataFrame, ordered: bool = True
+) -> DataFrame:
     """``id, org_id, depth, label`` of the allowed hulls that contain each point.
 
     ``orgs`` has ``org_id, depth, label``.  Hulls are laid over a grid once.  A
@@ -231,9 +233,6 @@ def hulls_at_point(points: DataFrame, hulls: DataFrame, allowed: DataFrame, orgs
     located = points.filter("x IS NOT NULL AND y IS NOT NULL").select(
         "id", "x", "y", cell(F.col("x"), west, across).alias("cx"), cell(F.col("y"), south, along).alias("cy")
     )
-    return (
-        located.join(cells, ["cx", "cy"])
-        .filter(F.col("sides").isNull() | _inside(F.col("sides"), F.col("x"), F.col("y")))
-        .select("id", "org_id", "depth", "label")
-        .orderBy("id", F.desc("depth"), collate(F.col("label")), "org_id")
-    )
+    hit = F.col("sides").isNull() | _inside(F.col("sides"), F.col("x"), F.col("y"))
+    found = located.join(cells, ["cx", "cy"]).filter(hit).select("id", "org_id", "depth", "label")
+    return found.orderBy("id", F.desc("depth"), collate(F.col("label")), "org_id") if ordered else found

@@ -81,10 +81,10 @@ def management_filter(
 def induced_links(graph: Graph, nodes: DataFrame) -> DataFrame:
     """Links of any kind with both ends among a root's nodes."""
     ids = nodes.select("root_id", "id")
-    links = graph.links.select("source", "target", "ord")
+    links = graph.links.select("source", "target", "ord", "kind")
     half = links.join(ids.withColumnRenamed("id", "source"), "source")
     return half.join(ids.withColumnRenamed("id", "target"), ["root_id", "target"], "left_semi").select(
-        "root_id", "source", "target", "ord"
+        "root_id", "source", "target", "ord", "kind"
     )
 
 
@@ -119,8 +119,9 @@ def merge_roots(graph: Graph, sub: Subgraph, roots: DataFrame) -> Subgraph:
         .groupBy("id")
         .agg(F.max_by("level", "root_ord").alias("level"))
     )
-    links = sub.links.groupBy("source", "target").agg(F.min("ord").alias("ord"))
-    return Subgraph(attach_level(graph, level), links, sub.legend.select("org_id").distinct())
+    links = sub.links.select("source", "target", "ord", "kind").distinct()
+    nodes = materialize(attach_level(graph, level), "merged_nodes").df
+    return Subgraph(nodes, materialize(links, "merged_links").df, sub.legend.select("org_id").distinct())
 
 
 def scope_allowed_orgs(graph: Graph, merged: Subgraph) -> DataFrame:

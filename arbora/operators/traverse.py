@@ -83,12 +83,17 @@ def org_ancestor_pairs(graph: Graph, orgs: DataFrame) -> DataFrame:
 
 
 def person_all_orgs(
-    graph: Graph, depth: DataFrame, persons: DataFrame | None = None, labels: DataFrame | None = None
+    graph: Graph,
+    depth: DataFrame,
+    persons: DataFrame | None = None,
+    labels: DataFrame | None = None,
+    ordered: bool = True,
 ) -> DataFrame:
     """All orgs of a person, direct and above, deepest first.
 
     Orgs with the same label count once; the one met first stays.  ``labels``
-    (``id, display``) replaces the shown label.
+    (``id, display``) replaces the shown label.  Without ``ordered`` the rows
+    come unsorted, which saves a shuffle when another step follows.
     """
     member = graph.person_org
     if persons is not None:
@@ -107,9 +112,10 @@ def person_all_orgs(
     if labels is not None:
         shown = labels.select(F.col("id").alias("org_id"), "display")
         result = result.join(shown, "org_id").withColumn("label", F.col("display")).drop("display")
-    return result.select("person_id", "org_id", "depth", "label").orderBy(
-        "person_id", F.desc("depth"), collate(F.col("org_id")), "org_id"
-    )
+    result = result.select("person_id", "org_id", "depth", "label")
+    if not ordered:
+        return result
+    return result.orderBy("person_id", F.desc("depth"), collate(F.col("org_id")), "org_id")
 
 
 def typed_bfs(graph: Graph, roots: DataFrame, depth: int, mode: str) -> DataFrame:
@@ -123,18 +129,26 @@ def typed_bfs(graph: Graph, roots: DataFrame, depth: int, mode: str) -> DataFram
 
 def legend_orgs(graph: Graph, reach: DataFrame) -> DataFrame:
     """``root_id, org_id, level``: orgs of the reached persons that are not the
-    direct parent of another org of the same person, with the nearest level."""
+    direct parent of another org of the same person, with the nearest level.
+
+    Every membership also marks the parent org for that person; an org with a
+    mark is not the lowest.  That needs one grouping and no self join.
+    """
     people = graph.types.filter("type = 'person'").select("id")
     reached = reach.join(people, "id", "left_semi").withColumnRenamed("id", "person_id")
     member = graph.person_org.select("person_id", "org_id")
-    member = member.join(reached.select("person_id").distinct(), "person_id", "left_semi")
-    above = (
-        member.join(graph.org_parent.withColumnRenamed("child", "org_id"), "org_id")
-        .filter("parent <> org_id")
-        .select("person_id", F.col("parent").alias("org_id"))
+    found = reached.join(member, "person_id").join(graph.org_parent.withColumnRenamed("child", "org_id"), "org_id", "left")
+    own = F.struct(F.col("org_id").alias("org_id"), F.lit(False).alias("above"))
+    over = F.struct(F.col("parent").alias("org_id"), F.lit(True).alias("above"))
+    marks = F.inline(F.array_compact(F.array(own, F.when(F.col("parent") != F.col("org_id"), over))))
+    return (
+        found.select("root_id", "person_id", "level", marks)
+        .groupBy("root_id", "person_id", "org_id")
+        .agg(F.min("level").alias("level"), F.bool_or("above").alias("above"))
+        .filter("NOT above")
+        .groupBy("root_id", "org_id")
+        .agg(F.min("level").alias("level"))
     )
-    lowest = member.join(above, ["person_id", "org_id"], "left_anti")
-    return reached.join(lowest, "person_id").groupBy("root_id", "org_id").agg(F.min("level").alias("level"))
 
 
 def attach_level(graph: Graph, reach: DataFrame) -> DataFrame:

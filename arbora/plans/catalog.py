@@ -327,17 +327,17 @@ def group_hull_padded(w: Warehouse) -> DataFrame:
     return flat.select("root_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
-def _at_point(w: Warehouse) -> DataFrame:
+def _at_point(w: Warehouse, ordered: bool = False) -> DataFrame:
     hulls = _vertices(w).select("root_id", F.col("points").alias("polygon"))
     units = w.graph.index.selectExpr("id AS org_id", "label").join(
         w.depth.withColumnRenamed("id", "org_id"), "org_id"
     )
-    return spatial.hulls_at_point(w.positions, hulls, w.all_orgs, units)
+    return spatial.hulls_at_point(w.positions, hulls, w.all_orgs, units, ordered)
 
 
 @query
 def hulls_at_point(w: Warehouse) -> DataFrame:
-    return _at_point(w)
+    return _at_point(w, ordered=True)
 
 
 # --- attributes
@@ -499,7 +499,7 @@ def person_category_flag(w: Warehouse) -> DataFrame:
 
 
 def _detail(w: Warehouse, variant: str) -> DataFrame:
-    all_orgs = traverse.person_all_orgs(w.graph, w.depth)
+    all_orgs = traverse.person_all_orgs(w.graph, w.depth, ordered=False)
     here = _at_point(w).withColumnRenamed("id", "person_id")
     lines = attributes.person_detail(w.graph, w.person_attr, _some_types(w), all_orgs, here, variant=variant)
     return lines.select("person_id", "section", "rank", "text")

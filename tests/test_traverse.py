@@ -125,7 +125,7 @@ def test_hubs_are_split_without_changing_the_result(make_graph, roots_of, monkey
     persons, orgs, links = random_graph(42, people=30, units=3, links=150)
     links = links + [(p["id"], "o42.0") for p in persons if (p["id"], "o42.0") not in links]
     g = make_graph(persons, orgs, links)
-    monkeypatch.setattr(closure.prepare_edges, "__defaults__", ("edges", 4))
+    monkeypatch.setattr(closure.prepare_edges, "__defaults__", ("edges", 4, False))
     reach = traverse.typed_bfs(g, roots_of("o42.0", "p42.1"), 3, "both")
     hubs = g.edges("both").hubs
     assert hubs is not None and max(rows(hubs, "slots")) > 1
