@@ -55,6 +55,20 @@ def collate(text: Column) -> Column:
     return F.collate(text, "UNICODE")
 
 
+def attribute_key(category: Column, attr: Column) -> Column:
+    return F.concat(category, F.lit("::"), attr)
+
+
+def key_category(key: Column) -> Column:
+    """First part of a key; a key without parts belongs to "Attribute"."""
+    return F.when(F.contains(key, F.lit("::")), F.split_part(key, F.lit("::"), F.lit(1))).otherwise("Attribute")
+
+
+def key_name(key: Column) -> Column:
+    """Second part of a key, without what may follow."""
+    return F.when(F.contains(key, F.lit("::")), F.split_part(key, F.lit("::"), F.lit(2))).otherwise(key)
+
+
 def _hash_step(state: Column, unit: Column) -> Column:
     return (state * 31 + unit).bitwiseAND(F.lit(_UINT32))
 

@@ -7,10 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import collate, label_or_id
+from ..functions.scalars import attribute_key, collate, key_category, label_or_id
 from ..graph import Graph
 from ..schema import ATTRIBUTE_RING_GAP, NODE_RADIUS, NODE_STROKE_WIDTH
 from ..session import materialize, rows_of
+from ..sources.attributes import as_keyed
 from .numbering import dense_index
 
 ATTR_KEY = ["person_id", "category", "attr"]
@@ -148,7 +149,9 @@ def active_attributes(person_attr: DataFrame, types: DataFrame, hidden_categorie
     """Rows of ``person_attr`` that are switched on and not in a hidden category."""
     shown = person_attr.join(types.filter("active").select("category", "attr"), ["category", "attr"], "left_semi")
     if hidden_categories is not None:
-        shown = shown.join(hidden_categories.select("category"), "category", "left_anti")
+        shown = shown.withColumn("shown_in", key_category(attribute_key(F.col("category"), F.col("attr"))))
+        hidden = hidden_categories.select(F.col("category").alias("shown_in"))
+        shown = shown.join(hidden, "shown_in", "left_anti").drop("shown_in")
     return shown
 
 
@@ -189,14 +192,15 @@ def active_attributes_per_person(
 def active_attribute_list(person_attr: DataFrame, types: DataFrame, hidden_categories: DataFrame | None = None) -> DataFrame:
     """The shown attributes, sorted by key within each person."""
     rows = active_attributes(person_attr, types, hidden_categories)
-    key = F.concat("category", F.lit("::"), "attr")
+    key = attribute_key(F.col("category"), F.col("attr"))
     return rows.select("person_id", key.alias("key"), "value").orderBy("person_id", collate(F.col("key")), "key")
 
 
 def attribute_legend(types: DataFrame, registry: DataFrame) -> DataFrame:
     """Legend rows by category and attribute; empty categories have a row without attribute."""
-    whole = types.groupBy("category").agg(F.bool_and("active").alias("all_active"))
-    rows = types.select("category", "attr", "active").join(whole, "category")
+    named = as_keyed(types).select("category", "attr", "active")
+    whole = named.groupBy("category").agg(F.bool_and("active").alias("all_active"))
+    rows = named.join(whole, "category")
     empty = registry.filter("is_empty").select("category")
     return (
         rows.join(empty, "category", "full_outer")
@@ -210,8 +214,8 @@ def person_category_flag(graph: Graph, person_attr: DataFrame, types: DataFrame)
 
     Only pairs with an attribute are listed; a missing pair means "none".
     """
-    used = types.select("category").distinct()
-    mine = person_attr.join(used, "category", "left_semi")
+    used = as_keyed(types).select("category").distinct()
+    mine = as_keyed(person_attr).join(used, "category", "left_semi")
     people = graph.index.filter("type = 'person'").select(F.col("id").alias("person_id"))
     mine = mine.join(people, "person_id", "left_semi")
     first = F.min_by("attr", F.struct("batch", "first_ord", "ord")).alias("first_attr")

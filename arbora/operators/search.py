@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import collate, label_or_id, trimmed
+from ..functions.scalars import TRIMMED, collate, label_or_id, trimmed
 from ..graph import Graph
-from ..schema import SEARCH_LIMIT, SEARCH_MIN_CHARS
+from ..schema import MAX_ROOTS, SEARCH_LIMIT, SEARCH_MIN_CHARS
 
 
 def search_nodes(graph: Graph, term: str, labels: DataFrame | None = None, limit: int = SEARCH_LIMIT) -> DataFrame:
@@ -16,7 +16,7 @@ def search_nodes(graph: Graph, term: str, labels: DataFrame | None = None, limit
     ``truncated`` tells that the limit was reached.  Terms below two characters
     find nothing.
     """
-    wanted = term.lower().strip()
+    wanted = term.lower().strip(TRIMMED)
     label = label_or_id(F.col("label"), F.col("id"))
     nodes = graph.index.select("id", "type", label.alias("label"), "ord")
     if labels is not None:
@@ -42,3 +42,8 @@ def resolve_node(graph: Graph, texts: DataFrame) -> DataFrame:
     found = asked.join(by_mail, "term", "left").join(by_id, "term", "left").join(by_label, "term", "left")
     hit = F.coalesce("mail_hit", "id_hit", "label_hit")
     return found.select("text", F.when(F.col("text") != "", hit).alias("id"))
+
+
+def add_root(roots: list[str], node_id: str, limit: int = MAX_ROOTS) -> list[str]:
+    """One more root for the next view, unless it is there or the list is full."""
+    return roots if node_id in roots or len(roots) >= limit else [*roots, node_id]

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
+from ..session import empty_like
 from .traverse import report_subtree
 
 
@@ -38,6 +39,24 @@ def toggle_temp_visible(shown_roots: DataFrame, by_root: DataFrame, roots: DataF
     return kept.unionByName(asked.join(shown_roots, "root_id", "left_anti"))
 
 
+def toggle_hidden(graph: Graph, hidden: Hidden, roots: DataFrame) -> Hidden:
+    """Hide the branches of the given roots, or bring back those that are hidden.
+
+    A root that is brought back is no longer shown for now either.
+    """
+    back = roots.select("root_id").distinct().join(hidden.by_root, "root_id", "left_semi")
+    away = roots.select("root_id").distinct().join(hidden.by_root, "root_id", "left_anti")
+    kept = unhide_subtree(hidden.by_root, back)
+    shown = hidden.shown_roots.join(back, "root_id", "left_anti")
+    return replace(hidden, by_root=hide_subtree(graph, kept, away), shown_roots=shown)
+
+
+def toggle_show_all(hidden: Hidden) -> Hidden:
+    """Flip the global switch; switching it on forgets the roots shown one by one."""
+    shown = hidden.shown_roots if hidden.show_all else empty_like(hidden.shown_roots)
+    return replace(hidden, shown_roots=shown, show_all=not hidden.show_all)
+
+
 def hidden_ids(hidden: Hidden) -> DataFrame:
     """Ids hidden by some root while no root that hides them is shown for now."""
     shown = hidden.shown_roots.select("root_id").distinct().withColumn("shown", F.lit(True))

@@ -30,6 +30,7 @@ ORG_ORD_BASE = 1 << 62
 # Fixed values the results depend on.
 SEARCH_LIMIT = 100
 SEARCH_MIN_CHARS = 2
+MAX_ROOTS = 5
 UNREACHABLE_LEVEL = 999
 NODE_RADIUS = 8.0
 NODE_STROKE_WIDTH = 3.0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import has_text, trimmed
+from ..functions.scalars import attribute_key, has_text, key_category, key_name, trimmed
 from ..session import rows_of
 
 
@@ -200,13 +200,21 @@ def empty_categories(registry: DataFrame) -> DataFrame:
     return registry.filter("is_empty").select("category")
 
 
-def export_lines(person_attr: DataFrame, index: DataFrame, registry: DataFrame, separator: str | None = None) -> DataFrame:
+def as_keyed(table: DataFrame) -> DataFrame:
+    """Category and name as the combined key shows them: a "::" inside a name ends it."""
+    key = attribute_key(F.col("category"), F.col("attr"))
+    return table.withColumns({"category": key_category(key), "attr": key_name(key)})
+
+
+def export_lines(
+    person_attr: DataFrame, index: DataFrame, registry: DataFrame | None = None, separator: str | None = None
+) -> DataFrame:
     """``category, line`` of the export: e-mail or id, and the attribute, without the value.
 
     The separator follows the category's source format unless one is given.
     """
     contact = index.select(F.col("id").alias("person_id"), "email")
-    rows = person_attr.select("person_id", "category", "attr").join(contact, "person_id", "left")
+    rows = as_keyed(person_attr).select("person_id", "category", "attr").join(contact, "person_id", "left")
     if separator is None:
         rows = rows.join(registry.select("category", "format"), "category")
         between = F.when(F.col("format") == "tab", "\t").otherwise(",")
@@ -223,7 +231,7 @@ def export_category(
 
     The lines come as ordered part files, so no task holds the whole export.
     """
-    lines = export_lines(person_attr.filter(F.col("category") == category), index, registry)
+    lines = export_lines(person_attr, index, registry).filter(F.col("category") == category)
     lines.select("line").orderBy("line").write.text(path)
     done = F.when(F.col("category") == category, F.lit(False)).otherwise(F.col("modified"))
     return registry.withColumn("modified", done)
@@ -231,11 +239,11 @@ def export_category(
 
 def export_category_tsv(person_attr: DataFrame, index: DataFrame, category: str, base: str) -> str | None:
     """Tab-separated export to ``<base>/<safe name>.tsv``; nothing is written for an empty category."""
-    rows = person_attr.filter(F.col("category") == category)
+    rows = as_keyed(person_attr).filter(F.col("category") == category)
     if rows.isEmpty():
         return None
     path = f"{base}/{_safe_name(category)}.tsv"
-    lines = export_lines(rows, index, rows.select("category").distinct(), separator="\t")
+    lines = export_lines(rows, index, separator="\t")
     lines.select("line").orderBy("line").write.text(path)
     return path
 

@@ -1,26 +1,37 @@
 """Attribute files that arrive over time.
 
-Each micro-batch is parsed, matched and written below ``delta/batch=N``.  A
-batch that runs again after a failure overwrites its own folder, so nothing is
+Each micro-batch is parsed, matched and written below ``delta/batch=N``, with
+the attribute names and the files it brought in folders next to it.  A batch that runs again after a failure overwrites its own folder, so nothing is
 counted twice, and no batch rewrites what earlier ones wrote.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..graph import Graph
 from ..operators.attributes import match_attributes, merge_attributes
-from ..session import empty_like
-from ..sources.attributes import category_from_file_name, parse_attribute_lines, text_lines, with_order
+from ..operators.numbering import dense_index
+from ..session import empty_like, materialize
+from ..sources.attributes import (
+    attribute_names,
+    category_from_file_name,
+    not_blank,
+    parse_attribute_lines,
+    text_lines,
+    with_order,
+)
 
 PLACE = "STRUCT<part: STRING, line: BIGINT>"
+LOAD = "STRUCT<batch: BIGINT, time: TIMESTAMP, file: STRING>"
 DELTA = (
     "person_id STRING, category STRING, attr STRING, value STRING, "
-    f"batch STRUCT<batch: BIGINT, time: TIMESTAMP, file: STRING>, first_ord {PLACE}, ord {PLACE}"
+    f"batch {LOAD}, first_ord {PLACE}, ord {PLACE}"
 )
+NAMES = f"category STRING, attr STRING, load {LOAD}, place BIGINT"
+FILES = f"file STRING, load {LOAD}, tabbed BOOLEAN, filled BOOLEAN"
 
 
 def _ingest(graph: Graph, batch: DataFrame, number: int, store: str) -> None:
@@ -32,7 +43,8 @@ def _ingest(graph: Graph, batch: DataFrame, number: int, store: str) -> None:
     lines = batch.drop("time").join(times, "file").withColumn("load", load)
     name = category_from_file_name(F.col("file")).alias("name")
     keyed = lines.select(F.struct(name, "load").alias("category"), "line", "ord")
-    matched = match_attributes(graph, parse_attribute_lines(keyed)).person_attr
+    entries = materialize(parse_attribute_lines(keyed), "entries").df
+    matched = match_attributes(graph, entries).person_attr
     rows = matched.select(
         "person_id",
         F.col("category.name").alias("category"),
@@ -43,6 +55,13 @@ def _ingest(graph: Graph, batch: DataFrame, number: int, store: str) -> None:
         "ord",
     )
     rows.write.mode("overwrite").parquet(f"{store}/delta/batch={number}")
+    placed = dense_index(attribute_names(entries), ["ord", "attr"], ("category",), "place")
+    seen = placed.select(F.col("category.name").alias("category"), "attr", F.col("category.load").alias("load"), "place")
+    seen.write.mode("overwrite").parquet(f"{store}/names/batch={number}")
+    shape = lines.groupBy("file", "load").agg(
+        F.bool_or(F.contains("line", F.lit("\t"))).alias("tabbed"), F.bool_or(not_blank(F.col("line"))).alias("filled")
+    )
+    shape.write.mode("overwrite").parquet(f"{store}/files/batch={number}")
 
 
 def ingest_attribute_drops(graph: Graph, folder: str, store: str, files_per_batch: int | None = None) -> StreamingQuery:
@@ -62,5 +81,42 @@ def ingest_attribute_drops(graph: Graph, folder: str, store: str, files_per_batc
 
 def read_attribute_store(spark: SparkSession, store: str) -> DataFrame:
     """All drops merged: one row per person, category and attribute, the newest file wins."""
-    deltas = spark.read.schema(DELTA).option("recursiveFileLookup", True).parquet(f"{store}/delta")
+    deltas = _deltas(spark, store, "delta", DELTA)
     return merge_attributes(empty_like(deltas), deltas)
+
+
+def read_attribute_types(spark: SparkSession, store: str) -> DataFrame:
+    """``category, attr, ordinal, active`` as loading the files one by one numbers them.
+
+    An attribute's number is how many its category had before the file that
+    brought it, plus its place in that file.
+    """
+    names = _deltas(spark, store, "names", NAMES)
+    first = names.groupBy("category", "attr").agg(F.min(F.struct("load", "place")).alias("first"))
+    # one row per category and file
+    brought = first.groupBy("category", F.col("first.load").alias("load")).agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("category").orderBy("load").rowsBetween(Window.unboundedPreceding, -1)
+    before = brought.select("category", "load", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("existing"))
+    return (
+        first.select("category", "attr", "first.*")
+        .join(before, ["category", "load"])
+        .select("category", "attr", (F.col("existing") + F.col("place")).alias("ordinal"), F.lit(True).alias("active"))
+    )
+
+
+def read_category_registry(spark: SparkSession, store: str) -> DataFrame:
+    """The last file of each category; files of blank lines make empty categories."""
+    info = F.struct(
+        F.substring_index("file", "/", -1).alias("filename"),
+        F.lit(None).cast("string").alias("url"),
+        F.when(F.col("filled") & F.col("tabbed"), "tab").otherwise("comma").alias("format"),
+        (~F.col("filled")).alias("is_empty"),
+    )
+    files = _deltas(spark, store, "files", FILES)
+    category = category_from_file_name(F.col("file")).alias("category")
+    last = files.groupBy(category).agg(F.max_by(info, "load").alias("info"))
+    return last.select("category", "info.*", F.lit(False).alias("modified"))
+
+
+def _deltas(spark: SparkSession, store: str, kind: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{store}/{kind}")

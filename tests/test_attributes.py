@@ -5,7 +5,12 @@ from pyspark.sql import functions as F
 from arbora.operators import attributes as A
 from arbora.session import rows_of
 from arbora.sources import attributes as S
-from arbora.streaming.drops import ingest_attribute_drops, read_attribute_store
+from arbora.streaming.drops import (
+    ingest_attribute_drops,
+    read_attribute_store,
+    read_attribute_types,
+    read_category_registry,
+)
 
 SAMPLE = "p-1\tAlpha\r\np-2,Beta, Lead \r\n   \r\np-1\tAlpha\tnew\r\nonly one\r\n\tNoId\r\np-3,\r\np-2\tGamma\t\r\nA@x.org,Beta,mail"
 
@@ -138,6 +143,15 @@ def test_export_round_trip(spark, people, tmp_path):
     assert safe == "d_ä.tsv"
 
 
+def test_a_double_colon_ends_a_name(spark, people):
+    attrs = spark.createDataFrame([("p-1", "c", "x::y", "1", 0, 0, 0)], ATTR)
+    types = spark.createDataFrame([("c", "x::y", 0, True)], TYPE)
+    registry = rows_of(spark, [("c", "tab", False)], "category STRING, format STRING, is_empty BOOLEAN")
+    assert rows(S.export_lines(attrs, people.index, registry)) == [("c", "a@X.org\tx")]
+    assert rows(A.attribute_legend(types, registry)) == [("c", "x", True, True)]
+    assert rows(A.person_category_flag(people, attrs, types)) == [("p-1", "c", "x")]
+
+
 def test_files_read_in_line_order_over_many_splits(spark, tmp_path):
     size = 4 << 20
     count = 60_000
@@ -173,6 +187,13 @@ def test_drops_merge_once_and_newest_wins(spark, people, tmp_path):
     assert rows(got, "person_id", "category", "attr", "value") == [
         ("p-1", "c", "x", "new"), ("p-2", "c", "y", "1"), ("p-3", "c", "z", "1"),
     ]
+    # x is known to the second file and still takes place 0 there
+    assert rows(read_attribute_types(spark, str(store)), "category", "attr", "ordinal") == [("c", "x", 0), ("c", "y", 1), ("c", "z", 3)]
+    (folder / "later.txt").write_text(" \n\t\n")
+    ingest_attribute_drops(people, str(folder), str(store)).awaitTermination()
+    assert rows(read_category_registry(spark, str(store)), "category", "filename", "format", "is_empty") == [
+        ("c", "c.csv", "comma", False), ("later", "later.txt", "comma", True),
+    ]
 
 
 def test_rings_flags_and_legend(spark, people):

@@ -90,6 +90,11 @@ def test_search(spark, make_graph):
     assert len(search.search_nodes(g, "p11", limit=3).collect()) == 3
 
 
+def test_roots_are_limited():
+    assert search.add_root(["a"], "b") == ["a", "b"] and search.add_root(["a"], "a") == ["a"]
+    assert search.add_root(list("abcde"), "f") == list("abcde")
+
+
 def test_resolve_by_priority(spark, make_graph):
     g = make_graph([{"id": "x", "label": "same"}, {"id": "same", "label": "y@z"}, {"id": "e", "email": "y@z", "label": "X"}], [], [])
     texts = spark.createDataFrame([(" SAME ",), ("Y@Z",), ("X",), ("?",), ("",), ("E",)], "text STRING")
@@ -134,6 +139,14 @@ def test_hiding(spark, make_graph, roots_of):
     shown = visibility.toggle_temp_visible(rows_of(spark, [], "root_id STRING"), by_root, roots_of("a", "lone"))
     assert rows(shown) == ["a"]
     assert rows(visibility.toggle_temp_visible(shown, by_root, roots_of("a"))) == []
+    both = visibility.Hidden(by_root, shown)
+    once = visibility.toggle_hidden(g, both, roots_of("a", "lone"))
+    assert rows(once.by_root) == [("b", "c")] and rows(once.shown_roots) == []
+    twice = visibility.toggle_hidden(g, once, roots_of("a"))
+    assert rows(twice.by_root) == rows(by_root)
+    everything = visibility.toggle_show_all(both)
+    assert everything.show_all and rows(everything.shown_roots) == []
+    assert not visibility.toggle_show_all(everything).show_all
     table = legend.hidden_legend(g, visibility.Hidden(by_root, shown))
     assert rows(table) == [("a", "a", 2, True), ("b", "b", 1, False)]
 
