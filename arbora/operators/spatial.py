@@ -18,73 +18,118 @@ from ..session import materialize
 
 POINTS = "ARRAY<STRUCT<x: DOUBLE, y: DOUBLE>>"
 PARTIAL = "root_id STRING, x DOUBLE, y DOUBLE, ord BIGINT, n BIGINT"
+# A hot group is merged over this many tasks before its last step.
 MERGE_BUCKETS = 64
+# Tasks reduce this many rows at a time; groups below the second number stay as they are.
+HELD_ROWS, SMALL_GROUP = 200_000, 32
 GRID = 32
 
 # The task functions travel with the plan, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+def _without_inner(points: np.ndarray) -> np.ndarray:
+    """Leave out points clearly inside the polygon of the extremes in eight directions."""
+    turns = np.arange(8) * np.pi / 4
+    rim = points[np.argmax(points @ np.vstack([np.cos(turns), np.sin(turns)]), axis=0)]
+    following = np.roll(rim, -1, axis=0)
+    step = following - rim
+    crosses = step[:, 0] * (points[:, 1:] - rim[:, 1]) - step[:, 1] * (points[:, :1] - rim[:, 0])
+    # sides of no length say nothing; the margin keeps points that may lie on a side
+    margin = 1e-9 * float(np.square(np.ptp(rim, axis=0)).sum())
+    inside = ((crosses > margin) | (step == 0).all(axis=1)).all(axis=1)
+    return points[~inside] if margin > 0 else points
+
+
 def convex_hull(points: np.ndarray) -> np.ndarray:
     """Corner points, from the rightmost one over the lower side and back over the
     upper side; fewer than three rows if all points are on one line."""
-    pts = np.unique(points, axis=0)
+    if len(points) > 2 * SMALL_GROUP:
+        points = _without_inner(points)
+    pts = np.unique(points, axis=0).tolist()
     if len(pts) < 3:
-        return pts
+        return np.array(pts)
 
-    def side(ordered: np.ndarray) -> list[np.ndarray]:
-        chain: list[np.ndarray] = []
+    def side(ordered: list) -> list:
+        chain: list = []
         for p in ordered:
             while len(chain) > 1:
-                a, b = chain[-2], chain[-1]
-                if (b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0]) > 0:
+                (ax, ay), (bx, by) = chain[-2], chain[-1]
+                if (bx - ax) * (p[1] - ay) - (by - ay) * (p[0] - ax) > 0:
                     break
                 chain.pop()
             chain.append(p)
         return chain
 
-    lower = side(pts)
-    upper = side(pts[::-1])
-    return np.array(lower[::-1] + upper[::-1][1:-1])
+    return np.array(side(pts)[::-1] + side(pts[::-1])[::-1][1:-1])
 
 
-def _reduced(root: str, rows: pd.DataFrame) -> pd.DataFrame:
-    """The rows of a group with fewer points and the same hull.
+def _reduced(rows: pd.DataFrame) -> pd.DataFrame:
+    """Fewer rows with the same hull per group.
 
-    ``n`` adds up to the number of entries.  Up to two entries stay as they
-    are, because they are drawn differently.
+    ``n`` adds up to the number of entries of a group.  Small groups stay as
+    they are: one or two entries are drawn differently, and the rest is cheap.
     """
-    entries = int(rows["n"].sum())
-    if entries <= 2:
+    codes, roots = pd.factorize(rows["root_id"])
+    sizes = np.bincount(codes, minlength=len(roots))
+    large = sizes[codes] > SMALL_GROUP
+    if not large.any():
         return rows
-    corners = convex_hull(rows[["x", "y"]].to_numpy())
-    kept = pd.DataFrame({"root_id": root, "x": corners[:, 0], "y": corners[:, 1], "ord": 0, "n": 0})
-    kept.loc[0, "n"] = entries
-    return kept
+    parts = [rows[~large]]
+    rows, codes = rows[large], codes[large]
+    order = np.argsort(codes, kind="stable")
+    points, entries = rows[["x", "y"]].to_numpy()[order], rows["n"].to_numpy()[order]
+    starts = np.flatnonzero(np.diff(codes[order], prepend=-1))
+    for start, end in zip(starts, [*starts[1:], len(order)]):
+        corners = convex_hull(points[start:end])
+        n = np.zeros(len(corners), dtype="int64")
+        n[0] = entries[start:end].sum()
+        root = roots[codes[order[start]]]
+        parts.append(pd.DataFrame({"root_id": root, "x": corners[:, 0], "y": corners[:, 1], "ord": 0, "n": n}))
+    return pd.concat(parts, ignore_index=True)
 
 
 def _shrink(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Every group of this task, reduced."""
-    groups: dict[str, pd.DataFrame] = {}
+    """All rows of a task, reduced; what does not get smaller is passed on."""
+    held: list[pd.DataFrame] = []
     for batch in batches:
-        for root, rows in batch.assign(n=1).groupby("root_id", sort=False):
-            if root in groups:
-                rows = pd.concat([groups[root], rows])
-            groups[root] = _reduced(root, rows)
-    yield from groups.values()
-
-
-def _merge(rows: pd.DataFrame) -> pd.DataFrame:
-    return _reduced(rows["root_id"].iloc[0], rows)
-
-
-def _outline(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = _merge(rows).sort_values("ord", kind="stable")
-    entries = int(rows["n"].sum())
-    points = [{"x": x, "y": y} for x, y in zip(rows["x"], rows["y"])]
-    if entries > 2 and len(points) < 3:
-        points = []
-    return pd.DataFrame({"root_id": [rows["root_id"].iloc[0]], "n": [entries], "points": [points]})
+        held.append(batch)
+        if sum(map(len, held)) >= HELD_ROWS:
+            held = [_reduced(pd.concat(held, ignore_index=True))]
+            if len(held[0]) > HELD_ROWS // 2:
+                yield held.pop()
+    if held:
+        yield _reduced(pd.concat(held, ignore_index=True))
+
+
+def _closed(rows: pd.DataFrame) -> pd.DataFrame:
+    """One row per group of rows sorted by group and position."""
+    names, points, entries = rows["root_id"].to_numpy(), rows[["x", "y"]].to_numpy(), rows["n"].to_numpy()
+    starts = np.flatnonzero(names != np.roll(names, 1)) if len(set(names[[0, -1]])) > 1 else np.array([0])
+    counts = np.add.reduceat(entries, starts)
+    outlines = []
+    for start, end, n in zip(starts, [*starts[1:], len(names)], counts):
+        corners = points[start:end] if n <= 2 else convex_hull(points[start:end])
+        closed = n <= 2 or len(corners) > 2
+        outlines.append([{"x": x, "y": y} for x, y in corners] if closed else [])
+    return pd.DataFrame({"root_id": names[starts], "n": counts, "points": outlines})
+
+
+def _outlines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Close every group once all of its rows were read."""
+    rest = None
+    for batch in batches:
+        rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        if rows.empty:
+            continue
+        unfinished = (rows["root_id"] == rows["root_id"].iloc[-1]).to_numpy()
+        rest = rows[unfinished]
+        if len(rest) > HELD_ROWS:
+            rest = _reduced(rest)
+        if not unfinished.all():
+            yield _closed(rows[~unfinished])
+    if rest is not None:
+        yield _closed(rest)
 
 
 def hull_vertices(members: DataFrame) -> DataFrame:
@@ -92,12 +137,14 @@ def hull_vertices(members: DataFrame) -> DataFrame:
 
     Entries on one line give no points.  The hull of partial hulls is the hull:
     every task first shrinks what it reads, groups that many tasks share are
-    merged over several buckets, and only corner points reach the last step.
+    shrunk again over several buckets, and only corner points and small groups
+    reach the last step.
     """
-    partial = members.select("root_id", "x", "y", "ord").mapInPandas(_shrink, PARTIAL)
-    spread = partial.withColumn("bucket", F.pmod(F.xxhash64("x", "y"), F.lit(MERGE_BUCKETS)))
-    merged = spread.groupBy("root_id", "bucket").applyInPandas(lambda rows: _merge(rows.drop(columns="bucket")), PARTIAL)
-    return merged.groupBy("root_id").applyInPandas(_outline, f"root_id STRING, n BIGINT, points {POINTS}")
+    rows = members.select("root_id", "x", "y", "ord", F.lit(1).cast("bigint").alias("n"))
+    bucket = F.pmod(F.xxhash64("x", "y"), F.lit(MERGE_BUCKETS))
+    spread = rows.mapInPandas(_shrink, PARTIAL).repartition("root_id", bucket)
+    whole = spread.mapInPandas(_shrink, PARTIAL).repartition("root_id").sortWithinPartitions("root_id", "ord")
+    return whole.mapInPandas(_outlines, f"root_id STRING, n BIGINT, points {POINTS}")
 
 
 def padded_polygon(n: Column, points: Column, pad: float, radius: float = NODE_RADIUS) -> Column:
