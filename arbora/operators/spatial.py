@@ -22,7 +22,8 @@ PARTIAL = "root_id STRING, x DOUBLE, y DOUBLE, ord BIGINT, n BIGINT"
 MERGE_BUCKETS = 64
 # Tasks reduce this many rows at a time; groups below the second number stay as they are.
 HELD_ROWS, SMALL_GROUP = 200_000, 32
-GRID = 32
+# Cells along the longer side of a hull, and how often the grid may be halved.
+GRID, FINEST_GRID = 16, 20
 
 # The task functions travel with the plan, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -229,9 +230,11 @@ def hulls_at_point(
 ) -> DataFrame:
     """``id, org_id, depth, label`` of the allowed hulls that contain each point.
 
-    ``orgs`` has ``org_id, depth, label``.  Hulls are laid over a grid once.  A
-    cell no side touches lies wholly inside or outside its hull, so its points
-    need no test; in the other cells the sides are counted.
+    ``orgs`` has ``org_id, depth, label``.  Each hull is laid over a grid that
+    suits its size, so it covers at most (GRID + 1)^2 cells, and points are
+    looked up once per grid in use.  A cell no side touches lies wholly inside
+    or outside its hull, so its points need no test; in the other cells the
+    sides are counted.
     """
     shapes = hulls.filter(F.size("polygon") >= 3).withColumnRenamed("root_id", "org_id")
     shapes = shapes.join(allowed.select("org_id").distinct(), "org_id", "left_semi").join(orgs, "org_id")
@@ -250,36 +253,45 @@ def hulls_at_point(
     west, east, south, north = boxed.agg(F.min("x0"), F.max("x1"), F.min("y0"), F.max("y1")).first()
     if west is None:
         west, east, south, north = 0.0, 1.0, 0.0, 1.0
-    across, along = (east - west) / GRID or 1.0, (north - south) / GRID or 1.0
+    extent = max(east - west, north - south) or 1.0
 
-    def cell(value: Column, low: float, width: float) -> Column:
-        return F.floor((value - low) / width).cast("int")
+    grid = F.col("grid")
+    width = F.element_at(F.array(*[F.lit(extent / GRID / 2**k) for k in range(FINEST_GRID + 1)]), grid + 1)
+    span = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    halvings = F.floor(F.log2(F.lit(extent) / F.when(span > 0, span)))
+    fitting = F.least(F.lit(FINEST_GRID), F.greatest(F.lit(0), F.coalesce(halvings, F.lit(FINEST_GRID)))).cast("int")
 
-    def edge(number: Column, low: float, width: float) -> Column:
-        return F.lit(low) + number * F.lit(width)
+    def cell(value: Column, low: float) -> Column:
+        return F.floor((value - low) / width)
 
-    def covered(first: str, last: str, low: float, width: float) -> Column:
-        return F.explode(F.sequence(cell(F.col(first), low, width), cell(F.col(last), low, width)))
+    def covered(first: str, last: str, low: float) -> Column:
+        return F.explode(F.sequence(cell(F.col(first), low), cell(F.col(last), low)))
 
     cx, cy = F.col("cx"), F.col("cy")
     margin = 1e-6
     box = (
-        edge(cx - margin, west, across),
-        edge(cx + 1 + margin, west, across),
-        edge(cy - margin, south, along),
-        edge(cy + 1 + margin, south, along),
+        west + (cx - margin) * width,
+        west + (cx + 1 + margin) * width,
+        south + (cy - margin) * width,
+        south + (cy + 1 + margin) * width,
     )
-    cells = (
-        boxed.withColumn("cx", covered("x0", "x1", west, across))
-        .withColumn("cy", covered("y0", "y1", south, along))
+    middle = _inside(F.col("sides"), west + (cx + 0.5) * width, south + (cy + 0.5) * width)
+    laid = (
+        boxed.withColumn("grid", fitting)
+        .withColumn("cx", covered("x0", "x1", west))
+        .withColumn("cy", covered("y0", "y1", south))
         .withColumn("cut", F.exists("sides", lambda side: _touches(side, *box)))
-        .filter(F.col("cut") | _inside(F.col("sides"), edge(cx + 0.5, west, across), edge(cy + 0.5, south, along)))
-        .select("org_id", "depth", "label", "cx", "cy", F.when(F.col("cut"), F.col("sides")).alias("sides"))
+        .filter(F.col("cut") | middle)
+        .select("org_id", "depth", "label", "grid", "cx", "cy", F.when(F.col("cut"), F.col("sides")).alias("sides"))
     )
-    cells = materialize(cells, "cells").df
-    located = points.filter("x IS NOT NULL AND y IS NOT NULL").select(
-        "id", "x", "y", cell(F.col("x"), west, across).alias("cx"), cell(F.col("y"), south, along).alias("cy")
+    cells = materialize(laid, "cells").df
+    # at most FINEST_GRID + 1 values
+    grids = [row.grid for row in cells.select("grid").distinct().collect()]
+    located = (
+        points.filter("x IS NOT NULL AND y IS NOT NULL")
+        .select("id", "x", "y", F.explode(F.array(*map(F.lit, grids)).cast("array<int>")).alias("grid"))
+        .withColumns({"cx": cell(F.col("x"), west), "cy": cell(F.col("y"), south)})
     )
     hit = F.col("sides").isNull() | _inside(F.col("sides"), F.col("x"), F.col("y"))
-    found = located.join(cells, ["cx", "cy"]).filter(hit).select("id", "org_id", "depth", "label")
+    found = located.join(cells, ["grid", "cx", "cy"]).filter(hit).select("id", "org_id", "depth", "label")
     return found.orderBy("id", F.desc("depth"), collate(F.col("label")), "org_id") if ordered else found

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..session import materialize
+from ..session import materialize, read_stored
 from .traverse import attach_level, legend_orgs, levels_from_roots, org_ancestors, typed_bfs
 from .visibility import Hidden, hidden_ids
 
@@ -23,19 +23,20 @@ class Subgraph:
     hidden_count: DataFrame | None = None
 
 
-def filter_hidden(nodes: DataFrame, hidden: Hidden) -> DataFrame:
-    return nodes.join(hidden_ids(hidden), "id", "left_anti")
+def filter_hidden(nodes: DataFrame, gone: DataFrame) -> DataFrame:
+    """Without the ids of ``hidden_ids``."""
+    return nodes.join(gone, "id", "left_anti")
 
 
-def count_hidden(nodes: DataFrame, hidden: Hidden) -> DataFrame:
+def count_hidden(nodes: DataFrame, gone: DataFrame) -> DataFrame:
     """How many of a root's nodes the filter drops; roots that lose none count 0."""
-    marks = hidden_ids(hidden).withColumn("hidden", F.lit(1))
+    marks = gone.withColumn("hidden", F.lit(1))
     dropped = F.coalesce(F.sum("hidden"), F.lit(0)).alias("hidden_count")
     return nodes.join(marks, "id", "left").groupBy("root_id").agg(dropped)
 
 
 def management_filter(
-    graph: Graph, nodes: DataFrame, reach: DataFrame, mode: str, hidden: Hidden | None = None
+    graph: Graph, nodes: DataFrame, reach: DataFrame, mode: str, gone: DataFrame | None = None
 ) -> DataFrame:
     """Drop basis persons, then bring back the visible managers of those kept.
 
@@ -50,9 +51,8 @@ def management_filter(
         F.col("target").alias("report"), F.col("source").alias("manager"), "ord"
     )
     taken = kept.select(*keys)
-    banned = None if hidden is None else hidden_ids(hidden)
-    best = materialize(taken.withColumn("pos", F.lit(-1).cast("bigint")), "pos")
-    frontier, added = best, None
+    frontier = materialize(taken.withColumn("pos", F.lit(-1).cast("bigint")), "pos")
+    paths: list[str] = []
     while frontier.rows:
         later = (
             frontier.df.withColumnRenamed("id", "report")
@@ -62,17 +62,19 @@ def management_filter(
             .agg(F.min("ord").alias("pos"))
             .join(taken, keys, "left_anti")
         )
-        if banned is not None:
-            later = later.join(banned, "id", "left_anti")
+        if gone is not None:
+            later = later.join(gone, "id", "left_anti")
         if mode == "down":
             later = later.join(reach.select(*keys), keys, "left_semi")
-        if added is not None:
+        if paths:
+            added = read_stored(graph.spark, frontier, paths)
             known = added.groupBy(*keys).agg(F.min("pos").alias("known"))
             later = later.join(known, keys, "left").filter("known IS NULL OR pos < known").drop("known")
         frontier = materialize(later.select(*keys, "pos"), "pos")
-        added = frontier.df if added is None else added.unionByName(frontier.df)
-    if added is None:
+        paths.append(frontier.path)
+    if not paths:
         return kept
+    added = read_stored(graph.spark, frontier, paths)
     levels = added.select(*keys).distinct().join(reach.select(*keys, "level"), keys, "left")
     returned = levels.withColumn("level", F.coalesce("level", F.lit(0).cast("bigint")))
     return kept.unionByName(attach_level(graph, returned).select(*kept.columns))
@@ -100,12 +102,13 @@ def compute_subgraph(
     reach = typed_bfs(graph, roots, depth, mode)
     legend = legend_orgs(graph, reach)
     nodes = attach_level(graph, reach)
-    dropped = None
+    dropped = gone = None
     if hidden is not None:
-        dropped = count_hidden(nodes, hidden)
-        nodes = filter_hidden(nodes, hidden)
+        gone = materialize(hidden_ids(hidden), "gone").df
+        dropped = count_hidden(nodes, gone)
+        nodes = filter_hidden(nodes, gone)
     if management:
-        nodes = management_filter(graph, nodes, reach, mode, hidden)
+        nodes = management_filter(graph, nodes, reach, mode, gone)
     nodes = materialize(nodes, "subgraph").df
     return Subgraph(nodes, induced_links(graph, nodes), legend, dropped)
 
