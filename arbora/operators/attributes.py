@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import attribute_key, collate, key_category, label_or_id
@@ -90,6 +90,34 @@ def register_attribute_types(old: DataFrame, names: DataFrame) -> DataFrame:
     return old.unionByName(fresh.select("category", "attr", ordinal, F.lit(True).alias("active")))
 
 
+def register_loads(old: DataFrame, placed: DataFrame) -> DataFrame:
+    """``register_attribute_types`` for several files at once.
+
+    ``placed`` has ``category, attr, load, place``: the place of an attribute in
+    each file that has it.  The result is that of registering the files one by
+    one in ``load`` order.
+    """
+    fresh = placed.join(old.select("category", "attr"), ["category", "attr"], "left_anti")
+    first = fresh.groupBy("category", "attr").agg(F.min(F.struct("load", "place")).alias("first"))
+    first = first.select("category", "attr", "first.*")
+    # one row per category and file
+    brought = first.groupBy("category", "load").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("category").orderBy("load").rowsBetween(Window.unboundedPreceding, -1)
+    before = brought.select("category", "load", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    existing = old.groupBy("category").agg(F.count(F.lit(1)).alias("existing"))
+    ordinal = F.coalesce("existing", F.lit(0)) + F.col("before") + F.col("place")
+    new = first.join(before, ["category", "load"]).join(existing, "category", "left")
+    return old.unionByName(
+        new.select("category", "attr", ordinal.cast("bigint").alias("ordinal"), F.lit(True).alias("active"))
+    )
+
+
+REGISTRY_FIELDS = (
+    "category STRING, filename STRING, url STRING, format STRING, is_empty BOOLEAN, modified BOOLEAN"
+)
+TYPE_FIELDS = "category STRING, attr STRING, ordinal BIGINT, active BOOLEAN"
+
+
 @dataclass(frozen=True)
 class AttributeStore:
     person_attr: DataFrame
@@ -115,11 +143,11 @@ def add_attribute(
         F.lit(0).cast("bigint").alias("ord"),
     ).distinct()
     spark = persons.sparkSession
-    typed = rows_of(spark, [(category, attr, None, True)], "category STRING, attr STRING, ordinal BIGINT, active BOOLEAN")
+    typed = rows_of(spark, [(category, attr, None, True)], TYPE_FIELDS)
     source = rows_of(
         spark,
         [(category, f"{category}.txt", None, "comma", False, True)],
-        "category STRING, filename STRING, url STRING, format STRING, is_empty BOOLEAN, modified BOOLEAN",
+        REGISTRY_FIELDS,
     )
     types = store.types.unionByName(typed.join(store.types, ["category", "attr"], "left_anti"))
     marked = store.registry.withColumn("modified", F.col("modified") | (F.col("category") == category))

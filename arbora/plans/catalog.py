@@ -14,6 +14,7 @@ from ..session import empty_like, rows_of, scratch_path
 from ..sources import attributes as files
 from ..sources.graph import read_graph_tables, write_graph_tables
 from ..streaming.drops import ingest_attribute_drops, read_attribute_store
+from .explore import explore
 from .warehouse import HIDDEN_ROOTS, ROOT, Warehouse, ask, warehouse
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -229,19 +230,19 @@ def hidden_count(w: Warehouse) -> DataFrame:
     return _subgraph(w, hidden=w.hidden).hidden_count
 
 
-def _merged(w: Warehouse, depth: int = 2, *roots: str) -> subgraph.Subgraph:
-    table = w.roots(*(roots or SUB_ROOTS))
+def _merged(w: Warehouse, depth: int, *roots: str) -> subgraph.Subgraph:
+    table = w.roots(*roots)
     return subgraph.merge_roots(w.graph, subgraph.compute_subgraph(w.graph, table, depth, "both"), table)
 
 
 @query
 def multi_root_merge(w: Warehouse) -> DataFrame:
-    return _merged(w).nodes.select("id", "type", "label", "level")
+    return _merged(w, 2, *SUB_ROOTS).nodes.select("id", "type", "label", "level")
 
 
 @query
 def allowed_orgs(w: Warehouse) -> DataFrame:
-    return subgraph.scope_allowed_orgs(w.graph, _merged(w))
+    return explore(w.graph, list(SUB_ROOTS)).allowed
 
 
 @query
@@ -606,9 +607,8 @@ def hidden_totals(w: Warehouse) -> DataFrame:
 
 @query
 def graph_stats(w: Warehouse) -> DataFrame:
-    merged = _merged(w)
-    allowed = subgraph.scope_allowed_orgs(w.graph, merged)
-    return legend.graph_stats(w.graph, merged, _some_types(w), allowed)
+    view = explore(w.graph, list(SUB_ROOTS))
+    return legend.graph_stats(w.graph, view.merged, _some_types(w), view.allowed)
 
 
 # --- export

@@ -28,8 +28,11 @@ def line_order(spark: SparkSession) -> Column:
 
 
 def source_path(path: Column) -> Column:
-    """The dropped file; part files belong to the folder they lie in."""
-    return F.regexp_replace(path, r"/part-[^/]*$", "")
+    """The dropped file; part files belong to the folder they lie in.
+
+    Scans say file:/x where listings say file:///x.
+    """
+    return F.regexp_replace(F.regexp_replace(path, r"/part-[^/]*$", ""), r"^(\w+):///", "$1:/")
 
 
 def text_lines(text: DataFrame) -> DataFrame:
@@ -71,9 +74,7 @@ def list_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
                 if not entry.getPath().getName().startswith(("_", ".")):
                     found.append((entry.getPath().toUri().toString(), entry.getLen()))
     listed = rows_of(spark, found, "file STRING, length BIGINT")
-    # file:/x and file:///x are the same place; scans write the long form
-    path = source_path(F.regexp_replace("file", r"^(\w+):/(?!/)", "$1:///"))
-    return listed.groupBy(path.alias("file")).agg(F.sum("length").alias("length"))
+    return listed.groupBy(source_path(F.col("file")).alias("file")).agg(F.sum("length").alias("length"))
 
 
 def category_from_path(path: Column) -> Column:

@@ -7,14 +7,14 @@ counted twice, and no batch rewrites what earlier ones wrote.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..graph import Graph
-from ..operators.attributes import match_attributes, merge_attributes
+from ..operators.attributes import TYPE_FIELDS, match_attributes, merge_attributes, register_loads
 from ..operators.numbering import dense_index
-from ..session import empty_like, materialize
+from ..session import empty_like, materialize, rows_of
 from ..sources.attributes import (
     attribute_names,
     category_from_file_name,
@@ -86,22 +86,8 @@ def read_attribute_store(spark: SparkSession, store: str) -> DataFrame:
 
 
 def read_attribute_types(spark: SparkSession, store: str) -> DataFrame:
-    """``category, attr, ordinal, active`` as loading the files one by one numbers them.
-
-    An attribute's number is how many its category had before the file that
-    brought it, plus its place in that file.
-    """
-    names = _deltas(spark, store, "names", NAMES)
-    first = names.groupBy("category", "attr").agg(F.min(F.struct("load", "place")).alias("first"))
-    # one row per category and file
-    brought = first.groupBy("category", F.col("first.load").alias("load")).agg(F.count(F.lit(1)).alias("n"))
-    earlier = Window.partitionBy("category").orderBy("load").rowsBetween(Window.unboundedPreceding, -1)
-    before = brought.select("category", "load", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("existing"))
-    return (
-        first.select("category", "attr", "first.*")
-        .join(before, ["category", "load"])
-        .select("category", "attr", (F.col("existing") + F.col("place")).alias("ordinal"), F.lit(True).alias("active"))
-    )
+    """``category, attr, ordinal, active`` as loading the files one by one numbers them."""
+    return register_loads(rows_of(spark, [], TYPE_FIELDS), _deltas(spark, store, "names", NAMES))
 
 
 def read_category_registry(spark: SparkSession, store: str) -> DataFrame:

@@ -196,6 +196,28 @@ def test_drops_merge_once_and_newest_wins(spark, people, tmp_path):
     ]
 
 
+def test_loading_files_one_after_the_other(spark, people, tmp_path):
+    from arbora.plans.explore import load_attribute_files, new_attribute_store
+
+    (tmp_path / "one").mkdir()
+    (tmp_path / "two").mkdir()
+    (tmp_path / "one" / "c.csv").write_text("p-1,x,old\np-2,y\nnobody,w")
+    (tmp_path / "two" / "c.tsv").write_text("p-1\tx\tnew\np-2\tz")
+    (tmp_path / "two" / "empty.txt").write_text("")
+    first = load_attribute_files(people, new_attribute_store(spark), str(tmp_path), 0)
+    assert rows(first.store.person_attr, "person_id", "category", "attr", "value") == [
+        ("p-1", "c", "x", "new"), ("p-2", "c", "y", "1"), ("p-2", "c", "z", "1"),
+    ]
+    assert rows(first.store.types) == [("c", "w", 2, True), ("c", "x", 0, True), ("c", "y", 1, True), ("c", "z", 4, True)]
+    assert rows(first.store.registry, "category", "filename", "format", "is_empty") == [
+        ("c", "c.tsv", "tab", False), ("empty", "empty.txt", "comma", True),
+    ]
+    assert rows(first.counts, "category", "batch", "matched", "unmatched") == [("c", 0, 2, 1), ("c", 1, 2, 0)]
+    again = load_attribute_files(people, first.store, str(tmp_path / "one"), 10)
+    assert ("p-1", "old") in rows(again.store.person_attr.filter("attr = 'x'"), "person_id", "value")
+    assert len(rows(again.store.types)) == 4 and rows(again.store.registry, "category", "format") == [("c", "comma"), ("empty", "comma")]
+
+
 def test_rings_flags_and_legend(spark, people):
     attrs = spark.createDataFrame(
         [("p-1", "c", "b", "1", 0, 0, 1), ("p-1", "c", "a", "5", 0, 0, 2), ("p-1", "h", "a", "1", 0, 0, 3), ("p-2", "c", "off", "1", 0, 0, 4)], ATTR

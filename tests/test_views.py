@@ -54,6 +54,10 @@ def _area_test(polygon, x, y):
 def test_points_in_random_polygons(spark):
     rng = random.Random(3)
     shapes = {f"h{i}": [(rng.uniform(0, 100), rng.uniform(0, 100)) for _ in range(rng.randint(3, 9))] for i in range(12)}
+    for i in range(12):
+        x, y, r = rng.uniform(0, 100), rng.uniform(0, 100), 10 ** rng.uniform(-1, 1)
+        shapes[f"small{i}"] = [(x, y), (x + r, y), (x + r, y + r), (x, y + r / 2)]
+    shapes["dot"] = [(5.0, 5.0)] * 3
     shapes["flat"] = [(0.0, 50.0), (100.0, 50.0), (50.0, 50.0)]
     points = {f"p{i}": (rng.uniform(-5, 105), rng.uniform(-5, 105)) for i in range(400)}
     hulls = spark.createDataFrame(list(shapes.items()), f"root_id STRING, polygon {spatial.POINTS}")
