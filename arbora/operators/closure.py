@@ -37,8 +37,7 @@ def prepare_edges(
     over many files.
     """
     if reused:
-        parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        edges = edges.repartitionByRange(parts, "v", "w").sortWithinPartitions("v")
+        edges = edges.repartitionByRange("v", "w").sortWithinPartitions("v")
     stored = materialize(edges, name)
     if stored.rows <= hub_rows:
         return Edges(stored.df, None)

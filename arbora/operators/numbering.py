@@ -16,8 +16,7 @@ def dense_index(df: DataFrame, order: list[str | Column], group: tuple[str, ...]
     its group has in earlier partitions; that table of sizes has one row per
     partition and group only.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(parts, *group, *order).withColumn("_part", F.spark_partition_id())
+    placed = df.repartitionByRange(*group, *order).withColumn("_part", F.spark_partition_id())
     stored = materialize(placed, "placed").df
     inside = Window.partitionBy("_part", *group).orderBy(*order)
     sizes = stored.groupBy("_part", *group).agg(F.count(F.lit(1)).alias("_n"))
