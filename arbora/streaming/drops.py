@@ -37,10 +37,16 @@ FILES = f"file STRING, load {LOAD}, tabbed BOOLEAN, filled BOOLEAN"
 def _ingest(graph: Graph, batch: DataFrame, number: int, store: str) -> None:
     batch = with_order(graph.spark, batch)
     # one row per file; parts of a folder count as one file, as old as its oldest part
-    times = batch.groupBy("file").agg(F.min("time").alias("time"))
-    load = F.struct(F.lit(number).cast("bigint").alias("batch"), "time", "file")
+    shape = batch.groupBy("file").agg(
+        F.min("time").alias("time"),
+        F.bool_or(F.contains("line", F.lit("\t"))).alias("tabbed"),
+        F.bool_or(not_blank(F.col("line"))).alias("filled"),
+    )
+    load = F.struct(F.lit(number).cast("bigint").alias("batch"), "time", "file").alias("load")
+    files = materialize(shape.select("file", load, "tabbed", "filled"), "files").df
+    files.write.mode("overwrite").parquet(f"{store}/files/batch={number}")
     # a file is one load: entries of different files never mix
-    lines = batch.drop("time").join(times, "file").withColumn("load", load)
+    lines = batch.drop("time").join(files.select("file", "load"), "file")
     name = category_from_file_name(F.col("file")).alias("name")
     keyed = lines.select(F.struct(name, "load").alias("category"), "line", "ord")
     entries = materialize(parse_attribute_lines(keyed), "entries").df
@@ -58,10 +64,6 @@ def _ingest(graph: Graph, batch: DataFrame, number: int, store: str) -> None:
     placed = dense_index(attribute_names(entries), ["ord", "attr"], ("category",), "place")
     seen = placed.select(F.col("category.name").alias("category"), "attr", F.col("category.load").alias("load"), "place")
     seen.write.mode("overwrite").parquet(f"{store}/names/batch={number}")
-    shape = lines.groupBy("file", "load").agg(
-        F.bool_or(F.contains("line", F.lit("\t"))).alias("tabbed"), F.bool_or(not_blank(F.col("line"))).alias("filled")
-    )
-    shape.write.mode("overwrite").parquet(f"{store}/files/batch={number}")
 
 
 def ingest_attribute_drops(graph: Graph, folder: str, store: str, files_per_batch: int | None = None) -> StreamingQuery:
