@@ -92,4 +92,4 @@ def frontier_closure(
         frontier = materialize(fresh, f"level{level}")
         paths.append(frontier.path)
         total += frontier.rows
-    return Stored(read_stored(spark, frontier, paths), total, paths[0])
+    return Stored(read_stored(spark, frontier, paths), total, ",".join(paths))
