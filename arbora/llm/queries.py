@@ -9,8 +9,17 @@ from pyspark.sql import functions as F
 
 from .common import table, utf8
 from .shuffle_shards import uniform_shards
+from .topk import top_k
+from .warc import archive, base32_sha1, page_number, read_warc
 
 SHARDS = 24
+NEIGHBOURS = 5
+
+
+def op7_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five best inner products for each fiftieth row of ``embeddings``, against all rows."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return top_k(rows, rows.filter(F.col("vec_id") % 50 == 0), NEIGHBOURS)
 
 
 def op8_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,8 +35,66 @@ def op8_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of ``pages``, read back: responses with their payloads, revisits by headers alone.
+
+    Length and digest of a response are those of the payload that was read; a
+    revisit has none and takes both from its headers.
+    """
+    path = archive(table(spark, sf_dir, "pages"))
+    columns = lambda size, digest: [
+        page_number("record_id").alias("page_id"),
+        size.cast("bigint").alias("payload_bytes"),
+        digest.alias("payload_digest"),
+        "record_type",
+        page_number("refers_to").alias("refers_to"),
+    ]
+    full = read_warc(spark, path).filter("record_type = 'response'")
+    heads = read_warc(spark, path, payload=False).filter("record_type = 'revisit'")
+    return full.select(*columns(F.octet_length("payload"), base32_sha1(F.col("payload")))).unionByName(
+        heads.select(*columns(F.col("payload_bytes"), F.col("payload_digest")))
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_bit_sliced_top_k": op7_bit_sliced_top_k,
     "op8_shuffle_shards": op8_shuffle_shards,
+    "op10_warc": op10_warc,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+TOP_K_SQL = f"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+         CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id
+  WHERE q.vec_id % 50 = 0
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= {NEIGHBOURS}
+"""
+
+# Base32 of a SHA-1: five hexadecimal digits are four letters.
+_LETTERS = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(CAST('0x' || substr(h, {1 + 5 * i}, 5) AS BIGINT) // {32 ** (3 - j)} % 32 AS BIGINT) + 1, 1)"
+    for i in range(8)
+    for j in range(4)
+)
+WARC_SQL = f"""
+WITH p AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
+), d AS (
+  SELECT page_id, payload_bytes, {_LETTERS} AS payload_digest, min(page_id) OVER (PARTITION BY h, payload_bytes) AS first FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM d
+"""
+
+ORACLE_SQL: dict[str, str] = {"op7_bit_sliced_top_k": TOP_K_SQL, "op10_warc": WARC_SQL}
