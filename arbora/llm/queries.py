@@ -7,15 +7,37 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import decode, encode
 from .common import table, utf8
 from .shuffle_shards import uniform_shards
 from .topk import top_k
 from .warc import archive, base32_sha1, page_number, read_warc
 
 SHARDS = 24
+WORD_BPE = "word_bpe_49k.json"
 NEIGHBOURS = 5
 
 
+def vocabulary(name: str) -> str:
+    """Place of a public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of ``documents`` encoded and decoded; digests of ids and of the decoded text."""
+    path = vocabulary(WORD_BPE)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = decode(encode(docs, path).drop("text"), path)
+    return coded.select(
+        "doc_id",
+        F.floor(F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op7_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five best inner products for each fiftieth row of ``embeddings``, against all rows."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
@@ -57,6 +79,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_transducer_bpe": op3_transducer_bpe,
     "op7_bit_sliced_top_k": op7_bit_sliced_top_k,
     "op8_shuffle_shards": op8_shuffle_shards,
     "op10_warc": op10_warc,
