@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import decode, encode
-from .common import table, utf8
+from .common import fold, table, utf8
+from .language_id import identify, train
 from .shuffle_shards import uniform_shards
 from .topk import top_k
+from .toxicity import score as score_toxicity
+from .toxicity import train as train_toxicity
 from .warc import archive, base32_sha1, page_number, read_warc
 
 SHARDS = 24
@@ -38,6 +41,19 @@ def op3_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text, learnt from the labelled texts outside fold 0 of 5."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(fold("doc_id", 5) != 0)
+    scored = score_toxicity(docs, train_toxicity(docs.join(labels, "doc_id")))
+    return scored.select(
+        "doc_id",
+        (fold("doc_id", 5) == 0).alias("held_out"),
+        F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op7_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five best inner products for each fiftieth row of ``embeddings``, against all rows."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
@@ -57,6 +73,20 @@ def op8_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text, learnt from the labelled texts outside fold 2 of 4."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = train(docs.filter(fold("doc_id", 4) != 2))
+    found = identify(docs.select("doc_id", "text"), model)
+    return found.select(
+        "doc_id",
+        (fold("doc_id", 4) == 2).alias("held_out"),
+        "lang_pred",
+        F.col("lang_score").alias("score"),
+        F.col("lang_bits").alias("code_bits"),
+    )
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives of ``pages``, read back: responses with their payloads, revisits by headers alone.
 
@@ -80,8 +110,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_transducer_bpe": op3_transducer_bpe,
+    "op4_string_kernel_toxicity": op4_string_kernel_toxicity,
     "op7_bit_sliced_top_k": op7_bit_sliced_top_k,
     "op8_shuffle_shards": op8_shuffle_shards,
+    "op9_ppm_language": op9_ppm_language,
     "op10_warc": op10_warc,
 }
 
