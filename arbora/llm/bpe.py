@@ -33,7 +33,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # Words in the transducer at most; a parameter of ``lexicon``. Other words are merged exactly.
 LEXICON_WORDS = 100_000
 # Words whose ids a task remembers.
-MEMO_WORDS = 200_000
+MEMO_WORDS = 500_000
 # Bytes of text that a task tokenises before it looks words up together.
 TEXT_BYTES = 4 << 20
 
@@ -102,12 +102,16 @@ class Tokenizer:
         parts[-1] += self.end
         if len(parts) > 48:
             return self._merge_long(parts)
-        ranks = self.ranks
-        while len(parts) > 1:
-            best, at = min((ranks.get(p, len(ranks)), n) for n, p in enumerate(zip(parts, parts[1:], strict=False)))
-            if best == len(ranks):
-                break
+        get, last = self.ranks.get, len(self.ranks)
+        ranks = [get(p, last) for p in zip(parts, parts[1:], strict=False)]
+        while ranks and (best := min(ranks)) < last:
+            at = ranks.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = get((parts[at - 1], parts[at]), last)
+            if at < len(ranks):
+                ranks[at] = get((parts[at], parts[at + 1]), last)
         return [self.vocab[p] for p in parts]
 
     def _merge_long(self, parts: list) -> list[int]:
@@ -266,7 +270,7 @@ def _count_words(path: str):
         for batch in batches:
             for text in batch.column(0):
                 seen.update(tokenizer.split(text.as_py() or ""))
-                if len(seen) > 2 * MEMO_WORDS:
+                if len(seen) > MEMO_WORDS:
                     yield flush()
         yield flush()
 
@@ -354,7 +358,7 @@ def _decode(path: str):
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _tokenizer(path).tokens
         for batch in batches:
-            texts = [b" ".join([tokens[i] for i in np.frombuffer(b or b"", "<u4").tolist()]) for b in batch.columns[-1].to_pylist()]
+            texts = [b" ".join(map(tokens.__getitem__, np.frombuffer(b or b"", "<u4").tolist())) for b in batch.columns[-1].to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(texts, pa.binary())], names=batch.schema.names
             )

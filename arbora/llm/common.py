@@ -34,16 +34,16 @@ def utf8(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")
 
 
-def pieces(batch: pa.RecordBatch, sizes: pa.Array, limit: int) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch whose ``sizes`` add up to ``limit``, or that are one row."""
-    start = total = 0
-    for n, size in enumerate(sizes.to_pylist()):
-        if n > start and total + (size or 0) > limit:
-            yield batch.slice(start, n - start)
-            start, total = n, 0
-        total += size or 0
-    if start < batch.num_rows:
-        yield batch.slice(start)
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at least ``rows``, but for the last."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+    if sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -24,6 +24,7 @@ from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .common import free_name, small_batches, utf8
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -32,8 +33,8 @@ ORDER = 4
 # Bytes of text per language that training uses at most (whole texts, by hash order); a documented bound.
 TRAIN_BYTES = 2_000_000
 # Longer contexts are kept if they occurred this often, and at most so many in all; shorter ones come first.
-LEAST_COUNT = 24
-MOST_CONTEXTS = 40_000
+LEAST_COUNT = 32
+MOST_CONTEXTS = 24_000
 # Texts are walked in pieces of this many bytes, side by side.
 LANE = 256
 BATCH_BYTES = 4 << 20
@@ -107,8 +108,12 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", most_bytes: i
     small_batches(docs.sparkSession)
     sample = training_texts(docs, text, lang, most_bytes).select("lang", utf8("text").alias("text"))
     counts = sample.mapInArrow(_count(order), "lang STRING, k INT, code BIGINT, n BIGINT")
-    counts = counts.groupBy("lang", "k", "code").agg(F.sum("n").alias("n")).filter(F.col("n") > F.when(F.col("k") > 2, 1).otherwise(0))
-    rows = counts.toPandas()
+    counts = materialize(counts.groupBy("lang", "k", "code").agg(F.sum("n").alias("n")), "grams").df
+    # Only contexts that can become states travel to the driver; there are at most TRAIN_BYTES / LEAST_COUNT of them.
+    context = F.shiftright("code", 8)
+    often = counts.groupBy("k", context.alias("context")).agg(F.sum("n").alias("all")).filter((F.col("k") < 2) | (F.col("all") >= LEAST_COUNT))
+    kept = counts.withColumn("context", context).join(often, ["k", "context"]).select("lang", "k", "code", "n")
+    rows = kept.toArrow().to_pandas()
     if not len(rows):
         return None
     return _compile(rows, order)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .bpe import decode, encode
 from .common import fold, table, utf8
 from .language_id import identify, train
+from .lattice_lm import score_texts
 from .shuffle_shards import uniform_shards
 from .topk import top_k
 from .toxicity import score as score_toxicity
@@ -18,6 +19,7 @@ from .warc import archive, base32_sha1, page_number, read_warc
 
 SHARDS = 24
 WORD_BPE = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 NEIGHBOURS = 5
 
 
@@ -54,6 +56,12 @@ def op4_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every text, learnt from the texts outside fold 2 of 7."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_texts(docs, vocabulary(PIECES), fold("doc_id", 7) == 2, keep=["doc_id"])
+
+
 def op7_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five best inner products for each fiftieth row of ``embeddings``, against all rows."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
@@ -111,6 +119,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_transducer_bpe": op3_transducer_bpe,
     "op4_string_kernel_toxicity": op4_string_kernel_toxicity,
+    "op5_lattice_lm": op5_lattice_lm,
     "op7_bit_sliced_top_k": op7_bit_sliced_top_k,
     "op8_shuffle_shards": op8_shuffle_shards,
     "op9_ppm_language": op9_ppm_language,
