@@ -11,6 +11,7 @@ from .bpe import decode, encode
 from .common import fold, table, utf8
 from .language_id import identify, train
 from .lattice_lm import score_texts
+from .near_dedup import near_duplicates
 from .shuffle_shards import uniform_shards
 from .topk import top_k
 from .toxicity import score as score_toxicity
@@ -62,6 +63,11 @@ def op5_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(docs, vocabulary(PIECES), fold("doc_id", 7) == 2, keep=["doc_id"])
 
 
+def op6_weighted_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near duplicates of every row of ``documents``."""
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id")
+
+
 def op7_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five best inner products for each fiftieth row of ``embeddings``, against all rows."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
@@ -120,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_transducer_bpe": op3_transducer_bpe,
     "op4_string_kernel_toxicity": op4_string_kernel_toxicity,
     "op5_lattice_lm": op5_lattice_lm,
+    "op6_weighted_near_duplicates": op6_weighted_near_duplicates,
     "op7_bit_sliced_top_k": op7_bit_sliced_top_k,
     "op8_shuffle_shards": op8_shuffle_shards,
     "op9_ppm_language": op9_ppm_language,
