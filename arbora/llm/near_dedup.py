@@ -243,19 +243,43 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     one shingle.  A row with a null key has the class of its text; if no row of
     the class has a key, ``class_id`` is null.  A column class_id is replaced.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
     kept = docs.drop("class_id")
     mine = free_name(kept, "near_print")
+    marked = kept.withColumn(mine, _print(text))
+    classes = _classes(marked, mine, key, text, least).select(F.col("print").alias(mine), "class_id")
+    return marked.join(classes, mine, "left").drop(mine)
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
+    """One row of each class of near duplicates: that with the smallest key, null keys last.
+
+    Of rows with equal key and text any one stays.
+    """
+    mine = free_name(docs, "near_print")
+    marked = docs.withColumn(mine, _print(text))
+    classes = _classes(marked, mine, key, text, least)
+    best = classes.groupBy("label").agg(F.min(F.struct(F.col("first").isNull().alias("no_key"), "first", "print")).alias("best"))
+    best = best.select(F.col("best.print").alias("same"), F.col("best.first").alias("least"))
+    own = F.col(f"`{key}`").cast("bigint")
+    rows = marked.join(best, (F.col(mine) == F.col("same")) & own.eqNullSafe(F.col("least")), "left_semi")
+    return rows.dropDuplicates([mine]).drop(mine)
+
+
+def _print(text: str):
+    """Two 64-bit hashes of the whole text stand for it; null has its own."""
     body = F.col(text).cast("string")
-    # Two 64-bit hashes of the whole text stand for it; null has its own.
-    mark = F.struct(F.xxhash64(body, F.lit(1)).alias("a"), F.xxhash64(F.lit(2), body).alias("b"), body.isNull().alias("c"))
-    marked = kept.withColumn(mine, mark)
-    prints = marked.groupBy(mine).agg(F.min(F.col(key).cast("bigint")).alias("first"))
-    prints = prints.select("*", F.monotonically_increasing_id().alias("id"))
-    prints = materialize(prints.withColumnRenamed(mine, "print"), "prints").df
+    return F.struct(F.xxhash64(body, F.lit(1)).alias("a"), F.xxhash64(F.lit(2), body).alias("b"), body.isNull().alias("c"))
+
+
+def _classes(marked: DataFrame, mine: str, key: str, text: str, least: float) -> DataFrame:
+    """``print, first, label, class_id`` of every distinct text."""
+    spark = marked.sparkSession
+    small_batches(spark)
+    own = F.col(f"`{key}`").cast("bigint")
+    prints = marked.groupBy(F.col(mine).alias("print")).agg(F.min(own).alias("first"))
+    prints = materialize(prints.select("*", F.monotonically_increasing_id().alias("id")), "prints").df
     # One row of each distinct text goes on; the key in the join spreads the copies of a hot text.
-    chosen = marked.select(F.col(mine).alias("print"), body.alias("text"), F.col(key).cast("bigint").alias("own"))
+    chosen = marked.select(F.col(mine).alias("print"), F.col(text).cast("string").alias("text"), own.alias("own"))
     once = prints.select(F.col("print").alias("same"), "first", "id")
     texts = chosen.join(once, (F.col("print") == F.col("same")) & F.col("own").eqNullSafe(F.col("first")))
     texts = materialize(texts.filter("text IS NOT NULL").select("id", "text").dropDuplicates(["id"]), "texts").df
@@ -266,8 +290,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     labels = _components(links).df
     classes = prints.join(labels, "id", "left").select("print", "first", F.coalesce("label", "id").alias("label"))
     smallest = classes.groupBy("label").agg(F.min("first").alias("class_id"))
-    classes = classes.join(smallest, "label").select(F.col("print").alias(mine), "class_id")
-    return marked.join(classes, mine, "left").drop(mine)
+    return materialize(classes.join(smallest, "label"), "classes").df
 
 
 def _links(texts: DataFrame, signed: DataFrame, shared: Broadcast, least: float) -> DataFrame:

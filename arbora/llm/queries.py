@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .bpe import decode, encode
 from .common import fold, table, utf8
+from .decontaminate import flag
 from .language_id import identify, train
 from .lattice_lm import score_texts
 from .near_dedup import near_duplicates
@@ -16,12 +17,35 @@ from .shuffle_shards import uniform_shards
 from .topk import top_k
 from .toxicity import score as score_toxicity
 from .toxicity import train as train_toxicity
+from .url_filter import Rule, host_of, judge, path_of, rule_of
+from .url_filter import train as train_urls
 from .warc import archive, base32_sha1, page_number, read_warc
 
 SHARDS = 24
 WORD_BPE = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
 NEIGHBOURS = 5
+RULES = [
+    Rule("net", "/", "block"),
+    Rule("example.net", "/en/", "allow"),
+    Rule("example.com", "/de/", "block"),
+    Rule("org", "/fr/", "allow"),
+]
+
+
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of ``benchmark`` items in ``documents``: a row per document and passage, none for clean documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    flagged = flag(docs, table(spark, sf_dir, "benchmark"))
+    return flagged.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
+def op2_boosted_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every url of ``pages``; the trees learn from the urls that a rule decides."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    ruled = rule_of(host_of(F.col("url")), path_of(F.col("url")), RULES)["verdict"]
+    model = train_urls(pages.select("url", (ruled == "block").cast("int").alias("blocked")).filter("blocked IS NOT NULL"))
+    return judge(pages, RULES, model).drop("url")
 
 
 def vocabulary(name: str) -> str:
@@ -123,6 +147,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
+    "op2_boosted_urls": op2_boosted_urls,
     "op3_transducer_bpe": op3_transducer_bpe,
     "op4_string_kernel_toxicity": op4_string_kernel_toxicity,
     "op5_lattice_lm": op5_lattice_lm,
