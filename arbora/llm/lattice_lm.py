@@ -10,7 +10,8 @@ piece counts over the distinct training words (two rounds of forward-backward)
 fit them to the corpus.
 
 The work is done once per distinct word: texts are read once and turned into
-postings (word, texts that hold it), grouped in blocks.
+postings (word, texts that hold it), block by block of texts.  What a word is
+worth goes back to its blocks, where each text's sum is made.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast, TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,11 +34,11 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Rounds of fitting, discount of word counts, bytes of text and rows in a block of postings.
 ROUNDS, DISCOUNT = 2, 0.5
-BLOCK_BYTES, BLOCK_TEXTS = 12 << 20, 30_000
+BLOCK_BYTES, BLOCK_TEXTS = 16 << 20, 30_000
 # Words up to this many bytes are worked on together, longer ones one by one.
 TOGETHER = 48
 WORDS_AT_ONCE = 4096
-STORED = "block BIGINT, row INT, held_out BOOLEAN, n_tokens BIGINT, word BINARY, trained BIGINT, texts BINARY"
+STORED = "block BIGINT, row INT, held_out BOOLEAN, n_tokens BIGINT, number INT, word BINARY, trained BIGINT, postings BINARY"
 
 
 @dataclass
@@ -208,7 +210,7 @@ def expected(words: list[bytes], weights: np.ndarray, pieces: Pieces) -> tuple[n
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per text and a row per distinct word of a block of texts.
+    """A row per text, a row per distinct word of a block of texts, and one with the block's postings.
 
     Columns in: held_out, text as bytes, then those of the text rows to carry on.
     """
@@ -242,23 +244,25 @@ def _block(number: int, held: list[bytes], fold: list[bool], carried: list[pa.Re
     pairs, times = np.unique(flat * len(held) + rows, return_counts=True)
     word, row = pairs // len(held), pairs % len(held)
     trained = np.bincount(word, weights=np.where(np.array(fold)[row], 0, times), minlength=len(index)).astype(np.int64)
-    cells = np.empty((len(pairs), 2), "<u4")
-    cells[:, 0], cells[:, 1] = row, times
-    data = cells.tobytes()
-    ends = (np.searchsorted(word, np.arange(len(index) + 1)) * 8).astype(np.int32)
-    texts = pa.Array.from_buffers(pa.binary(), len(index), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+    ends = np.searchsorted(word, np.arange(len(index) + 1)).astype("<u4")
+    small = np.uint16 if times.max(initial=0) < 1 << 16 else np.uint32
+    postings = ends.tobytes() + row.astype(np.uint16).tobytes() + times.astype(small).tobytes()
     own = pa.Table.from_batches(carried).select(carried[0].schema.names[2:]).combine_chunks()
-    yield _stored(number, len(held), own, row=pa.array(range(len(held)), pa.int32()), held_out=pa.array(fold), n_tokens=pa.array([n + 1 for n in lengths], pa.int64()))
+    tokens = pa.array([n + 1 for n in lengths], pa.int64())
+    yield _stored(number, len(held), own, row=pa.array(range(len(held)), pa.int32()), held_out=pa.array(fold), n_tokens=tokens)
     words = list(index)
     for at in range(0, len(words), 50_000):
         part = slice(at, at + 50_000)
-        yield _stored(number, len(words[part]), own, word=pa.array(words[part], pa.binary()), trained=pa.array(trained[part]), texts=texts[part])
+        numbers = pa.array(np.arange(at, at + len(words[part]), dtype=np.int32))
+        yield _stored(number, len(words[part]), own, number=numbers, word=pa.array(words[part], pa.binary()), trained=pa.array(trained[part]))
+    yield _stored(number, 1, own, number=pa.array([len(words)], pa.int32()), postings=pa.array([postings], pa.binary()))
 
 
-def _stored(number: int, n: int, own: pa.Table, **given: pa.Array) -> pa.RecordBatch:
+def _stored(block: int, n: int, own: pa.Table, **given: pa.Array) -> pa.RecordBatch:
     """One batch of the stored table; columns not given are null."""
-    kinds = {"row": pa.int32(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "word": pa.binary(), "trained": pa.int64(), "texts": pa.binary()}
-    columns = {"block": pa.array(np.full(n, number, np.int64))} | {k: given.get(k, pa.nulls(n, t)) for k, t in kinds.items()}
+    kinds = {"row": pa.int32(), "held_out": pa.bool_(), "n_tokens": pa.int64()}
+    kinds |= {"number": pa.int32(), "word": pa.binary(), "trained": pa.int64(), "postings": pa.binary()}
+    columns = {"block": pa.array(np.full(n, block, np.int64))} | {k: given.get(k, pa.nulls(n, t)) for k, t in kinds.items()}
     for name in own.column_names:
         whole = own.column(name)
         columns[f"_{name}"] = (whole.chunk(0) if whole.num_chunks else pa.nulls(n, whole.type)) if "row" in given else pa.nulls(n, whole.type)
@@ -307,56 +311,57 @@ def _plain(pieces: Pieces) -> dict:
     return {"text": pieces.text, "initial": pieces.initial, "log_p": pieces.log_p, "log_stop": pieces.log_stop}
 
 
-def _add_up(shared: Broadcast, n_train: int, n_words: int, n_ends: int):
-    """Partial sums per text over the words of a task: known tokens, base, log probability."""
+def _spelled(shared: Broadcast, n_train: int, n_words: int):
+    """The log probability of each word of each block; words come in order, so a batch has each word once."""
 
-    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def spell_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(**shared.value)
-        sums: dict[int, np.ndarray] = {}
-        held = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for block, table in sums.items():
-                rows = np.flatnonzero(table.any(axis=1))
-                columns = [pa.array(np.full(len(rows), block, np.int64)), pa.array(rows.astype(np.int32))]
-                columns += [pa.array(table[rows, n]) for n in range(3)]
-                yield pa.RecordBatch.from_arrays(columns, names=["block", "row", "known", "base", "score"])
-            sums.clear()
-
         for batch in gathered(batches, 4 * WORDS_AT_ONCE):
             words = batch.column("word").to_pylist()
-            blocks = np.array(batch.column("block").to_pylist())
-            counts = np.array([c or 0 for c in batch.column("count").to_pylist()], float)
             index = {w: n for n, w in enumerate(dict.fromkeys(words))}
             spelled = spell(list(index), pieces)[[index[w] for w in words]]
-            figures = np.column_stack(
-                [counts > 0, np.log10((counts + 1) / (n_train + n_words + 1)), _word_log(counts, spelled, n_train, n_words) / np.log(10)]
-            )
-            texts = batch.column("texts").to_pylist()
-            sizes = np.array([len(t) // 8 for t in texts])
-            cells = np.frombuffer(b"".join(texts), "<u4").reshape(-1, 2)
-            at_word = np.repeat(np.arange(len(words)), sizes)
-            at_block = blocks[at_word]
-            order = np.argsort(at_block, kind="stable")
-            cuts = np.flatnonzero(np.diff(at_block[order])) + 1
-            for part in np.split(order, cuts):
-                block = int(at_block[part[0]])
-                rows, times = cells[part, 0].astype(np.int64), cells[part, 1]
-                more = np.column_stack([np.bincount(rows, weights=figures[at_word[part], n] * times) for n in range(3)])
-                if block not in sums:
-                    sums[block] = np.zeros((0, 3))
-                if len(sums[block]) < len(more):
-                    held += len(more) - len(sums[block])
-                    sums[block] = np.vstack([sums[block], np.zeros((len(more) - len(sums[block]), 3))])
-                sums[block][: len(more)] += more
-            if held > 2_000_000:
-                yield from flush()
-                held = 0
-        yield from flush()
+            counts = pc.fill_null(batch.column("count"), 0)
+            log = _word_log(counts.to_numpy().astype(float), spelled, n_train, n_words)
+            columns = [batch.column("block"), batch.column("number"), counts, pa.array(log)]
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "number", "count", "log"])
+
+    return spell_words
+
+
+def _add_up(total: int):
+    """Sums per text: a block's words in order of their numbers, then its postings."""
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: list[np.ndarray] = []
+        logs: list[np.ndarray] = []
+        for batch in batches:
+            ends = np.flatnonzero(batch.column("postings").is_valid().to_numpy(zero_copy_only=False))
+            start = 0
+            for end in [*ends.tolist(), batch.num_rows]:
+                part = batch.slice(start, end - start)
+                counts.append(part.column("count").to_numpy(zero_copy_only=False).astype(float))
+                logs.append(part.column("log").to_numpy(zero_copy_only=False))
+                if end < batch.num_rows:
+                    yield _sums(batch.column("block")[end].as_py(), batch.column("postings")[end].as_py(), np.concatenate(counts), np.concatenate(logs), total)
+                    counts, logs = [], []
+                start = end + 1
 
     return add_up
 
 
+def _sums(block: int, postings: bytes, counts: np.ndarray, logs: np.ndarray, total: int) -> pa.RecordBatch:
+    ends = np.frombuffer(postings, "<u4", len(counts) + 1)
+    n, at = int(ends[-1]), 4 * len(ends)
+    row = np.frombuffer(postings, np.uint16, n, at)
+    at += 2 * n
+    times = np.frombuffer(postings, np.uint16 if len(postings) - at == 2 * n else np.uint32, n, at)
+    figures = (counts > 0, np.log10((counts + 1) / total), logs / np.log(10))
+    uses = np.diff(ends.astype(np.int64))
+    sums = [np.bincount(row, weights=np.repeat(f, uses) * times).astype(float) for f in figures]
+    columns = [pa.array(np.full(len(sums[0]), block, np.int64)), pa.array(np.arange(len(sums[0]), dtype=np.int32)), *map(pa.array, sums)]
+    return pa.RecordBatch.from_arrays(columns, names=["block", "row", "known", "base", "score"])
+
+
 def _word_log(counts: np.ndarray, spelled: np.ndarray, n_train: int, n_words: int) -> np.ndarray:
     """Log probability of words: discounted counts, and the discounted rest spread by spelling.
 
@@ -382,7 +387,7 @@ def score_texts(docs: DataFrame, vocabulary: str, held_out: Column, text: str =
     ready = docs.select(mark.alias("held_out"), utf8(text).alias("text"), *[F.col(f"`{c}`").alias(f"c{n}") for n, c in enumerate(kept.columns)])
     carried = "".join(f", _c{n} {f.dataType.simpleString()}" for n, f in enumerate(kept.schema.fields))
     stored = materialize(ready.mapInArrow(_postings, STORED + carried), "postings").df
-    texts, words = stored.filter("row IS NOT NULL"), stored.filter("row IS NULL")
+    texts, words = stored.filter("row IS NOT NULL"), stored.filter("word IS NOT NULL")
     counts = words.groupBy("word").agg(F.sum("trained").alias("count")).filter("count > 0")
     counts = materialize(counts, "counts").df
     n_words, n_inner = counts.agg(F.count(F.lit(1)), F.sum("count")).first()
@@ -390,11 +395,11 @@ def score_texts(docs: DataFrame, vocabulary: str, held_out: Column, text: str =
     n_train, n_words = (n_inner or 0) + n_ends, n_words + (n_ends > 0)
     pieces = fit_pieces(counts, vocabulary_pieces(vocabulary), rounds)
     shared = docs.sparkSession.sparkContext.broadcast(_plain(pieces))
-    met = words.select("block", "word", "texts").join(counts, "word", "left")
-    sums = met.select("word", "block", "count", "texts").mapInArrow(
-        _add_up(shared, n_train, n_words, n_ends), "block BIGINT, row INT, known DOUBLE, base DOUBLE, score DOUBLE"
-    )
-    sums = sums.groupBy("block", "row").agg(*[F.sum(c).alias(c) for c in ("known", "base", "score")])
+    met = words.select("block", "number", "word").join(counts, "word", "left").select("word", "block", "number", "count")
+    figures = met.mapInArrow(_spelled(shared, n_train, n_words), "block BIGINT, number INT, count BIGINT, log DOUBLE")
+    postings = stored.filter("postings IS NOT NULL").select("block", "number", "postings")
+    blocks = figures.unionByName(postings, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "number")
+    sums = blocks.mapInArrow(_add_up(n_train + n_words + 1), "block BIGINT, row INT, known DOUBLE, base DOUBLE, score DOUBLE")
     n = max(n_train, 1)
     whole = max(n_ends - DISCOUNT, 0.0) / n
     # An end that was never learnt has the share that no word can have.
