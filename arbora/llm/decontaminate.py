@@ -2,7 +2,7 @@
 
 Triples of words of the test items are looked up in every text.  How many texts
 hold each triple is counted first; a triple seeds an alignment if it is rare in
-the corpus or among the rarer half of its item's.  Around the seeds the item is
+the corpus or among the rarer half of its item's that occur.  Around the seeds the item is
 aligned with the text word by word, so copies with words changed, put in or left
 out still score.
 """
@@ -24,8 +24,8 @@ from .common import free_name, small_batches
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SEED_WORDS, LEAST_WORDS = 3, 5
-# A triple in at most this share of the texts is rare.
-RARE = 1e-3
+# A triple in at most this share of the texts, or this number of them, is rare.
+RARE, RARE_TEXTS = 1e-3, 20
 MATCH, ALIKE, MISMATCH, GAP = 2.0, 1.0, -1.0, -1.0
 # Alignment score by that of the whole item from which a passage counts as a copy.
 LEAST_SCORE = 0.5
@@ -95,11 +95,11 @@ def _counted(shared: Broadcast):
 
 
 def rare_seeds(seeds: Seeds, texts: np.ndarray, total: int) -> np.ndarray:
-    """Whether each (triple, item) pair may seed: rare in the corpus, or in the rarer half of the item's."""
+    """Whether each (triple, item) pair may seed: rare in the corpus, or in the rarer half of the item's that occur."""
     n = texts[np.repeat(np.arange(len(seeds.codes)), np.diff(seeds.bounds))]
-    rare = n <= RARE * total
+    rare = n <= max(RARE * total, RARE_TEXTS)
     for item in range(len(seeds.items)):
-        own = np.flatnonzero(seeds.owner == item)
+        own = np.flatnonzero((seeds.owner == item) & (n > 0))
         rare[own[np.argsort(n[own], kind="stable")[: -(-len(own) // 2)]]] = True
     return rare
 
