@@ -87,7 +87,7 @@ def typed_edges(links: DataFrame, mode: str) -> DataFrame:
 
 def build_graph(persons: DataFrame, orgs: DataFrame, links: DataFrame) -> Graph:
     """Normalise the three collections and write the tables that queries reuse."""
-    nodes = normalize_nodes(persons, orgs)
+    nodes = materialize(normalize_nodes(persons, orgs), "nodes").df
     index = materialize(node_index(nodes), "index").df
     clean = materialize(normalize_links(links, index), "links").df
     parents = materialize(org_parent(clean), "org_parent").df

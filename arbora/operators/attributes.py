@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
 from ..functions.scalars import attribute_key, collate, key_category, label_or_id
 from ..graph import Graph
@@ -15,7 +17,6 @@ from ..sources.attributes import as_keyed
 from .numbering import dense_index
 
 ATTR_KEY = ["person_id", "category", "attr"]
-NO_BATCH = "manual"
 
 
 def resolve_identifiers(graph: Graph, identifiers: DataFrame) -> DataFrame:
@@ -125,12 +126,23 @@ class AttributeStore:
     registry: DataFrame
 
 
+def _first_of(kind: DataType, value=None) -> Column:
+    """``value``, or the smallest one that is not null, in a column type; in a struct it is the first field."""
+    if isinstance(kind, StructType):
+        first = [_first_of(f.dataType, value if n == 0 else None).alias(f.name) for n, f in enumerate(kind.fields)]
+        return F.struct(*first).cast(kind)
+    if value is None:
+        value = {"string": "", "timestamp": datetime(1970, 1, 1, tzinfo=UTC)}.get(kind.typeName(), 0)
+    return F.lit(value).cast(kind)
+
+
 def add_attribute(
     store: AttributeStore, persons: DataFrame, category: str, attr: str, batch, value: str = "1"
 ) -> AttributeStore:
     """Give the persons an attribute by hand.
 
-    Registers an unknown attribute (without an ordinal), marks the category as
+    The rows take the types of the store, whichever way it was filled: ``batch``
+    is the load's number, and the position is the first one.  Registers an unknown attribute (without an ordinal), marks the category as
     modified and gives a new category a comma-separated source file.
     """
     new = persons.select(
@@ -138,9 +150,7 @@ def add_attribute(
         F.lit(category).alias("category"),
         F.lit(attr).alias("attr"),
         F.lit(value).alias("value"),
-        F.lit(batch).alias("batch"),
-        F.lit(0).cast("bigint").alias("first_ord"),
-        F.lit(0).cast("bigint").alias("ord"),
+        *[_first_of(store.person_attr.schema[c].dataType, v).alias(c) for c, v in (("batch", batch), ("first_ord", None), ("ord", None))],
     ).distinct()
     spark = persons.sparkSession
     typed = rows_of(spark, [(category, attr, None, True)], TYPE_FIELDS)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import label_or_id, trimmed
 from ..graph import Graph
 from .numbering import dense_index
+from .traverse import org_depth
 
 
 def _folded(label: Column) -> Column:
@@ -75,12 +76,14 @@ def display_label(
 ) -> DataFrame:
     """``id, display``: the label or id, or its pseudonym when switched on.
 
-    ``depth(id, depth)`` is the level of the orgs; orgs it does not list count as level 0.
+    ``depth(id, depth)`` is the level of the orgs, computed if not given; orgs it
+    does not list count as level 0.
     """
     nodes = graph.index.select("id", "type", label_or_id(F.col("label"), F.col("id")).alias("label"), "ord")
     if not enabled or dictionary is None:
         return nodes.select("id", F.col("label").alias("display"))
     names, units = dictionary
+    depth = org_depth(graph) if depth is None else depth
     people, orgs = nodes.filter("type = 'person'"), nodes.filter("type = 'org'")
     levels = orgs.join(depth, "id", "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
     per_name = pseudonymize_names(people, names, variant)

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..graph import build_graph
 from ..operators import attributes, legend, members, normalize, pseudonym, search, spatial, subgraph, traverse, visibility
+from ..schema import CLUSTER_PAD
 from ..session import empty_like, rows_of, scratch_path
 from ..sources import attributes as files
 from ..sources.graph import read_graph_tables, write_graph_tables
 from ..streaming.drops import ingest_attribute_drops, read_attribute_store
-from .explore import explore
+from .explore import explore, load_attribute_files, new_attribute_store
 from .warehouse import HIDDEN_ROOTS, ROOT, Warehouse, ask, warehouse
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -329,7 +330,8 @@ def group_hull_padded(w: Warehouse) -> DataFrame:
 
 
 def _at_point(w: Warehouse, ordered: bool = False) -> DataFrame:
-    hulls = _vertices(w).select("root_id", F.col("points").alias("polygon"))
+    polygon = spatial.padded_polygon(F.col("n"), F.col("points"), CLUSTER_PAD)
+    hulls = _vertices(w).select("root_id", polygon.alias("polygon"))
     units = w.graph.index.selectExpr("id AS org_id", "label").join(
         w.depth.withColumnRenamed("id", "org_id"), "org_id"
     )
@@ -368,12 +370,30 @@ def _drop(w: Warehouse, lines: DataFrame, folder: str, name: str) -> None:
 CATEGORIES = {"segment": "segment.txt", "activity": "activity.tsv", "orders": "orders.csv", "planned": "planned.txt"}
 
 
+@query
+def load_attributes(w: Warehouse) -> DataFrame:
+    """Load all files, a second orders file after them, then one attribute by hand for all persons with a segment."""
+    folder = scratch_path(w.spark, "attrs")
+    for category, name in CATEGORIES.items():
+        _drop(w, w.lines.filter(F.col("category") == category), f"{folder}/first", name)
+    _drop(w, w.ask(SECOND_LOAD), f"{folder}/second", "orders.csv")
+    listed = [f"{folder}/first", f"{folder}/second"]
+    loaded = load_attribute_files(w.graph, new_attribute_store(w.spark), listed, 0, files.SPARK_PARTS).store
+    persons = loaded.person_attr.filter("category = 'segment'").select("person_id").distinct()
+    return attributes.add_attribute(loaded, persons, "mark", "by hand", 1000).person_attr.select("person_id", "category", "attr", "value")
+
+
+@query
+def display_label_own_depth(w: Warehouse) -> DataFrame:
+    return pseudonym.display_label(w.graph, None, w.dictionary)
+
+
 @query
 def read_attribute_files(w: Warehouse) -> DataFrame:
     folder = scratch_path(w.spark, "attrs")
     for category, name in CATEGORIES.items():
         _drop(w, w.lines.filter(F.col("category") == category), folder, name)
-    lines, _ = files.read_attribute_files(w.spark, folder)
+    lines, _ = files.read_attribute_files(w.spark, folder, files.SPARK_PARTS)
     named = lines.withColumn("category", files.category_from_path(F.col("file")))
     return files.parse_attribute_lines(named).select("category", "identifier", "attr", "value")
 
@@ -719,7 +739,7 @@ def attribute_stream(w: Warehouse) -> DataFrame:
     folder, store = scratch_path(w.spark, "drops"), scratch_path(w.spark, "store")
     for category, name in CATEGORIES.items():
         _drop(w, w.lines.filter(F.col("category") == category), f"{folder}/first", name)
-    ingest_attribute_drops(w.graph, folder, store).awaitTermination()
+    ingest_attribute_drops(w.graph, folder, store, parts=files.SPARK_PARTS).awaitTermination()
     _drop(w, w.ask(SECOND_LOAD), f"{folder}/second", "orders.csv")
-    ingest_attribute_drops(w.graph, folder, store).awaitTermination()
+    ingest_attribute_drops(w.graph, folder, store, parts=files.SPARK_PARTS).awaitTermination()
     return read_attribute_store(w.spark, store).select("person_id", "category", "attr", "value")

@@ -19,21 +19,17 @@ from ..operators.attributes import (
 from ..operators.numbering import dense_index
 from ..operators.subgraph import Subgraph, compute_subgraph, merge_roots, scope_allowed_orgs
 from ..operators.visibility import Hidden
+from ..schema import ATTR_FIELDS
 from ..session import materialize, rows_of
 from ..sources.attributes import (
     attribute_names,
-    category_from_path,
+    category_of_file,
     category_registry,
+    ignored_files,
     parse_attribute_lines,
     read_attribute_files,
 )
 
-ATTR_FIELDS = (
-    "person_id STRING, category STRING, attr STRING, value STRING, batch BIGINT, "
-    "first_ord STRUCT<part: STRING, line: BIGINT>, ord STRUCT<part: STRING, line: BIGINT>"
-)
-
-
 @dataclass(frozen=True)
 class View:
     """What a set of roots shows: the merged subgraph, its org scope and, if
@@ -64,21 +60,26 @@ def new_attribute_store(spark: SparkSession) -> AttributeStore:
 
 @dataclass(frozen=True)
 class Loaded:
-    """The store after a load, and per file the identifiers that matched or did not."""
+    """The store after a load, per file the identifiers that matched or did not,
+    and the files that no scan reads because of their names."""
 
     store: AttributeStore
     counts: DataFrame
+    ignored: list[str]
 
 
-def load_attribute_files(graph: Graph, store: AttributeStore, paths: str | list[str], batch: int) -> Loaded:
-    """Read, match and merge attribute files in the order of their paths.
+def load_attribute_files(
+    graph: Graph, store: AttributeStore, paths: str | list[str], batch: int, parts: str | None = None
+) -> Loaded:
+    """Read, match and merge attribute files in the order of the list, then of their names.
 
-    Each file is a load of its own; ``batch`` must grow from call to call by at
-    least the number of files.
+    Each file is a load of its own, and later ones win; ``batch`` must grow from
+    call to call by at least the number of files.  Files whose names match
+    ``parts`` are pieces of the folder they lie in.
     """
-    lines, files = read_attribute_files(graph.spark, paths)
-    numbered = dense_index(files, ["file"], name="at").select("file", (F.col("at") + F.lit(batch)).alias("batch"))
-    named = materialize(numbered.withColumn("name", category_from_path(F.col("file"))), "files").df
+    lines, files = read_attribute_files(graph.spark, paths, parts)
+    numbered = dense_index(files, ["place", "file"], name="at").select("file", (F.col("at") + F.lit(batch)).alias("batch"))
+    named = materialize(numbered.withColumn("name", category_of_file(F.col("file"))), "files").df
     # the file is part of the category while files are matched, so they do not mix
     load = F.struct("name", "batch").alias("category")
     keyed = lines.join(named, "file").select(load, F.col("file").alias("url"), "ord", "line")
@@ -96,4 +97,4 @@ def load_attribute_files(graph: Graph, store: AttributeStore, paths: str | list[
         materialize(kept.unionByName(sources), "registry").df,
     )
     counts = matched.counts.select("category.*", "matched", "unmatched").withColumnRenamed("name", "category")
-    return Loaded(merged, counts)
+    return Loaded(merged, counts, ignored_files(graph.spark, paths))

@@ -116,9 +116,31 @@ sides AS (
   -- a set of points on one line has no area
   AND EXISTS (SELECT 1 FROM ends c WHERE c.root_id = a.root_id
       AND (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) > 0)),
+corners AS (SELECT DISTINCT root_id, from_x AS x, from_y AS y FROM sides),
+centres AS (SELECT root_id, avg(x) AS cx, avg(y) AS cy FROM corners GROUP BY 1),
+pairs AS (SELECT root_id, arg_min(x, ord) AS ax, arg_min(y, ord) AS ay, arg_max(x, ord) AS bx, arg_max(y, ord) AS by_
+          FROM members JOIN counts USING (root_id) WHERE n = 2 GROUP BY 1),
+boxes AS (
+  SELECT root_id, ax, ay, bx, by_, -(by_ - ay) / d * 20 AS nx, (bx - ax) / d * 20 AS ny
+  FROM (SELECT *, CASE WHEN e = 0 THEN 1 ELSE e END AS d
+        FROM (SELECT *, sqrt((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)) AS e FROM pairs))),
+-- what is drawn: a circle for one member, a box for two, the hull moved outwards for more
+outlines AS (
+  SELECT root_id, cx + (from_x - cx) * (f + 12) / f AS from_x, cy + (from_y - cy) * (f + 12) / f AS from_y,
+         cx + (to_x - cx) * (t + 12) / t AS to_x, cy + (to_y - cy) * (t + 12) / t AS to_y
+  FROM (SELECT *, sqrt((from_x - cx) * (from_x - cx) + (from_y - cy) * (from_y - cy)) AS f,
+               sqrt((to_x - cx) * (to_x - cx) + (to_y - cy) * (to_y - cy)) AS t FROM sides JOIN centres USING (root_id))
+  UNION ALL
+  SELECT root_id, x + cos(pi() * i / 6) * 20, y + sin(pi() * i / 6) * 20,
+         x + cos(pi() * ((i + 1) % 12) / 6) * 20, y + sin(pi() * ((i + 1) % 12) / 6) * 20
+  FROM members JOIN counts USING (root_id), range(12) AS c(i) WHERE n = 1
+  UNION ALL
+  SELECT root_id, v.* FROM boxes, LATERAL (VALUES
+    (ax + nx, ay + ny, bx + nx, by_ + ny), (bx + nx, by_ + ny, bx - nx, by_ - ny),
+    (bx - nx, by_ - ny, ax - nx, ay - ny), (ax - nx, ay - ny, ax + nx, ay + ny)) AS v(a, b, c, d)),
 at_point AS (
   SELECT pos.id, s.root_id AS org_id
-  FROM pos JOIN sides s ON (from_y > y) <> (to_y > y)
+  FROM pos JOIN outlines s ON (from_y > y) <> (to_y > y)
   WHERE x < (to_x - from_x) * (y - from_y) / (to_y - from_y) + from_x
   GROUP BY ALL HAVING count(*) % 2 = 1)
 """
@@ -383,9 +405,6 @@ def oracle_sql() -> dict[str, str]:
             "      SELECT *, sqrt((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)) AS e FROM pairs)), "
             "  LATERAL (VALUES (1, ax, ay), (1, bx, by_), (-1, bx, by_), (-1, ax, ay)) AS v(f, px, py))",
             HULLS,
-            "pairs AS (SELECT root_id, arg_min(x, ord) AS ax, arg_min(y, ord) AS ay, arg_max(x, ord) AS bx, "
-            "arg_max(y, ord) AS by_ FROM members JOIN counts USING (root_id) WHERE n = 2 GROUP BY 1)",
-            "corners AS (SELECT DISTINCT root_id, from_x AS x, from_y AS y FROM sides)",
         ),
         "hulls_at_point": _ask(
             "SELECT a.id, org_id, depth, label FROM at_point a JOIN depth d ON d.id = org_id JOIN idx i ON i.id = org_id",
@@ -554,6 +573,7 @@ FROM named""",
             "SELECT label, depth, pseudonym FROM alias_orgs JOIN idx USING (label) JOIN depth USING (id)", DICTIONARY
         ),
         "display_label": _ask("SELECT * FROM display", DICTIONARY),
+        "display_label_own_depth": _ask("SELECT * FROM display", DICTIONARY),
         "hash32": f"SELECT page_id, {_hash('url')} AS url_hash, {_hash('html')} AS html_hash FROM pages",
         "category_hue": _ask(
             f"SELECT id, {HUE} AS category_hue, {_hash('t')} % 360 AS attribute_hue FROM (SELECT id, label AS t FROM idx)"
@@ -574,4 +594,10 @@ FROM named""",
             "FROM (SELECT * FROM levels UNION ALL SELECT id, -1 FROM idx WHERE type = 'org')"
         ),
         "attribute_stream": _ask("SELECT * FROM merged_attr", ATTRIBUTES, MERGED_ATTR),
+        "load_attributes": _ask(
+            "SELECT * FROM merged_attr UNION ALL "
+            "SELECT DISTINCT person_id, 'mark', 'by hand', '1' FROM merged_attr WHERE category = 'segment'",
+            ATTRIBUTES,
+            MERGED_ATTR,
+        ),
     }

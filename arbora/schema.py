@@ -22,6 +22,12 @@ hidden      root_id, node_id
 
 PERSON_FIELDS = "id STRING, label STRING, email STRING, is_basis BOOLEAN, ord BIGINT"
 ORG_FIELDS = "id STRING, label STRING, ord BIGINT"
+# Position of a line: part file, start of the split, row of the task.
+PLACE = "STRUCT<part: STRING, block: BIGINT, row: BIGINT>"
+ATTR_FIELDS = (
+    "person_id STRING, category STRING, attr STRING, value STRING, batch BIGINT, "
+    f"first_ord {PLACE}, ord {PLACE}"
+)
 LINK_FIELDS = "source STRING, target STRING, ord BIGINT"
 
 # Org records come after all person records.

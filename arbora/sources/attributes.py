@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,36 +11,26 @@ from ..functions.scalars import attribute_key, has_text, key_category, key_name,
 from ..session import rows_of
 
 
-def _size(spark: SparkSession, key: str) -> int:
-    reader = spark._jsparkSession.sessionState().conf()
-    return {"split": reader.filesMaxPartitionBytes, "open": reader.filesOpenCostInBytes}[key]()
-
-
-def line_order(spark: SparkSession) -> Column:
-    """Position of a line within its file, without a shuffle.
-
-    A file is read in splits that start at ``block``; within a split lines come
-    in order.  Splits are never smaller than ``unit`` bytes, so
-    start // unit tells them apart; the low 31 bits count the rows of the task.
-    """
-    unit = min(_size(spark, "split"), _size(spark, "open"))
-    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 31) - 1))
-    block = F.floor(F.col("block") / F.lit(max(unit, 1))).cast("bigint")
-    return F.shiftleft(block, 31).bitwiseOR(row)
+# Part files as Spark's writers name them, for callers whose files are folders of parts.
+SPARK_PARTS = r"part-\d{5}-[^/]*"
 
 
-def source_path(path: Column) -> Column:
-    """The dropped file; part files belong to the folder they lie in.
+def source_path(path: Column, parts: str | None = None) -> Column:
+    """The dropped file by its plain name.
 
-    Scans say file:/x where listings say file:///x.
+    Files whose name matches ``parts`` belong to the folder they lie in; without
+    ``parts`` every file is one of its own, whatever its name.  Scans say file:/x
+    where listings say file:///x, and both escape characters of the name.
     """
-    return F.regexp_replace(F.regexp_replace(path, r"/part-[^/]*$", ""), r"^(\w+):///", "$1:/")
+    whole = F.regexp_replace(path, f"/(?:{parts})$", "") if parts else path
+    plain = F.try_url_decode(F.replace(whole, F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(F.coalesce(plain, whole), r"^(\w+):///", "$1:/")
 
 
-def text_lines(text: DataFrame) -> DataFrame:
+def text_lines(text: DataFrame, parts: str | None = None) -> DataFrame:
     """``file, part, block, time, line`` of a text source read line by line, batch or streaming."""
     return text.select(
-        source_path(F.col("_metadata.file_path")).alias("file"),
+        source_path(F.col("_metadata.file_path"), parts).alias("file"),
         F.col("_metadata.file_name").alias("part"),
         F.col("_metadata.file_block_start").alias("block"),
         F.col("_metadata.file_modification_time").alias("time"),
@@ -46,35 +38,62 @@ def text_lines(text: DataFrame) -> DataFrame:
     )
 
 
-def with_order(spark: SparkSession, lines: DataFrame) -> DataFrame:
-    """Add ``ord``: the part file and the position in it, which sorts like the
+def with_order(lines: DataFrame) -> DataFrame:
+    """Add ``ord``: part file, split and row of the task, which sort like the
     lines of one long file.  Must see the lines as they were read, unshuffled."""
-    ord_ = F.struct("part", line_order(spark).alias("line")).alias("ord")
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ord_ = F.struct("part", "block", row.alias("row")).alias("ord")
     return lines.select("file", ord_, "time", "line")
 
 
-def read_attribute_files(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
-    """Lines ``file, ord, line`` and the files ``file, length``, empty ones included."""
+def read_attribute_files(
+    spark: SparkSession, paths: str | list[str], parts: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Lines ``file, ord, line`` and the files ``file, place, length``, empty ones included.
+
+    Scans leave out names that begin with ``_`` or ``.``; ``ignored_files`` lists them.
+    """
     text = spark.read.option("lineSep", "\n").option("recursiveFileLookup", True).text(paths)
-    return with_order(spark, text_lines(text)).drop("time"), list_files(spark, paths)
+    return with_order(text_lines(text, parts)).drop("time"), list_files(spark, paths, parts)
+
+
+def _hidden(path: str) -> bool:
+    return path.rsplit("/", 1)[-1].startswith(("_", "."))
+
 
+def ignored_files(spark: SparkSession, paths: str | list[str]) -> list[str]:
+    """Files with content that no scan reads because of their names.
 
-def list_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """``file, length`` below the paths.  Scans skip files without content, so
-    the names come from the file system; a category is one file, or one folder of parts."""
+    Markers and check sums that Spark's writers leave next to their parts do not count.
+    """
+    marker = re.compile(r"_SUCCESS$|_(committed|started)_\d+$|\..*\.crc$")
+    found = (path for _, path, length in _listed(spark, paths) if length and _hidden(path))
+    return sorted(p for p in found if not marker.match(p.rsplit("/", 1)[-1]))
+
+
+def _listed(spark: SparkSession, paths: str | list[str]) -> list[tuple[int, str, int]]:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     found = []
-    for pattern in [paths] if isinstance(paths, str) else paths:
+    for place, pattern in enumerate([paths] if isinstance(paths, str) else paths):
         top = hadoop.Path(pattern)
         fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         for match in fs.globStatus(top) or []:
             entries = fs.listFiles(match.getPath(), True)
             while entries.hasNext():
                 entry = entries.next()
-                if not entry.getPath().getName().startswith(("_", ".")):
-                    found.append((entry.getPath().toUri().toString(), entry.getLen()))
-    listed = rows_of(spark, found, "file STRING, length BIGINT")
-    return listed.groupBy(source_path(F.col("file")).alias("file")).agg(F.sum("length").alias("length"))
+                found.append((place, entry.getPath().toUri().toString(), entry.getLen()))
+    return found
+
+
+def list_files(spark: SparkSession, paths: str | list[str], parts: str | None = None) -> DataFrame:
+    """``file, place, length`` below the paths; ``place`` is the position of the path in the list.
+
+    Scans skip files without content, so the names come from the file system.
+    """
+    found = [f for f in _listed(spark, paths) if not _hidden(f[1])]
+    listed = rows_of(spark, found, "place INT, file STRING, length BIGINT")
+    file = source_path(F.col("file"), parts).alias("file")
+    return listed.groupBy(file).agg(F.min("place").alias("place"), F.sum("length").alias("length"))
 
 
 def category_from_path(path: Column) -> Column:
@@ -85,6 +104,14 @@ def category_from_path(path: Column) -> Column:
     return trimmed(F.regexp_replace(name, r"(?s)(?<=.)\.[^.]*$", ""))
 
 
+def category_of_file(path: Column) -> Column:
+    """The same for the plain name of a file, where no character starts a query or a fragment."""
+    escaped = path
+    for plain, code in (("%", "%25"), ("+", "%2B"), ("?", "%3F"), ("#", "%23")):
+        escaped = F.replace(escaped, F.lit(plain), F.lit(code))
+    return F.url_decode(category_from_path(escaped))
+
+
 def category_from_file_name(name: Column) -> Column:
     """The form used for uploaded files: only the last extension goes."""
     last = F.substring_index(name, "/", -1)

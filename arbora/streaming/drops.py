@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..graph import Graph
 from ..operators.attributes import TYPE_FIELDS, match_attributes, merge_attributes, register_loads
 from ..operators.numbering import dense_index
+from ..schema import PLACE
 from ..session import empty_like, materialize, rows_of
 from ..sources.attributes import (
     attribute_names,
@@ -24,7 +25,6 @@ from ..sources.attributes import (
     with_order,
 )
 
-PLACE = "STRUCT<part: STRING, line: BIGINT>"
 LOAD = "STRUCT<batch: BIGINT, time: TIMESTAMP, file: STRING>"
 DELTA = (
     "person_id STRING, category STRING, attr STRING, value STRING, "
@@ -35,7 +35,7 @@ FILES = f"file STRING, load {LOAD}, tabbed BOOLEAN, filled BOOLEAN"
 
 
 def _ingest(graph: Graph, batch: DataFrame, number: int, store: str) -> None:
-    batch = with_order(graph.spark, batch)
+    batch = with_order(batch)
     # one row per file; parts of a folder count as one file, as old as its oldest part
     shape = batch.groupBy("file").agg(
         F.min("time").alias("time"),
@@ -66,14 +66,19 @@ def _ingest(graph: Graph, batch: DataFrame, number: int, store: str) -> None:
     seen.write.mode("overwrite").parquet(f"{store}/names/batch={number}")
 
 
-def ingest_attribute_drops(graph: Graph, folder: str, store: str, files_per_batch: int | None = None) -> StreamingQuery:
-    """Merge every attribute file found in ``folder`` into the store, each one once."""
+def ingest_attribute_drops(
+    graph: Graph, folder: str, store: str, files_per_batch: int | None = None, parts: str | None = None
+) -> StreamingQuery:
+    """Merge every attribute file found in ``folder`` into the store, each one once.
+
+    Files whose names match ``parts`` are pieces of the folder they lie in.
+    """
     spark = graph.spark
     reader = spark.readStream.format("text").option("lineSep", "\n").option("recursiveFileLookup", True)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return (
-        text_lines(reader.load(folder))
+        text_lines(reader.load(folder), parts)
         .writeStream.option("checkpointLocation", f"{store}/checkpoint")
         .trigger(availableNow=True)
         .foreachBatch(lambda batch, number: _ingest(graph, batch, number, store))

@@ -176,13 +176,14 @@ def test_drops_merge_once_and_newest_wins(spark, people, tmp_path):
     folder, store = tmp_path / "in", tmp_path / "store"
     folder.mkdir()
     (folder / "c.csv").write_text("p-1,x,old\np-2,y")
-    ingest_attribute_drops(people, str(folder), str(store)).awaitTermination()
+    load = lambda: ingest_attribute_drops(people, str(folder), str(store), parts=S.SPARK_PARTS + "|part-.*").awaitTermination()
+    load()
     parts = folder / "again" / "c.csv"
     parts.mkdir(parents=True)
     (parts / "part-00000-x").write_text("p-1,x,first\n")
     (parts / "part-00001-x").write_text("p-1,x,new\np-3,z")
     for _ in range(2):
-        ingest_attribute_drops(people, str(folder), str(store)).awaitTermination()
+        load()
     got = read_attribute_store(spark, str(store))
     assert rows(got, "person_id", "category", "attr", "value") == [
         ("p-1", "c", "x", "new"), ("p-2", "c", "y", "1"), ("p-3", "c", "z", "1"),
@@ -190,7 +191,7 @@ def test_drops_merge_once_and_newest_wins(spark, people, tmp_path):
     # x is known to the second file and still takes place 0 there
     assert rows(read_attribute_types(spark, str(store)), "category", "attr", "ordinal") == [("c", "x", 0), ("c", "y", 1), ("c", "z", 3)]
     (folder / "later.txt").write_text(" \n\t\n")
-    ingest_attribute_drops(people, str(folder), str(store)).awaitTermination()
+    load()
     assert rows(read_category_registry(spark, str(store)), "category", "filename", "format", "is_empty") == [
         ("c", "c.csv", "comma", False), ("later", "later.txt", "comma", True),
     ]
@@ -243,3 +244,59 @@ def test_rings_flags_and_legend(spark, people):
     none = spark.createDataFrame([], "person_id STRING, org_id STRING, depth BIGINT, label STRING")
     detail = A.person_detail(people, attrs, types, none, none).filter("person_id = 'p-1'")
     assert [r.text for r in detail.orderBy(F.desc("section"), "rank", "place").collect()] == ["p-1", "c: b", "c: a: 5", "h: a"]
+
+
+def test_names_decide_nothing(spark, people, tmp_path):
+    from arbora.plans.explore import load_attribute_files, new_attribute_store
+
+    folder, store = tmp_path / "in", tmp_path / "store"
+    folder.mkdir()
+    for name in ("part-time.txt", "Projekt A+B 100% für #1.txt", "_hidden.txt"):
+        (folder / name).write_text("p-1,x,1\np-2,y")
+    (folder / "none.txt").write_text("")
+    loaded = load_attribute_files(people, new_attribute_store(spark), str(folder), 0)
+    names = ["Projekt A+B 100% für #1", "part-time"]
+    assert sorted({r.category for r in loaded.store.person_attr.collect()}) == names
+    assert [i.rsplit("/", 1)[1] for i in loaded.ignored] == ["_hidden.txt"]
+    assert rows(loaded.store.registry, "category", "filename", "is_empty") == [
+        ("Projekt A+B 100% für #1", "Projekt A+B 100% für #1.txt", False),
+        ("none", "none.txt", True),
+        ("part-time", "part-time.txt", False),
+    ]
+    for files_per_batch in (1, None):
+        kept = f"{store}-{files_per_batch}"
+        ingest_attribute_drops(people, str(folder), kept, files_per_batch).awaitTermination()
+        assert rows(read_attribute_store(spark, kept), "category", "person_id", "attr") == [
+            (c, p, a) for c in names for p, a in (("p-1", "x"), ("p-2", "y"))
+        ]
+
+
+def test_later_files_of_the_list_win(spark, people, tmp_path):
+    from arbora.plans.explore import load_attribute_files, new_attribute_store
+
+    for name, value in (("b", "first"), ("a", "second")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "c.csv").write_text(f"p-1,x,{value}")
+    listed = [str(tmp_path / "b"), str(tmp_path / "a")]
+    for paths, winner in ((listed, "second"), (listed[::-1], "first")):
+        store = load_attribute_files(people, new_attribute_store(spark), paths, 0).store
+        assert rows(store.person_attr, "value") == [winner]
+
+
+def test_attribute_by_hand_on_every_store(spark, people, tmp_path):
+    from arbora.operators.attributes import AttributeStore, add_attribute
+    from arbora.plans.explore import load_attribute_files, new_attribute_store
+
+    folder, store = tmp_path / "in", tmp_path / "store"
+    folder.mkdir()
+    (folder / "c.csv").write_text("p-1,x,file\np-2,y")
+    persons = spark.createDataFrame([("p-1",)], "person_id STRING")
+    ingest_attribute_drops(people, str(folder), str(store)).awaitTermination()
+    streamed = AttributeStore(read_attribute_store(spark, str(store)), read_attribute_types(spark, str(store)), read_category_registry(spark, str(store)))
+    loaded = load_attribute_files(people, new_attribute_store(spark), str(folder), 0).store
+    for kept in (streamed, loaded, new_attribute_store(spark)):
+        added = add_attribute(kept, persons, "c", "x", 99, "hand")
+        assert ("p-1", "c", "x", "hand") in rows(added.person_attr, "person_id", "category", "attr", "value")
+        assert added.person_attr.schema.simpleString() == kept.person_attr.schema.simpleString()
+    again = load_attribute_files(people, add_attribute(loaded, persons, "d", "z", 99), str(folder), 200).store
+    assert rows(again.person_attr, "category", "person_id", "attr") == [("c", "p-1", "x"), ("c", "p-2", "y"), ("d", "p-1", "z")]
