@@ -261,8 +261,12 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
     best = classes.groupBy("label").agg(F.min(F.struct(F.col("first").isNull().alias("no_key"), "first", "print")).alias("best"))
     best = best.select(F.col("best.print").alias("same"), F.col("best.first").alias("least"))
     own = F.col(f"`{key}`").cast("bigint")
-    rows = marked.join(best, (F.col(mine) == F.col("same")) & own.eqNullSafe(F.col("least")), "left_semi")
-    return rows.dropDuplicates([mine]).drop(mine)
+    best = materialize(best, "best")
+    rows = marked.join(best.df, (F.col(mine) == F.col("same")) & own.eqNullSafe(F.col("least")), "left_semi")
+    # Texts move once more only if a key occurs again with the same text; the count moves no texts.
+    if rows.select(mine).count() > best.df.count():
+        rows = rows.dropDuplicates([mine])
+    return rows.drop(mine)
 
 
 def _print(text: str):
