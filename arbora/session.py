@@ -12,6 +12,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -28,7 +29,7 @@ RUNTIME_SETTINGS = {
 }
 
 _local_base: dict[str, str] = {}
-_scopes: list[str] = []
+_scopes: ContextVar[tuple[str, ...]] = ContextVar("scopes", default=())
 
 
 @dataclass(frozen=True)
@@ -64,7 +65,7 @@ def workspace(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return "/".join([workspace(spark), *_scopes, f"{name}-{uuid.uuid4().hex}"])
+    return "/".join([workspace(spark), *_scopes.get(), f"{name}-{uuid.uuid4().hex}"])
 
 
 def materialize(df: DataFrame, name: str = "table") -> Stored:
@@ -90,15 +91,16 @@ def scope(spark: SparkSession) -> Iterator[None]:
     """Delete the intermediate tables written inside the block when it ends.
 
     Results have to be written or collected before; a graph that should outlive
-    the block must be built, and its edge tables used, outside.
+    the block must be built, and its edge tables used, outside.  A thread sees
+    the blocks that it opened itself, no other thread's.
     """
-    _scopes.append(f"scope-{uuid.uuid4().hex}")
-    folder = "/".join([workspace(spark), *_scopes])
+    inner = (*_scopes.get(), f"scope-{uuid.uuid4().hex}")
+    token = _scopes.set(inner)
     try:
         yield
     finally:
-        _scopes.pop()
-        _delete(spark, folder)
+        _scopes.reset(token)
+        _delete(spark, "/".join([workspace(spark), *inner]))
 
 
 def release(spark: SparkSession) -> None:

@@ -19,6 +19,7 @@ from pyspark.sql import SparkSession  # noqa: E402
 from arbora.operators.traverse import typed_bfs  # noqa: E402
 from arbora.plans.catalog import QUERIES  # noqa: E402
 from arbora.plans.warehouse import ROOT, warehouse  # noqa: E402
+from arbora.session import release  # noqa: E402
 
 HEADLINE = (
     "normalize_links",
@@ -82,6 +83,7 @@ def main() -> None:
             }
         )
     )
+    release(spark)
     spark.stop()
 
 
