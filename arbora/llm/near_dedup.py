@@ -307,7 +307,11 @@ def _links(texts: DataFrame, signed: DataFrame, shared: Broadcast, least: float)
         heads = members.groupBy("bucket").agg(
             F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("id", F.lit(level)).alias("r"), F.col("id"))).alias("head")
         )
-        heads = heads.filter("n > 1").select("bucket", F.col("head.id").alias("leader"))
+        heads = materialize(heads.filter("n > 1").select("bucket", F.col("head.id").alias("leader")), "heads").df
+        if not level:
+            # Texts without a band in common with another one need no further look; later levels only split these bands.
+            shared_ids = members.join(heads, "bucket", "left_semi").select("id").distinct()
+            texts = materialize(texts.join(shared_ids, "id", "left_semi"), "candidates").df
         pairs = members.join(heads, "bucket").filter("id <> leader").select("id", "leader").distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["id", "leader"], "left_anti")
