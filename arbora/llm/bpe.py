@@ -25,7 +25,7 @@ from pyspark import SparkFiles, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from .common import free_name, small_batches
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -278,15 +278,25 @@ def _count_words(path: str):
 
 
 def lexicon(docs: DataFrame, path: str, text: str = "text", words: int = LEXICON_WORDS) -> str:
-    """Compile the ``words`` most frequent words of all texts (ties in byte order); the shipped file's name.
+    """Compile the most frequent words of all texts, ``words`` of them at most; the shipped file's name.
 
-    Words of one byte and words beyond 64 bytes are left to the merges.
+    Words as frequent as the first one beyond that number stay out, so that no
+    task has to sort out ties.  Words of one byte and words beyond 64 bytes are
+    left to the merges as well.
     """
     spark = docs.sparkSession
     small_batches(spark)
     counts = docs.select(F.col(text).cast("string")).mapInArrow(_count_words(path), "word STRING, n BIGINT")
     counts = counts.groupBy("word").agg(F.sum("n").alias("n")).filter(F.octet_length("word").between(2, 64))
-    top = counts.orderBy(F.desc("n"), "word").limit(words).select("word")
+    counts = materialize(counts, "word-counts").df
+    # How many words have each count, from the highest down: at most ``words`` + 1 rows are needed.
+    left, least = words, 0
+    for row in counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).limit(words + 1).collect():
+        left -= row.words
+        if left < 0:
+            least = row.n
+            break
+    top = counts.filter(F.col("n") > least).select("word")
     tokenizer = _tokenizer(path)
     return _ship(spark, compile_lexicon({r.word: tokenizer.merge(r.word) for r in top.toLocalIterator()}))
 
