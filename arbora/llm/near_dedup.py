@@ -7,14 +7,16 @@ with the probability of their weighted Jaccard similarity; 64 draws make 16
 bands of four.  Texts that share a band are candidates, and the weighted Jaccard
 similarity of the whole texts decides.
 
-Equal texts are one text from the start.  Within a band each text is compared
-with the band's leader only, never all with all.  Bands whose texts are not all
-in one group yet go on with pairs of bands, then triples, where texts that only
-share some passage part ways; leaders differ from band to band.
+Equal texts are one text from the start.  Within a band each text is first
+compared with the band's leader, the text that meets most others in all its
+bands.  Bands whose texts are not all in one group then go on until every two
+texts of different groups have met: their draws are compared in blocks, and the
+texts of two whose draws agree often enough decide.
 """
 
 from __future__ import annotations
 
+import math
 import sys
 from collections import Counter
 from collections.abc import Iterator
@@ -35,7 +37,10 @@ BANDS, ROWS = 16, 4
 # Words in fewer texts than this share weigh as if in that share. The table of the others has at most
 # (mean distinct words of a text) / COMMON rows, however many texts there are.
 COMMON = 1e-3
-LEVELS = 3
+# Texts of a band whose draws are compared at once with those of another block.
+BLOCK = 64
+# Probability that the draws of two texts which are just similar enough agree too rarely to look at the texts.
+MISSED = 1e-6
 SEED = 7
 MEMO_WORDS = 300_000
 # Shingles that are sampled together.
@@ -182,7 +187,9 @@ def _signed(held: list, quantiles) -> pa.RecordBatch:
     for row in range(ROWS):
         bands = _mixed(bands * np.uint64(0x9E3779B97F4A7C15) + drawn.reshape(len(held), BANDS, ROWS)[:, :, row])
     lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, np.int32)), pa.array(bands.reshape(-1).view(np.int64)))
-    return pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in held], pa.int64()), lists], names=["id", "bands"])
+    # A byte of each draw tells two texts apart well enough; equal draws have equal bytes.
+    short = pa.array([row.tobytes() for row in (_mixed(drawn) & np.uint64(255)).astype(np.uint8)], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in held], pa.int64()), lists, short], names=["id", "bands", "draws"])
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -289,7 +296,7 @@ def _classes(marked: DataFrame, mine: str, key: str, text: str, least: float) ->
     texts = materialize(texts.filter("text IS NOT NULL").select("id", "text").dropDuplicates(["id"]), "texts").df
     total = max(texts.count(), 1)
     shared = spark.sparkContext.broadcast(inverse_frequencies(texts, total))
-    signed = materialize(texts.mapInArrow(_signatures(shared), "id BIGINT, bands ARRAY<BIGINT>"), "bands").df
+    signed = materialize(texts.mapInArrow(_signatures(shared), "id BIGINT, bands ARRAY<BIGINT>, draws BINARY"), "bands").df
     links = _links(texts, signed, shared, least)
     labels = _components(links).df
     classes = prints.join(labels, "id", "left").select("print", "first", F.coalesce("label", "id").alias("label"))
@@ -297,39 +304,102 @@ def _classes(marked: DataFrame, mine: str, key: str, text: str, least: float) ->
     return materialize(classes.join(smallest, "label"), "classes").df
 
 
+def _fewest(least: float) -> int:
+    """Equal draws that two texts of similarity ``least`` have, but for a probability of ``MISSED``."""
+    n, below = BANDS * ROWS, 0.0
+    for k in range(n + 1):
+        below += math.comb(n, k) * least**k * (1 - least) ** (n - k)
+        if below > MISSED:
+            return k
+    return n
+
+
+def _cells(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bounds of each row's texts, and their ids, labels and draws."""
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    flat = column.flatten()
+    drawn = np.frombuffer(b"".join(flat.field("draws").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+    ids, labels = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("id", "label"))
+    return np.concatenate([[0], np.cumsum(sizes)]).astype(int), ids, labels, drawn
+
+
+def _close(fewest: int):
+    """(id, leader) pairs of two blocks, or of one if there is no other, of different groups and with enough equal draws."""
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (at, ids, labels, drawn), other = _cells(batch.column(0)), _cells(batch.column(1))
+            alone = batch.column(1).is_null().to_numpy(zero_copy_only=False)
+            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for n in range(batch.num_rows):
+                a = slice(at[n], at[n + 1])
+                b, (ids_b, labels_b, drawn_b) = (a, (ids, labels, drawn)) if alone[n] else (slice(other[0][n], other[0][n + 1]), other[1:])
+                apart = labels[a][:, None] != labels_b[b][None, :]
+                if alone[n]:
+                    apart = np.triu(apart)
+                if apart.any():
+                    i, j = np.nonzero(apart & ((drawn[a][:, None, :] == drawn_b[b][None, :, :]).sum(axis=2) >= fewest))
+                    left.append(ids[a][i])
+                    right.append(ids_b[b][j])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(right)), pa.array(np.concatenate(left))], names=["id", "leader"])
+
+    return close
+
+
 def _links(texts: DataFrame, signed: DataFrame, shared: Broadcast, least: float) -> DataFrame:
-    """Similar (id, leader) pairs found level by level."""
-    members = signed.select("id", F.posexplode("bands").alias("band", "code"))
-    members = members.select("id", F.col("band").alias("last"), F.xxhash64("band", "code").alias("bucket"))
+    """Similar (id, leader) pairs that connect all texts which share a band and are connected by similar pairs.
+
+    After the leaders, the texts of a band that is not one group yet lie in
+    blocks by hash.  Each round compares some blocks with themselves and all
+    later ones, sixteen times as many as before, and leaves out pairs that the
+    rounds before have connected.
+    """
+    members = signed.select("id", F.posexplode("bands").alias("band", "code")).select("id", F.xxhash64("band", "code").alias("bucket"))
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # Texts without a band in common with another one need no further look.
+    members = materialize(members.join(sizes, "bucket").select("bucket", "id", "n"), "members").df
+    met = materialize(members.groupBy("id").agg(F.sum("n").alias("met")), "met").df
+    texts = materialize(texts.join(met, "id", "left_semi"), "candidates").df
+    heads = members.join(met, "id").groupBy("bucket").agg(F.max(F.struct("met", F.xxhash64("id", "bucket").alias("r"), "id")).alias("head"))
+    pairs = members.join(heads.select("bucket", F.col("head.id").alias("leader")), "bucket").filter("id <> leader").select("id", "leader")
     found: DataFrame | None = None
     tried: DataFrame | None = None
-    for level in range(LEVELS):
-        heads = members.groupBy("bucket").agg(
-            F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("id", F.lit(level)).alias("r"), F.col("id"))).alias("head")
-        )
-        heads = materialize(heads.filter("n > 1").select("bucket", F.col("head.id").alias("leader")), "heads").df
-        if not level:
-            # Texts without a band in common with another one need no further look; later levels only split these bands.
-            shared_ids = members.join(heads, "bucket", "left_semi").select("id").distinct()
-            texts = materialize(texts.join(shared_ids, "id", "left_semi"), "candidates").df
-        pairs = members.join(heads, "bucket").filter("id <> leader").select("id", "leader").distinct()
+    place = F.shiftrightunsigned(F.xxhash64("id", "bucket"), 11).cast("double") / float(1 << 53)
+    laid = members.withColumn("block", F.floor(place * F.ceil(F.col("n") / BLOCK)).cast("int"))
+    blocks = -(-(members.agg(F.max("n")).first()[0] or 0) // BLOCK)
+    start, end = 0, 0
+    while True:
+        ends = F.least("id", "leader").alias("low"), F.greatest("id", "leader").alias("high")
+        pairs = pairs.select("id", "leader", *ends).dropDuplicates(["low", "high"])
         if tried is not None:
-            pairs = pairs.join(tried, ["id", "leader"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        if not pairs.rows:
+            pairs = pairs.join(tried, ["low", "high"], "left_anti")
+        pairs = materialize(pairs.select("id", "leader", "low", "high"), "pairs")
+        if pairs.rows:
+            both = pairs.df.join(texts, "id").join(texts.select(F.col("id").alias("leader"), F.col("text").alias("leader_text")), "leader")
+            alike = both.select("id", "leader", "text", "leader_text").mapInArrow(_verified(shared, least), "id BIGINT, leader BIGINT")
+            alike = materialize(alike, "alike").df
+            found = alike if found is None else found.union(alike)
+            tried = pairs.df.select("low", "high") if tried is None else tried.union(pairs.df.select("low", "high"))
+        start, end = end, 16 * end or 1
+        if found is None or start >= blocks:
             break
-        both = pairs.df.join(texts, "id").join(texts.select(F.col("id").alias("leader"), F.col("text").alias("leader_text")), "leader")
-        alike = materialize(both.select("id", "leader", "text", "leader_text").mapInArrow(_verified(shared, least), "id BIGINT, leader BIGINT"), "alike")
-        found = alike.df if found is None else found.union(alike.df)
-        tried = pairs.df if tried is None else tried.union(pairs.df)
-        if level + 1 == LEVELS:
-            break
-        # Buckets that are not one group yet go on, split by one more band.
         labels = _components(found).df
-        grouped = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        mixed = grouped.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"))
-        mixed = mixed.filter("lo <> hi AND n > 2").select("bucket")
-        again = members.join(mixed, "bucket").join(signed, "id")
-        again = again.select("id", "last", "bucket", F.posexplode("bands").alias("band", "code")).filter("band > last")
-        members = materialize(again.select("id", F.col("band").alias("last"), F.xxhash64("bucket", "band", "code").alias("bucket")), "members").df
+        ahead = laid.filter(F.col("block") >= start).join(labels, "id", "left").select("bucket", "block", "id", F.coalesce("label", "id").alias("label"))
+        mixed = ahead.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket")
+        ahead = ahead.join(mixed, "bucket", "left_semi").join(signed.select("id", "draws"), "id")
+        cells = ahead.groupBy("bucket", "block").agg(
+            F.collect_list(F.struct("id", "label", "draws")).alias("texts"), F.min("label").alias("lo"), F.max("label").alias("hi")
+        )
+        cells = materialize(cells, "cells")
+        if not cells.rows:
+            break
+        cells = cells.df
+        side = lambda n: cells.select("bucket", *[F.col(c).alias(f"{c}{n}") for c in ("block", "lo", "hi")])
+        meet = side(1).filter(F.col("block1") < end).join(side(2), "bucket").filter("block1 < block2 AND (lo1 <> hi1 OR lo2 <> hi2 OR lo1 <> lo2)")
+        meet = meet.select("bucket", "block1", "block2")
+        body = lambda n: cells.select("bucket", F.col("block").alias(f"block{n}"), F.col("texts").alias(f"texts{n}"))
+        cross = meet.join(body(1), ["bucket", "block1"]).join(body(2), ["bucket", "block2"]).select("texts1", "texts2")
+        within = cells.filter((F.col("block") < end) & F.expr("lo <> hi")).select(F.col("texts").alias("texts1"))
+        within = within.withColumn("texts2", F.lit(None).cast(cells.schema["texts"].dataType))
+        pairs = within.unionByName(cross).mapInArrow(_close(_fewest(least)), "id BIGINT, leader BIGINT")
     return found if found is not None else texts.sparkSession.createDataFrame([], "id BIGINT, leader BIGINT")

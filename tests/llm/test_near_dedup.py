@@ -88,3 +88,28 @@ def test_one_text_differs_from_itself_in_nothing():
     s = nd.Shingler({}, 1.0)("a b c d e f a b c d e")
     assert nd.similarity(s, s) == pytest.approx(1.0)
     assert s[1].sum() == pytest.approx(7.0)
+
+
+def test_base_with_many_edits(spark):
+    """Edits are similar to their base and not to each other."""
+    rng = random.Random(11)
+    vocabulary = [f"v{n}" for n in range(4000)]
+    texts = []
+    for _ in range(2):
+        base = [rng.choice(vocabulary) for _ in range(300)]
+        texts.append(base)
+        for n in range(250):
+            other = list(base)
+            for at in rng.sample(range(0, 300, 5), 4 + n % 2):
+                other[at] = rng.choice(vocabulary)
+            texts.append(other)
+    rng.shuffle(texts)
+    rows = list(enumerate(" ".join(t) for t in texts))
+    got = nd.near_duplicates(spark.createDataFrame(rows, "doc_id BIGINT, text STRING"))
+    assert sorted(((r.doc_id, r.text, r.class_id) for r in got.collect()), key=repr) == _brute(rows)
+
+
+def test_all_pairs_of_a_bucket_meet(spark, monkeypatch):
+    """Blocks of few texts, many rounds: chains of pairs without a common leader."""
+    monkeypatch.setattr(nd, "BLOCK", 2)
+    test_against_all_pairs(spark)
