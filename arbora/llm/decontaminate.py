@@ -2,7 +2,9 @@
 
 Triples of words of the test items are looked up in every text.  How many texts
 hold each triple is counted first; a triple seeds an alignment if it is rare in
-the corpus or among the rarer half of its item's that occur.  Around the seeds the item is
+the corpus or among the rarer half of its item's that occur.  A frequent one, be
+it a common phrase or part of an item with many copies, seeds as well if the
+words around it could reach the least score at all.  Around the seeds the item is
 aligned with the text word by word, so copies with words changed, put in or left
 out still score.
 """
@@ -11,6 +13,7 @@ from __future__ import annotations
 
 import re
 import sys
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,6 +57,19 @@ class Seeds:
         self.codes, first = np.unique(flat[order], return_index=True)
         self.bounds, self.owner = np.append(first, len(flat)), owner[order]
         self.words = coded
+        self.known: dict[int, tuple[dict, dict]] = {}
+
+    def reach(self, item: int, window: list[str]) -> float:
+        """No alignment of the item with these words scores more: each word of the item counts once."""
+        if item not in self.known:
+            words = self.items[item][1]
+            self.known[item] = dict(Counter(words)), {w: w[:4] for w in words if len(w) > 4}
+        times, stems = self.known[item]
+        there = set(window)
+        exact = sum(n for w, n in times.items() if w in there)
+        missing = [w for w in stems if w not in there]
+        alike = {w[:4] for w in there if len(w) > 4} if missing else set()
+        return MATCH * exact + ALIKE * sum(times[w] for w in missing if stems[w] in alike)
 
     def coded(self, words: list[str]) -> np.ndarray:
         get = self.number.get
@@ -144,11 +160,34 @@ def passages(seeds: Seeds, rare: np.ndarray, words: list[str], least: float) ->
         return []
     counts = np.diff(seeds.bounds)[which]
     pairs = np.repeat(seeds.bounds[which], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    keep = rare[pairs]
-    item, place = seeds.owner[pairs][keep], np.repeat(at, counts)[keep]
+    item, place, rare = seeds.owner[pairs], np.repeat(at, counts), rare[pairs]
     order = np.lexsort((place, item))
-    item, place = item[order], place[order]
-    out = []
+    item, place, rare = item[order], place[order], rare[order]
+    out, covered = [], {}
+    for key, low, high, passage in _runs(seeds, item[rare], place[rare], words, least):
+        out.append(passage)
+        covered.setdefault(key, []).append((low, high))
+    # Frequent triples outside the surroundings of these passages.
+    other = np.flatnonzero(~rare)
+    able = np.zeros(len(other), bool)
+    before, reached = -1, 0
+    for n, (key, p) in enumerate(zip(item[other].tolist(), place[other].tolist(), strict=True)):
+        own = seeds.items[key][1]
+        if any(low <= p < high for low, high in covered.get(key, ())):
+            continue
+        # Next to a triple that seeds another one only widens the run.
+        if key == before and p - reached <= len(own):
+            able[n] = True
+        else:
+            able[n] = seeds.reach(key, words[max(0, p - len(own)) : p + len(own) + SEED_WORDS]) >= least * MATCH * len(own)
+        if able[n]:
+            before, reached = key, p
+    out += [passage for *_, passage in _runs(seeds, item[other[able]], place[other[able]], words, least)]
+    return out
+
+
+def _runs(seeds: Seeds, item: np.ndarray, place: np.ndarray, words: list[str], least: float) -> Iterator[tuple[int, int, int, dict]]:
+    """Item, surroundings and passage of each run of seeds that holds a copy; the places ascend within each item."""
     start = 0
     for n in range(1, len(item) + 1):
         if n < len(item) and item[n] == item[start] and place[n] - place[n - 1] <= len(seeds.items[item[start]][1]):
@@ -157,9 +196,9 @@ def passages(seeds: Seeds, rare: np.ndarray, words: list[str], least: float) ->
         low, high = max(0, int(place[start]) - len(own)), int(place[n - 1]) + len(own) + SEED_WORDS
         score, first, end = align(own, words[low:high])
         if score >= least * MATCH * len(own):
-            out.append({"item_id": key, "score": score / (MATCH * len(own)), "first_word": low + first, "words": end - first})
+            found = {"item_id": key, "score": score / (MATCH * len(own)), "first_word": low + first, "words": end - first}
+            yield int(item[start]), low, high, found
         start = n
-    return out
 
 
 def _found(shared: Broadcast, rare: Broadcast, least: float):

@@ -83,3 +83,18 @@ def test_query_finds_every_whole_item(spark, sf):
     items = {r.item_id: r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
     whole = {(d, i) for d, t in docs.items() for i, u in items.items() if u in t}
     assert whole <= {(r.doc_id, r.item_id) for r in queries.op1_decontaminate(spark, sf).collect()}
+
+
+def test_edited_copies_of_an_item_with_many_copies(spark):
+    """An item in a third of all rows, one edit of it alone and another in a large group."""
+    rng = random.Random(8)
+    item = _text(rng, 30).split()
+    edits = [list(item) for _ in range(2)]
+    for edit, first in zip(edits, (4, 2), strict=True):
+        edit[first::5] = ["other"] * len(edit[first::5])
+    docs = [(n, _text(rng, 20) + " " + " ".join(item) + " " + _text(rng, 20)) for n in range(100)]
+    docs += [(100 + n, _text(rng, 60)) for n in range(130)]
+    docs += [(300, _text(rng, 20) + " " + " ".join(edits[0]))] + [(400 + n, " ".join(edits[1]) + " " + _text(rng, 20)) for n in range(69)]
+    got = dc.flag(spark.createDataFrame(docs, "doc_id BIGINT, text STRING"), spark.createDataFrame([(1, " ".join(item))], "item_id BIGINT, text STRING"))
+    found = {r.doc_id for r in got.collect() if r.leaks}
+    assert found == {*range(100), 300, *range(400, 469)}
