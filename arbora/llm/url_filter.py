@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .common import free_name
 
-# Labelled URLs that training uses at most, by hash order; a documented bound. It also bounds the suffix table.
+# Labelled URLs that training uses at most, by hash order; a documented bound.
 TRAIN_URLS = 20_000
 TREES, DEPTH, SEED = 20, 4, 1
 # Weight of the overall share of blocked URLs in that of a suffix.
@@ -43,7 +43,7 @@ class Rule:
 @dataclass
 class Model:
     trees: GBTClassificationModel
-    suffixes: DataFrame  # suffix, rate, log_n; at most two rows per training URL
+    suffixes: DataFrame  # suffix, rate, log_n of all labelled URLs
     rate: float
 
 
@@ -120,12 +120,12 @@ def lexical(df: DataFrame, url: str, host: str, path: str) -> DataFrame:
 
 
 def _with_suffixes(df: DataFrame, host: str, suffixes: DataFrame, rate: float) -> DataFrame:
-    """Add the suffix statistics; the table's size is bounded, so every task gets it whole."""
+    """Add the suffix statistics; Spark decides by the table's size whether every task gets it whole."""
     for n in (1, 2):
         side = suffixes.select(
             F.col("suffix").alias(f"suffix{n}"), F.col("rate").alias(f"suffix{n}_rate"), F.col("log_n").alias(f"suffix{n}_log_n")
         )
-        df = df.withColumn(f"suffix{n}", suffix_of(F.col(host), n)).join(F.broadcast(side), f"suffix{n}", "left")
+        df = df.withColumn(f"suffix{n}", suffix_of(F.col(host), n)).join(side, f"suffix{n}", "left")
     filled = {f"suffix{n}_rate": rate for n in (1, 2)} | {f"suffix{n}_log_n": 0.0 for n in (1, 2)}
     return df.fillna(filled).drop("suffix1", "suffix2")
 
@@ -133,19 +133,21 @@ def _with_suffixes(df: DataFrame, host: str, suffixes: DataFrame, rate: float) -
 def train(labelled: DataFrame, url: str = "url", blocked: str = "blocked", most_urls: int = TRAIN_URLS) -> Model | None:
     """Train on URLs labelled 0 or 1, at most ``most_urls`` distinct ones by hash; None without both labels.
 
-    A URL's own label is left out of the suffix statistics that it is trained with.
+    The suffix statistics count all distinct labelled URLs.  A URL's own label is left out of the suffix statistics that it is trained with.
     """
     rows = labelled.select(F.col(url).cast("string").alias("url"), F.col(blocked).cast("int").alias("blocked"))
     rows = rows.filter("url IS NOT NULL AND blocked IN (0, 1)").dropDuplicates(["url", "blocked"])
-    total = rows.count()
+    known = materialize(rows, "labelled")
     place = F.shiftrightunsigned(F.xxhash64("url"), 11).cast("double") / float(1 << 53)
-    rows = rows.filter(place < min(1.0, most_urls / max(total, 1)))
+    rows = known.df.filter(place < min(1.0, most_urls / max(known.rows, 1)))
     rows = rows.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     sample = materialize(rows, "urls")
-    labels, rate = sample.df.agg(F.countDistinct("blocked"), F.avg("blocked")).first()
+    labels = sample.df.agg(F.countDistinct("blocked")).first()[0]
     if labels < 2:
         return None
-    ends = sample.df.select("blocked", F.explode(F.array_distinct(F.array(suffix_of(F.col("host"), 1), suffix_of(F.col("host"), 2)))).alias("suffix"))
+    rate = known.df.agg(F.avg("blocked")).first()[0]
+    hosts = known.df.select("blocked", host_of(F.col("url")).alias("host"))
+    ends = hosts.select("blocked", F.explode(F.array_distinct(F.array(suffix_of(F.col("host"), 1), suffix_of(F.col("host"), 2)))).alias("suffix"))
     sums = materialize(ends.groupBy("suffix").agg(F.sum("blocked").alias("bad"), F.count(F.lit(1)).alias("n")), "suffixes").df
     stats = sums.select("suffix", ((F.col("bad") + PRIOR * rate) / (F.col("n") + PRIOR)).alias("rate"), F.log1p("n").alias("log_n"))
     ready = _with_suffixes(lexical(sample.df, "url", "host", "path"), "host", stats, rate)
@@ -165,7 +167,7 @@ def judge(df: DataFrame, rules: list[Rule], model: Model | None, url: str = "url
     without a model the verdict is allow.  Null URLs and URLs without ``://``
     have empty host and path and are judged by the trees.  Columns of these
     names are replaced; rows are neither joined by the URL nor reordered into
-    groups, so hot hosts and repeated rows cost nothing extra.
+    groups by it; suffixes are joined.
     """
     kept = df.drop("host", "path", "rule", "verdict", "block_score")
     own = {c: free_name(kept, f"url_{c}") for c in ("host", "path", "rule")}

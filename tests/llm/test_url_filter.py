@@ -1,5 +1,6 @@
 """Rules against a plain version, trees on held-out URLs."""
 
+import math
 import random
 import re
 
@@ -62,3 +63,10 @@ def test_query_follows_the_rules(spark, sf):
         host, path, rule, verdict = _plain(urls[r.page_id])
         assert (r.host, r.path, r.rule) == (host, path, rule)
         assert r.verdict == (verdict or ("block" if r.block_score >= 0.5 else "allow"))
+
+
+def test_suffixes_count_all_labelled_urls(spark):
+    urls = [(f"http://h{n}.s{n % 50}/p", n % 50 % 2) for n in range(2000)]
+    model = url_filter.train(spark.createDataFrame(urls, "url STRING, blocked INT"), most_urls=40)
+    counted = {r.suffix: round(math.expm1(r.log_n)) for r in model.suffixes.collect()}
+    assert [counted.get(f"s{n}") for n in range(50)] == [40] * 50 and model.rate == 0.5
