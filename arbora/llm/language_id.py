@@ -57,17 +57,21 @@ def training_texts(docs: DataFrame, text: str, lang: str, most_bytes: int = TRAI
 
     The bound is kept by hash ranges: each language takes the texts whose hash
     is below its share of ``most_bytes``, so nothing is sorted or collected.
+    Shares count distinct texts, and a language's text of the smallest hash is
+    always taken, whatever its length.
     """
     rows = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
     rows = rows.filter("lang IS NOT NULL AND text IS NOT NULL AND text <> ''")
-    sizes = rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes"))
-    share = F.least(F.lit(1.0), F.lit(float(most_bytes)) / F.col("bytes"))
     place = F.shiftrightunsigned(F.xxhash64("text"), 11).cast("double") / float(1 << 53)
-    limits = {r.lang: r.share for r in sizes.select("lang", share.alias("share")).collect()}
+    # Two hashes and the length stand for a text.
+    once = rows.select("lang", place.alias("place"), F.xxhash64(F.lit(1), "text").alias("print"), F.octet_length("text").alias("size")).distinct()
+    sizes = once.groupBy("lang").agg(F.sum("size").alias("bytes"), F.min("place").alias("least"))
+    share = F.least(F.lit(1.0), F.lit(float(most_bytes)) / F.col("bytes"))
+    limits = {r.lang: (r.share, r.least) for r in sizes.select("lang", share.alias("share"), "least").collect()}
     if not limits:
         return rows.limit(0)
-    limit = F.create_map(*[x for k, v in limits.items() for x in (F.lit(k), F.lit(v))])
-    return rows.filter(place < F.element_at(limit, F.col("lang"))).dropDuplicates(["lang", "text"])
+    limit, least = (F.element_at(F.create_map(*[x for k, v in limits.items() for x in (F.lit(k), F.lit(v[n]))]), F.col("lang")) for n in (0, 1))
+    return rows.filter((place < limit) | (place == least)).dropDuplicates(["lang", "text"])
 
 
 def _count(order: int):

@@ -114,3 +114,11 @@ def test_bound_on_training_bytes(spark):
     kept = li.training_texts(spark.createDataFrame(rows, "text STRING, lang STRING"), "text", "lang", 3000)
     assert 60 < kept.count() < 180
     assert pytest.approx(kept.count()) == kept.distinct().count()
+
+
+def test_shares_count_distinct_texts_and_no_language_is_left_out(spark):
+    rows = [("copied", "the same text again and again " * 4)] * 500 + [("copied", f"own text number {n} of many") for n in range(100)]
+    rows += [(f"long{n}", f"{n} " + "very long " * 3000) for n in range(20)]
+    drawn = li.training_texts(spark.createDataFrame(rows, "lang STRING, text STRING"), "text", "lang", 4000)
+    got = {r.lang: r.n for r in drawn.groupBy("lang").count().withColumnRenamed("count", "n").collect()}
+    assert got == {"copied": 101} | {f"long{n}": 1 for n in range(20)}
