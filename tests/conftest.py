@@ -57,8 +57,7 @@ def roots_of(spark):
     return make
 
 
-def rows(df, *columns):
-    """Rows as a sorted list of tuples, or of values for a single column."""
-    picked = df.select(*columns) if columns else df
-    got = [tuple(r) if len(r) > 1 else r[0] for r in picked.collect()]
-    return sorted(got, key=lambda r: tuple((x is None, x) for x in (r if isinstance(r, tuple) else (r,))))
+@pytest.fixture(scope="session")
+def sf():
+    """Folder of the smallest tables."""
+    return "/root/testdata/sf0.001"

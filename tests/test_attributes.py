@@ -1,5 +1,5 @@
 import pytest
-from conftest import rows
+from model import rows
 from pyspark.sql import functions as F
 
 from arbora.operators import attributes as A

@@ -1,7 +1,7 @@
 import json
 
 import pytest
-from conftest import rows
+from model import rows
 from pyspark.sql import functions as F
 
 from arbora import build_graph

@@ -1,8 +1,7 @@
 import os
 
 import pytest
-from conftest import rows
-from model import depth_of, lowest_orgs, many_graphs, parents, random_graph, walk, with_managers
+from model import depth_of, lowest_orgs, many_graphs, parents, random_graph, rows, walk, with_managers
 from pyspark.sql import functions as F
 
 from arbora.operators import closure, subgraph, traverse

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 import pytest
-from conftest import rows
+from model import rows
 from pyspark.sql import functions as F
 
 from arbora.operators import legend, members, pseudonym, search, spatial, traverse, visibility
