@@ -52,3 +52,22 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def join_counted(
+    rows: DataFrame, counted: DataFrame, keys: list[str], total: int, how: str = "inner", n: str = "n", share: int = 1000
+) -> DataFrame:
+    """Inner or left join of ``rows`` with a table that has one row per key and, in ``n``, how many rows have the key.
+
+    Keys with more than one in ``share`` of the ``total`` rows are broadcast: there
+    are at most ``share`` of them, however large the tables are.  All others meet
+    in a shuffle in which no key holds a larger part.
+    """
+    hot = F.broadcast(counted.filter(F.col(n) > total / share))
+    rest = rows.join(hot.select(*keys), keys, "left_anti").join(counted.filter(F.col(n) <= total / share), keys, how)
+    return rows.join(hot, keys).unionByName(rest)
+
+
+def text_print(text: Column) -> Column:
+    """Two 64-bit hashes of a whole text, which stand for it in joins."""
+    return F.struct(F.xxhash64(text, F.lit(1)).alias("a"), F.xxhash64(F.lit(2), text).alias("b"))

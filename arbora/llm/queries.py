@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from .bpe import decode, encode
 from .common import fold, table, utf8
 from .decontaminate import flag
+from .filter_audit import audit
+from .importance import score_documents
 from .language_id import identify, train
 from .lattice_lm import score_texts
 from .near_dedup import near_duplicates
+from .oracle import AUDIT_SQL, RESAMPLE_SQL
 from .shuffle_shards import uniform_shards
 from .topk import top_k
 from .toxicity import score as score_toxicity
@@ -146,6 +149,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_segment_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight of every row of ``documents`` towards the texts of ``benchmark``, and the five percent that are drawn."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_documents(docs, table(spark, sf_dir, "benchmark").select("text"))
+    return scored.select(F.col("key").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the five filters keep and remove in each of their 120 orders, per language of ``documents``."""
+    return audit(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_boosted_urls": op2_boosted_urls,
@@ -157,6 +172,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_shuffle_shards": op8_shuffle_shards,
     "op9_ppm_language": op9_ppm_language,
     "op10_warc": op10_warc,
+    "op12_segment_resampling": op12_segment_resampling,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 TOP_K_SQL = f"""
@@ -194,4 +211,9 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM d
 """
 
-ORACLE_SQL: dict[str, str] = {"op7_bit_sliced_top_k": TOP_K_SQL, "op10_warc": WARC_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op7_bit_sliced_top_k": TOP_K_SQL,
+    "op10_warc": WARC_SQL,
+    "op12_segment_resampling": RESAMPLE_SQL,
+    "op13_filter_audit": AUDIT_SQL,
+}
