@@ -22,12 +22,14 @@ from .toxicity import score as score_toxicity
 from .toxicity import train as train_toxicity
 from .url_filter import Rule, host_of, judge, path_of, rule_of
 from .url_filter import train as train_urls
+from .vp_trees import nearest
 from .warc import archive, base32_sha1, page_number, read_warc
 
 SHARDS = 24
 WORD_BPE = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
 NEIGHBOURS = 5
+NEAREST = 10
 RULES = [
     Rule("net", "/", "block"),
     Rule("example.net", "/en/", "allow"),
@@ -149,6 +151,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_vantage_point_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten rows found nearest to each hundredth row of ``embeddings``, among all rows."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest(rows, rows.filter(F.col("vec_id") % 100 == 0), NEAREST)
+
+
 def op12_segment_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weight of every row of ``documents`` towards the texts of ``benchmark``, and the five percent that are drawn."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -172,6 +180,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_shuffle_shards": op8_shuffle_shards,
     "op9_ppm_language": op9_ppm_language,
     "op10_warc": op10_warc,
+    "op11_vantage_point_neighbours": op11_vantage_point_neighbours,
     "op12_segment_resampling": op12_segment_resampling,
     "op13_filter_audit": op13_filter_audit,
 }
