@@ -22,7 +22,10 @@ def brute(rows, queries, k):
         scored = []
         for i, w in rows:
             if clean(w) and i != q and len(w) == len(v):
-                scored.append((math.sqrt(sum((a - b) ** 2 for a, b in zip(v, exact(w), strict=True))), i is None, i))
+                total = 0.0
+                for a, b in zip(v, exact(w), strict=True):
+                    total += (a - b) * (a - b)
+                scored.append((math.sqrt(total), i is None, i))
         out += [(q, n + 1, i, s) for n, (s, _, i) in enumerate(sorted(scored, key=lambda x: (x[0], x[1], x[2] or 0))[:k])]
     return sorted(out, key=repr)
 
