@@ -10,6 +10,7 @@ from ..graph import Graph
 from ..schema import UNREACHABLE_LEVEL
 from ..session import materialize
 from .closure import frontier_closure, prepare_edges
+from .doubling import ancestor_pairs, ancestor_set, walk_lengths, walks
 
 
 def out_edges(links: DataFrame) -> DataFrame:
@@ -43,18 +44,9 @@ def manager_of(links: DataFrame) -> DataFrame:
 
 def org_depth(graph: Graph) -> DataFrame:
     """Steps on the parent walk of each org; a cycle counts each of its members once."""
-    parents = graph.org_parent
     orgs = graph.index.filter("as_org").select("id")
-    tops = orgs.join(parents.select(F.col("child").alias("id")), "id", "left_anti")
-    walk = frontier_closure(graph.edges("org_tree"), tops.select(F.lit("").alias("root_id"), "id"))
-    depth = walk.df.select("id", F.col("level").alias("depth"))
-    endless = materialize(orgs.join(depth, "id", "left_anti"), "cyclic")
-    if endless.rows == 0:
-        return depth
-    # only orgs whose walk runs into a cycle; all of their ancestors have a parent
-    chains = frontier_closure(graph.edges("org_up"), endless.df.select(F.col("id").alias("root_id"), "id"))
-    looped = chains.df.groupBy(F.col("root_id").alias("id")).agg(F.count(F.lit(1)).alias("depth"))
-    return depth.unionByName(looped)
+    steps = walk_lengths(graph.org_parent)
+    return orgs.join(steps, "id", "left").select("id", F.coalesce("steps", F.lit(0).cast("bigint")).alias("depth"))
 
 
 def report_subtree(graph: Graph, roots: DataFrame) -> DataFrame:
@@ -71,15 +63,13 @@ def org_descendants(graph: Graph, roots: DataFrame, include_root: bool = True) -
 
 def org_ancestors(graph: Graph, orgs: DataFrame) -> DataFrame:
     """The given orgs (``org_id``) and all orgs on their parent walks, as one set."""
-    seeds = orgs.select(F.lit("").alias("root_id"), F.col("org_id").alias("id"))
-    return frontier_closure(graph.edges("org_up"), seeds).df.select(F.col("id").alias("org_id"))
+    return ancestor_set(graph.org_parent, orgs.select(F.col("org_id").alias("id"))).select(F.col("id").alias("org_id"))
 
 
 def org_ancestor_pairs(graph: Graph, orgs: DataFrame) -> DataFrame:
     """``org_id, ancestor_id, step`` with the org itself at step 0."""
-    seeds = orgs.select(F.col("org_id").alias("root_id"), F.col("org_id").alias("id"))
-    reach = frontier_closure(graph.edges("org_up"), seeds).df
-    return reach.select(F.col("root_id").alias("org_id"), F.col("id").alias("ancestor_id"), F.col("level").alias("step"))
+    pairs = ancestor_pairs(graph.org_parent, orgs.select(F.col("org_id").alias("id")))
+    return pairs.select(F.col("id").alias("org_id"), F.col("ancestor").alias("ancestor_id"), "step")
 
 
 def person_all_orgs(
@@ -175,8 +165,9 @@ def hierarchy_levels(graph: Graph, nodes: DataFrame, links: DataFrame) -> DataFr
     inside = inside.join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
     managers = materialize(manager_of(inside), "managers").df
     typed = ids.join(graph.types, "id")
-    tops = typed.filter("type = 'person'").join(managers.withColumnRenamed("person_id", "id"), "id", "left_anti")
-    steps = prepare_edges(managers.selectExpr("manager_id AS v", "person_id AS w"), "managers")
-    reach = frontier_closure(steps, tops.select(F.lit("").alias("root_id"), "id"))
+    people = typed.filter("type = 'person'").select("id")
+    tops = people.join(managers.withColumnRenamed("person_id", "id"), "id", "left_anti")
+    below = walks(managers.select(F.col("person_id").alias("child"), F.col("manager_id").alias("parent"))).rooted
+    levels = tops.select("id", F.lit(0).cast("bigint").alias("level")).unionByName(below.select("id", F.col("steps").alias("level")))
     orgs = typed.filter("type = 'org'").select("id", F.lit(-1).cast("bigint").alias("level"))
-    return reach.df.select("id", "level").unionByName(orgs)
+    return levels.unionByName(orgs)

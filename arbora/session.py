@@ -15,7 +15,7 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # AQE splits hot partitions of joins at run time, also where an aggregate follows.
@@ -29,20 +29,22 @@ RUNTIME_SETTINGS = {
 }
 
 _local_base: dict[str, str] = {}
+_tables: list[tuple[str, str]] = []  # bucketed tables of this process by their folders
 _scopes: ContextVar[tuple[str, ...]] = ContextVar("scopes", default=())
 
 
 @dataclass(frozen=True)
 class Stored:
-    """A written intermediate table and the number of its rows.
+    """A written intermediate table, the number of its rows and of those that were marked.
 
-    The count is taken while writing; a repeated task may raise it, but an
-    empty table always counts 0.
+    The counts are taken while writing; a repeated task may raise both, but what
+    is empty counts 0, and they are equal only if every row is marked.
     """
 
     df: DataFrame
     rows: int
     path: str
+    marked: int = 0
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -68,13 +70,51 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return "/".join([workspace(spark), *_scopes.get(), f"{name}-{uuid.uuid4().hex}"])
 
 
-def materialize(df: DataFrame, name: str = "table") -> Stored:
+def materialize(df: DataFrame, name: str = "table", mark: Column | None = None) -> Stored:
     """Write ``df`` to the working folder and read it back."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
-    return Stored(spark.read.schema(df.schema).parquet(path), seen.get["rows"], path)
+    marked = F.count_if(F.lit(False) if mark is None else mark).alias("marked")
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), marked).write.parquet(path)
+    return Stored(spark.read.schema(df.schema).parquet(path), seen.get["rows"], path, seen.get["marked"])
+
+
+class Bucketed:
+    """A table below the working folder whose files are dealt out by a hash of ``keys``.
+
+    Joins and groupings on the keys read it without a shuffle.  It is filled in
+    steps; each is a partition of its own, which the last column names.
+    """
+
+    def __init__(self, like: DataFrame, name: str, keys: list[str], buckets: int, step: str | None = None):
+        self.spark, self.step, self.buckets = like.sparkSession, step, buckets
+        self.path, self.name = scratch_path(self.spark, name), f"arbora_{uuid.uuid4().hex}"
+        self.columns = [c for c in like.columns if c != step]
+        fields = ", ".join(f"`{c}` {like.schema[c].dataType.simpleString()}" for c in self.columns)
+        by = ", ".join(f"`{k}`" for k in keys)
+        more, part = (f", `{step}` BIGINT", f"PARTITIONED BY (`{step}`)") if step else ("", "")
+        self.spark.sql(
+            f"CREATE TABLE {self.name} ({fields}{more}) USING parquet {part} "
+            f"CLUSTERED BY ({by}) SORTED BY ({by}) INTO {buckets} BUCKETS LOCATION '{self.path}'"
+        )
+        _tables.append((self.path, self.name))
+
+    @property
+    def df(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def add(self, rows: DataFrame, step: int | None = None) -> int:
+        """Append rows; returns their number, which is exact if it is 0."""
+        seen = Observation()
+        rows = rows.select(*self.columns)
+        if self.step:
+            rows = rows.withColumn(self.step, F.lit(step).cast("bigint"))
+        rows.observe(seen, F.count(F.lit(1)).alias("rows")).write.insertInto(self.name)
+        return seen.get["rows"]
+
+    def at(self, step: int) -> DataFrame:
+        return self.df.filter(F.col(self.step) == step)
 
 
 def read_stored(spark: SparkSession, like: Stored, paths: list[str]) -> DataFrame:
@@ -82,6 +122,9 @@ def read_stored(spark: SparkSession, like: Stored, paths: list[str]) -> DataFram
 
 
 def _delete(spark: SparkSession, folder: str) -> None:
+    for place, name in [t for t in _tables if t[0].startswith(f"{folder}/")]:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        _tables.remove((place, name))
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 

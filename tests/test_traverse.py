@@ -124,7 +124,7 @@ def test_hubs_are_split_without_changing_the_result(make_graph, roots_of, monkey
     persons, orgs, links = random_graph(42, people=30, units=3, links=150)
     links = links + [(p["id"], "o42.0") for p in persons if (p["id"], "o42.0") not in links]
     g = make_graph(persons, orgs, links)
-    monkeypatch.setattr(closure.prepare_edges, "__defaults__", ("edges", 4, False))
+    monkeypatch.setattr(closure.prepare_edges, "__defaults__", ("edges", 4))
     reach = traverse.typed_bfs(g, roots_of("o42.0", "p42.1"), 3, "both")
     hubs = g.edges("both").hubs
     assert hubs is not None and max(rows(hubs, "slots")) > 1
@@ -182,13 +182,81 @@ def test_depth_and_direction_only_add_nodes(make_graph, roots_of):
         assert len(rows(traverse.typed_bfs(g, roots_of("p7.0"), 3, mode))) <= sizes[3]
 
 
-def test_wide_frontiers_join_instead_of_being_pushed(many, roots_of, monkeypatch):
+@pytest.fixture
+def no_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def _above(tree, n):
+    """The operators between a line of a plan and the next join above it."""
+    place = lambda line: len(line) - len(line.lstrip(" :+-"))
+    found, at = [], place(tree[n])
+    for line in reversed(tree[:n]):
+        if place(line) < at:
+            if "Join" in line:
+                return found
+            found, at = [*found, line], place(line)
+    return found
+
+
+@pytest.mark.parametrize("hubs", [False, True])
+def test_edges_and_visited_stay_where_they_are(spark, many, roots_of, no_broadcast, hubs):
     g, _, _, links = many
-    monkeypatch.setattr(closure, "PUSHED_IDS", 0)
+    edges = closure.prepare_edges(g._edge_plan("both"), "edges", 4 if hubs else 1 << 40)
+    assert (edges.hubs is not None) == hubs
     starts = [f"p{seed}.0" for seed in range(25)]
-    reach = traverse.typed_bfs(g, roots_of(*starts), 3, "both")
+    seeds = roots_of(*starts).select("root_id", F.col("root_id").alias("id"), F.lit(False).alias("org_start"))
+    admit = ~F.col("from_org")
+    reach = closure.frontier_closure(edges, seeds, 3, admit, ("org_start",)).df
     model = {root: walk(links, root, 3, "both") for root in starts}
     assert rows(reach, "root_id", "id", "level") == sorted((r, n, v) for r, m in model.items() for n, v in m.items())
+    seen = closure.Bucketed(seeds, "seen", closure.KEYS, edges.buckets, step="level")
+    seen.add(seeds, 0)
+    for level in range(3):
+        fresh = closure.next_level(seen.at(level), edges, seen.df, admit, ("org_start",))
+        tree = fresh._jdf.queryExecution().executedPlan().toString().splitlines()
+        scans = [n for n, line in enumerate(tree) if "FileScan parquet" in line]
+        # the first scan is the frontier; what lies between another one and its join is no shuffle
+        for n in (n for n in scans[1:] if "Bucketed: true" in tree[n]):
+            above = _above(tree, n)
+            assert not any("Exchange" in line for line in above), "\n".join(tree)
+        assert sum("Bucketed: true" in tree[n] for n in scans) >= 2
+        seen.add(fresh, level + 1)
+
+
+def test_a_long_chain_takes_few_rounds(spark):
+    from arbora.operators import doubling
+
+    n = 4000
+    parents = spark.range(n).selectExpr("CAST(id + 1 AS STRING) AS child", "CAST(id AS STRING) AS parent")
+    found = doubling.walks(parents)
+    assert found.rounds <= 13 and found.endless_rows == 0
+    assert found.rooted.agg(F.max("steps"), F.min("root"), F.count("*")).first() == (n, "0", n)
+
+
+def test_walks_with_cycles(spark):
+    """Cycles of several lengths with tails, and walks that end, against single steps."""
+    from arbora.operators import doubling
+
+    up = {"a": "b", "b": "c", "c": "a", "t1": "a", "t2": "t1", "self": "self", "s1": "self", "x": "y", "y": "x", "r1": "root", "r2": "r1", "r3": "r2"}
+    up |= {f"l{n}": f"l{(n + 1) % 37}" for n in range(37)} | {f"m{n}": f"m{n - 1}" if n else "l5" for n in range(90)}
+    parents = spark.createDataFrame(list(up.items()), "child STRING, parent STRING")
+    assert dict(rows(doubling.walk_lengths(parents))) == {i: depth_of(i, up) for i in up}
+    starts = ["t2", "m89", "r3", "root", "nobody", "y"]
+    expected = []
+    for start in starts:
+        seen, at = {}, start
+        while at not in seen:
+            seen[at] = len(seen)
+            if at not in up:
+                break
+            at = up[at]
+        expected += [(start, i, n) for i, n in seen.items()]
+    asked = spark.createDataFrame([(s,) for s in starts + ["t2"]], "id STRING")
+    assert rows(doubling.ancestor_pairs(parents, asked)) == sorted(expected)
+    assert rows(doubling.ancestor_set(parents, asked)) == sorted({i for _, i, _ in expected})
 
 
 def test_a_scope_removes_what_it_wrote(spark):
