@@ -33,7 +33,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SHARD_ROWS, LEAF_ROWS, QUERY_ROWS = 8192, 64, 1024
 # Rows tried as a node's vantage row, and rows that they are judged by.
 TRIED, JUDGES = 8, 64
-FACTOR = 1.6
+FACTOR = 5.0
 # Trees and batches of queries are rows of some megabytes.
 ROWS_AT_ONCE = 8
 # Room for rounding in sums of distances.
