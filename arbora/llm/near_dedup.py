@@ -9,14 +9,13 @@ similarity of the whole texts decides.
 
 Equal texts are one text from the start.  Within a band each text is first
 compared with the band's leader, the text that meets most others in all its
-bands.  Bands whose texts are not all in one group then go on until every two
-texts of different groups have met: their draws are compared in blocks, and the
-texts of two whose draws agree often enough decide.
+bands.  In bands whose texts are not all in one group then, every two texts of
+different groups are compared as well, in blocks: the weighted similarities of
+two blocks of texts are a matrix product.
 """
 
 from __future__ import annotations
 
-import math
 import sys
 from collections import Counter
 from collections.abc import Iterator
@@ -37,10 +36,11 @@ BANDS, ROWS = 16, 4
 # Words in fewer texts than this share weigh as if in that share. The table of the others has at most
 # (mean distinct words of a text) / COMMON rows, however many texts there are.
 COMMON = 1e-3
-# Texts of a band whose draws are compared at once with those of another block.
-BLOCK = 64
-# Probability that the draws of two texts which are just similar enough agree too rarely to look at the texts.
-MISSED = 1e-6
+# Texts, and bytes of texts, of a band that are compared at once with each other or with another block.
+BLOCK_TEXTS, BLOCK_BYTES = 1024, 1 << 20
+CELLS_AT_ONCE = 16
+# Features that lie in a matrix at once.
+COLUMNS = 4096
 SEED = 7
 MEMO_WORDS = 300_000
 # Shingles that are sampled together.
@@ -164,12 +164,13 @@ def _signatures(shared: Broadcast):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, quantiles = Shingler(*shared.value), _quantiles()
         for batch in batches:
-            held: list[tuple[int, np.ndarray, np.ndarray]] = []
+            held: list[tuple[int, np.ndarray, np.ndarray, int]] = []
             size = 0
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                codes, weights = shingler(text.as_py() or "")
+                body = text.as_py() or ""
+                codes, weights = shingler(body)
                 if len(codes):
-                    held.append((key, codes, weights))
+                    held.append((key, codes, weights, len(body)))
                     size += len(codes)
                 if size >= AT_ONCE:
                     yield _signed(held, quantiles)
@@ -181,15 +182,14 @@ def _signatures(shared: Broadcast):
 
 
 def _signed(held: list, quantiles) -> pa.RecordBatch:
-    owner = np.repeat(np.arange(len(held)), [len(c) for _, c, _ in held])
-    drawn = draws(np.concatenate([c for _, c, _ in held]), np.concatenate([w for _, _, w in held]), owner, len(held), quantiles)
+    owner = np.repeat(np.arange(len(held)), [len(c) for _, c, _, _ in held])
+    drawn = draws(np.concatenate([c for _, c, _, _ in held]), np.concatenate([w for _, _, w, _ in held]), owner, len(held), quantiles)
     bands = np.zeros((len(held), BANDS), np.uint64)
     for row in range(ROWS):
         bands = _mixed(bands * np.uint64(0x9E3779B97F4A7C15) + drawn.reshape(len(held), BANDS, ROWS)[:, :, row])
     lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, np.int32)), pa.array(bands.reshape(-1).view(np.int64)))
-    # A byte of each draw tells two texts apart well enough; equal draws have equal bytes.
-    short = pa.array([row.tobytes() for row in (_mixed(drawn) & np.uint64(255)).astype(np.uint8)], pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in held], pa.int64()), lists, short], names=["id", "bands", "draws"])
+    size = pa.array([n for _, _, _, n in held], pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array([k for k, _, _, _ in held], pa.int64()), size, lists], names=["id", "size", "bands"])
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -296,7 +296,7 @@ def _classes(marked: DataFrame, mine: str, key: str, text: str, least: float) ->
     texts = materialize(texts.filter("text IS NOT NULL").select("id", "text").dropDuplicates(["id"]), "texts").df
     total = max(texts.count(), 1)
     shared = spark.sparkContext.broadcast(inverse_frequencies(texts, total))
-    signed = materialize(texts.mapInArrow(_signatures(shared), "id BIGINT, bands ARRAY<BIGINT>, draws BINARY"), "bands").df
+    signed = materialize(texts.mapInArrow(_signatures(shared), "id BIGINT, size BIGINT, bands ARRAY<BIGINT>"), "bands").df
     links = _links(texts, signed, shared, least)
     labels = _components(links).df
     classes = prints.join(labels, "id", "left").select("print", "first", F.coalesce("label", "id").alias("label"))
@@ -304,102 +304,134 @@ def _classes(marked: DataFrame, mine: str, key: str, text: str, least: float) ->
     return materialize(classes.join(smallest, "label"), "classes").df
 
 
-def _fewest(least: float) -> int:
-    """Equal draws that two texts of similarity ``least`` have, but for a probability of ``MISSED``."""
-    n, below = BANDS * ROWS, 0.0
-    for k in range(n + 1):
-        below += math.comb(n, k) * least**k * (1 - least) ** (n - k)
-        if below > MISSED:
-            return k
-    return n
+def _shared(codes: np.ndarray, weights: np.ndarray, owner: np.ndarray, texts: int, left: int) -> np.ndarray:
+    """Sums of the smaller weights of each of the first ``left`` texts with each text.
 
-
-def _cells(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bounds of each row's texts, and their ids, labels and draws."""
-    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    flat = column.flatten()
-    drawn = np.frombuffer(b"".join(flat.field("draws").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
-    ids, labels = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("id", "label"))
-    return np.concatenate([[0], np.cumsum(sizes)]).astype(int), ids, labels, drawn
+    A shingle that comes with several weights is one feature per step from one
+    weight to the next; a text has those up to its own weight.  Then the smaller
+    of two weights is the sum of the steps that both have: a matrix product.
+    """
+    order = np.lexsort((weights, codes))
+    codes, weights, owner = codes[order], weights[order], owner[order]
+    code_ends = np.append(codes[1:] != codes[:-1], True)
+    step_ends = code_ends | np.append(weights[1:] != weights[:-1], True)
+    step = np.concatenate([[0], np.cumsum(step_ends)[:-1]])
+    code_starts = np.concatenate([[True], code_ends[:-1]])
+    lowest = step[np.maximum.accumulate(np.where(code_starts, np.arange(len(codes)), 0))]
+    level = weights[step_ends].astype(float)
+    rise = np.diff(level, prepend=0.0)
+    first = np.unique(lowest)
+    rise[first] = level[first]
+    times = step - lowest + 1
+    feature = np.repeat(step, times) - (np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times))
+    owner = np.repeat(owner, times)
+    common = np.bincount(feature, minlength=len(rise)) > 1  # what one text has alone is shared with no other
+    number = np.cumsum(common) - 1
+    kept = common[feature]
+    feature, owner, rise = number[feature[kept]], owner[kept], rise[common]
+    order = np.argsort(feature, kind="stable")
+    feature, owner = feature[order], owner[order]
+    out = np.zeros((left, texts))
+    for at in range(0, len(rise), COLUMNS):
+        a, b = np.searchsorted(feature, [at, at + COLUMNS])
+        has = np.zeros((texts, min(COLUMNS, len(rise) - at)))
+        has[owner[a:b], feature[a:b] - at] = 1.0
+        out += (has[:left] * rise[at : at + COLUMNS]) @ has.T
+    return out
 
 
-def _close(fewest: int):
-    """(id, leader) pairs of two blocks, or of one if there is no other, of different groups and with enough equal draws."""
+def alike(sets: list[tuple[np.ndarray, np.ndarray]], left: int, least: float) -> np.ndarray:
+    """Whether the first ``left`` texts are similar to each of all texts, exactly."""
+    owner = np.repeat(np.arange(len(sets)), [len(c) for c, _ in sets])
+    codes, weights = np.concatenate([c for c, _ in sets]), np.concatenate([w for _, w in sets])
+    whole = np.array([w.astype(float).sum() for _, w in sets])
+    shared = _shared(codes, weights, owner, len(sets), left)
+    return shared >= least * (whole[:left, None] + whole[None, :] - shared)
+
+
+def _forest(links: np.ndarray, labels: np.ndarray) -> list[tuple[int, int]]:
+    """Links between labels that connect what the linked texts connect: one less than the labels at most."""
+    names, number = np.unique(labels, return_inverse=True)
+    i, j = np.nonzero(links)
+    joined = np.zeros((len(names), len(names)), bool)
+    joined[number[i], number[j]] = joined[number[j], number[i]] = True
+    open_, found = np.ones(len(names), bool), []
+    for start in range(len(names)):
+        queue = [start] if open_[start] else []
+        open_[start] = False
+        while queue:
+            at = queue.pop()
+            for other in np.flatnonzero(joined[at] & open_).tolist():
+                open_[other] = False
+                found.append((int(names[other]), int(names[at])))
+                queue.append(other)
+    return found
+
+
+def _closed(shared: Broadcast, least: float):
+    """(id, leader) links between the labels of a block's texts, or of two blocks', by comparing the texts."""
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(*shared.value)
         for batch in batches:
-            (at, ids, labels, drawn), other = _cells(batch.column(0)), _cells(batch.column(1))
-            alone = batch.column(1).is_null().to_numpy(zero_copy_only=False)
-            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for n in range(batch.num_rows):
-                a = slice(at[n], at[n + 1])
-                b, (ids_b, labels_b, drawn_b) = (a, (ids, labels, drawn)) if alone[n] else (slice(other[0][n], other[0][n + 1]), other[1:])
-                apart = labels[a][:, None] != labels_b[b][None, :]
-                if alone[n]:
-                    apart = np.triu(apart)
-                if apart.any():
-                    i, j = np.nonzero(apart & ((drawn[a][:, None, :] == drawn_b[b][None, :, :]).sum(axis=2) >= fewest))
-                    left.append(ids[a][i])
-                    right.append(ids_b[b][j])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(right)), pa.array(np.concatenate(left))], names=["id", "leader"])
+            found: list[tuple[int, int]] = []
+            for mine, other in zip(batch.column(0), batch.column(1), strict=True):
+                texts = [*mine.as_py(), *(other.as_py() or [])]
+                left = len(mine)
+                labels = np.array([t["label"] for t in texts], np.int64)
+                links = alike([shingler(t["text"]) for t in texts], left, least)
+                found += _forest(links & (labels[:left, None] != labels[None, :]), labels)
+            yield pa.RecordBatch.from_arrays([pa.array([p[n] for p in found], pa.int64()) for n in (0, 1)], names=["id", "leader"])
 
     return close
 
 
 def _links(texts: DataFrame, signed: DataFrame, shared: Broadcast, least: float) -> DataFrame:
-    """Similar (id, leader) pairs that connect all texts which share a band and are connected by similar pairs.
+    """(id, leader) links that connect all texts which share a band and are connected by similar pairs.
 
-    After the leaders, the texts of a band that is not one group yet lie in
-    blocks by hash.  Each round compares some blocks with themselves and all
-    later ones, sixteen times as many as before, and leaves out pairs that the
-    rounds before have connected.
+    First every text of a band meets the band's leader.  In bands of three and
+    more that are not one group then, all texts of different groups meet as
+    whole texts, block by block; those of the leader's group meet the others,
+    not each other.  A block hands on a forest of links between groups.
     """
-    members = signed.select("id", F.posexplode("bands").alias("band", "code")).select("id", F.xxhash64("band", "code").alias("bucket"))
+    spark = texts.sparkSession
+    members = signed.select("id", "size", F.posexplode("bands").alias("band", "code"))
+    members = members.select("id", "size", F.xxhash64("band", "code").alias("bucket"))
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     # Texts without a band in common with another one need no further look.
-    members = materialize(members.join(sizes, "bucket").select("bucket", "id", "n"), "members").df
+    members = materialize(members.join(sizes, "bucket").select("bucket", "id", "size", "n"), "members").df
     met = materialize(members.groupBy("id").agg(F.sum("n").alias("met")), "met").df
     texts = materialize(texts.join(met, "id", "left_semi"), "candidates").df
     heads = members.join(met, "id").groupBy("bucket").agg(F.max(F.struct("met", F.xxhash64("id", "bucket").alias("r"), "id")).alias("head"))
-    pairs = members.join(heads.select("bucket", F.col("head.id").alias("leader")), "bucket").filter("id <> leader").select("id", "leader")
-    found: DataFrame | None = None
-    tried: DataFrame | None = None
+    heads = heads.select("bucket", F.col("head.id").alias("leader"))
+    pairs = members.join(heads, "bucket").filter("id <> leader").select("id", "leader")
+    pairs = pairs.groupBy(F.least("id", "leader").alias("id"), F.greatest("id", "leader").alias("leader")).agg(F.lit(1)).select("id", "leader")
+    both = pairs.join(texts, "id").join(texts.select(F.col("id").alias("leader"), F.col("text").alias("leader_text")), "leader")
+    met_leader = both.select("id", "leader", "text", "leader_text").mapInArrow(_verified(shared, least), "id BIGINT, leader BIGINT")
+    found = materialize(met_leader, "alike").df
+    labels = _components(found).df
+    ahead = members.filter("n > 2").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    # Bands of the same texts need one look.
+    same = [F.bit_xor(F.xxhash64("id", F.lit(n))).alias(f"same{n}") for n in range(2)]
+    mixed = ahead.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.first("n").alias("n"), F.sum("size").alias("bytes"), *same)
+    mixed = mixed.filter("lo <> hi").groupBy("n", "same0", "same1").agg(F.min(F.struct("bucket", "bytes")).alias("one"))
+    mixed = mixed.select("one.*", F.greatest(F.ceil(F.col("n") / BLOCK_TEXTS), F.ceil(F.col("one.bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    leading = heads.withColumnRenamed("leader", "id").join(labels, "id", "left").select("bucket", F.coalesce("label", "id").alias("leading"))
+    mixed = materialize(mixed.join(leading, "bucket").select("bucket", "blocks", "leading"), "mixed")
+    if not mixed.rows:
+        return found
     place = F.shiftrightunsigned(F.xxhash64("id", "bucket"), 11).cast("double") / float(1 << 53)
-    laid = members.withColumn("block", F.floor(place * F.ceil(F.col("n") / BLOCK)).cast("int"))
-    blocks = -(-(members.agg(F.max("n")).first()[0] or 0) // BLOCK)
-    start, end = 0, 0
-    while True:
-        ends = F.least("id", "leader").alias("low"), F.greatest("id", "leader").alias("high")
-        pairs = pairs.select("id", "leader", *ends).dropDuplicates(["low", "high"])
-        if tried is not None:
-            pairs = pairs.join(tried, ["low", "high"], "left_anti")
-        pairs = materialize(pairs.select("id", "leader", "low", "high"), "pairs")
-        if pairs.rows:
-            both = pairs.df.join(texts, "id").join(texts.select(F.col("id").alias("leader"), F.col("text").alias("leader_text")), "leader")
-            alike = both.select("id", "leader", "text", "leader_text").mapInArrow(_verified(shared, least), "id BIGINT, leader BIGINT")
-            alike = materialize(alike, "alike").df
-            found = alike if found is None else found.union(alike)
-            tried = pairs.df.select("low", "high") if tried is None else tried.union(pairs.df.select("low", "high"))
-        start, end = end, 16 * end or 1
-        if found is None or start >= blocks:
-            break
-        labels = _components(found).df
-        ahead = laid.filter(F.col("block") >= start).join(labels, "id", "left").select("bucket", "block", "id", F.coalesce("label", "id").alias("label"))
-        mixed = ahead.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket")
-        ahead = ahead.join(mixed, "bucket", "left_semi").join(signed.select("id", "draws"), "id")
-        cells = ahead.groupBy("bucket", "block").agg(
-            F.collect_list(F.struct("id", "label", "draws")).alias("texts"), F.min("label").alias("lo"), F.max("label").alias("hi")
-        )
-        cells = materialize(cells, "cells")
-        if not cells.rows:
-            break
-        cells = cells.df
-        side = lambda n: cells.select("bucket", *[F.col(c).alias(f"{c}{n}") for c in ("block", "lo", "hi")])
-        meet = side(1).filter(F.col("block1") < end).join(side(2), "bucket").filter("block1 < block2 AND (lo1 <> hi1 OR lo2 <> hi2 OR lo1 <> lo2)")
-        meet = meet.select("bucket", "block1", "block2")
-        body = lambda n: cells.select("bucket", F.col("block").alias(f"block{n}"), F.col("texts").alias(f"texts{n}"))
-        cross = meet.join(body(1), ["bucket", "block1"]).join(body(2), ["bucket", "block2"]).select("texts1", "texts2")
-        within = cells.filter((F.col("block") < end) & F.expr("lo <> hi")).select(F.col("texts").alias("texts1"))
-        within = within.withColumn("texts2", F.lit(None).cast(cells.schema["texts"].dataType))
-        pairs = within.unionByName(cross).mapInArrow(_close(_fewest(least)), "id BIGINT, leader BIGINT")
-    return found if found is not None else texts.sparkSession.createDataFrame([], "id BIGINT, leader BIGINT")
+    aside = (F.col("blocks") > 1) & (F.col("label") == F.col("leading"))
+    laid = ahead.join(mixed.df, "bucket").select("bucket", "id", "label", aside.alias("aside"), F.floor(place * F.col("blocks")).cast("int").alias("block"))
+    cells = laid.join(texts, "id").groupBy("bucket", "aside", "block").agg(F.collect_list(F.struct("label", "text")).alias("texts"))
+    cells = materialize(cells, "cells").df
+    side = lambda n: cells.select("bucket", F.col("aside").alias(f"aside{n}"), F.col("block").alias(f"block{n}"))
+    later = "NOT aside1 AND (aside2 OR block1 < block2)"
+    meet = side(1).join(side(2), "bucket").filter(later)
+    body = lambda n: cells.toDF("bucket", f"aside{n}", f"block{n}", f"texts{n}")
+    cross = meet.join(body(1), ["bucket", "aside1", "block1"]).join(body(2), ["bucket", "aside2", "block2"]).select("texts1", "texts2")
+    within = cells.filter("NOT aside").select(F.col("texts").alias("texts1"), F.lit(None).cast(cells.schema["texts"].dataType).alias("texts2"))
+    small_batches(spark, CELLS_AT_ONCE)
+    closed = materialize(within.unionByName(cross).mapInArrow(_closed(shared, least), "id BIGINT, leader BIGINT"), "closed").df
+    small_batches(spark)
+    return found.union(closed)

@@ -110,6 +110,40 @@ def test_base_with_many_edits(spark):
 
 
 def test_all_pairs_of_a_bucket_meet(spark, monkeypatch):
-    """Blocks of few texts, many rounds: chains of pairs without a common leader."""
-    monkeypatch.setattr(nd, "BLOCK", 2)
+    """Blocks of few texts: chains of pairs without a common leader, groups beside the leader's."""
+    monkeypatch.setattr(nd, "BLOCK_TEXTS", 2)
+    monkeypatch.setattr(nd, "COLUMNS", 50)
     test_against_all_pairs(spark)
+
+
+def test_blocks_agree_with_single_pairs():
+    rng = random.Random(3)
+    words = [f"u{n}" for n in range(30)]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(1, 60))) for _ in range(20)]
+    texts += [t + " " + t for t in texts[:8]] + [" ".join(["same"] * n) for n in (1, 3, 7, 8, 40)] + texts[:3]
+    shingler = nd.Shingler({w: 1 + n / 7 for n, w in enumerate(words)}, 6.0)
+    sets = [shingler(t) for t in texts]
+    codes, weights = np.concatenate([c for c, _ in sets]), np.concatenate([w for _, w in sets])
+    owner = np.repeat(np.arange(len(sets)), [len(c) for c, _ in sets])
+    shared = nd._shared(codes, weights, owner, len(sets), 11)
+    whole = np.array([w.astype(float).sum() for _, w in sets])
+    for i, j in itertools.product(range(11), range(len(sets))):
+        if i != j:
+            assert shared[i, j] / (whole[i] + whole[j] - shared[i, j]) == pytest.approx(nd.similarity(sets[i], sets[j]), abs=1e-9)
+
+
+def test_a_forest_connects_what_all_links_connect():
+    rng = np.random.default_rng(1)
+    labels = rng.integers(0, 40, 90)
+    links = rng.random((50, 90)) < 0.004
+    group = {int(x): {int(x)} for x in labels}
+    for i, j in zip(*np.nonzero(links), strict=True):
+        a, b = group[int(labels[i])], group[int(labels[j])]
+        if a is not b:
+            a |= b
+            for x in b:
+                group[x] = a
+    forest = nd._forest(links & (labels[:50, None] != labels[None, :]), labels)
+    classes = {frozenset(g) for g in group.values()}
+    assert len(forest) == len(group) - len(classes)
+    assert all(group[a] is group[b] for a, b in forest)
