@@ -12,8 +12,9 @@ from pyspark.sql.types import DataType, StructType
 from ..functions.scalars import attribute_key, collate, key_category, label_or_id
 from ..graph import Graph
 from ..schema import ATTRIBUTE_RING_GAP, NODE_RADIUS, NODE_STROKE_WIDTH
-from ..session import materialize, rows_of
+from ..session import materialize, rows_of, scratch_path
 from ..sources.attributes import as_keyed
+from ..sources.slots import Slots, slots_of
 from .numbering import dense_index
 
 ATTR_KEY = ["person_id", "category", "attr"]
@@ -121,9 +122,21 @@ TYPE_FIELDS = "category STRING, attr STRING, ordinal BIGINT, active BOOLEAN"
 
 @dataclass(frozen=True)
 class AttributeStore:
+    """The tables of all loads; with ``slots``, ``person_attr`` lies in them and a load reads what it touches only."""
+
     person_attr: DataFrame
     types: DataFrame
     registry: DataFrame
+    slots: Slots | None = None
+
+    def merged(self, new: DataFrame, touched: list[int]) -> Slots:
+        """``person_attr`` after a load whose categories lie in the slots ``touched``."""
+        spark = new.sparkSession
+        old = self.slots
+        if old is None:
+            schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.person_attr.schema.fields)
+            old = Slots(spark, schema, {}).append(self.person_attr, scratch_path(spark, "person_attr"))
+        return old.upsert(new, merge_attributes, scratch_path(spark, "person_attr"), touched)
 
 
 def _first_of(kind: DataType, value=None) -> Column:
@@ -162,7 +175,10 @@ def add_attribute(
     types = store.types.unionByName(typed.join(store.types, ["category", "attr"], "left_anti"))
     marked = store.registry.withColumn("modified", F.col("modified") | (F.col("category") == category))
     registry = marked.unionByName(source.join(store.registry, "category", "left_anti"))
-    return AttributeStore(merge_attributes(store.person_attr, new), types, registry)
+    if store.slots is None:
+        return AttributeStore(merge_attributes(store.person_attr, new), types, registry)
+    slots = store.merged(new, slots_of(spark, [category]))
+    return AttributeStore(slots.df, types, registry, slots)
 
 
 def toggle_attribute(types: DataFrame, category: str, attr: str) -> DataFrame:

@@ -14,7 +14,8 @@ from ..schema import CLUSTER_PAD
 from ..session import empty_like, rows_of, scratch_path
 from ..sources import attributes as files
 from ..sources.graph import read_graph_tables, write_graph_tables
-from ..streaming.drops import ingest_attribute_drops, read_attribute_store
+from ..sources.slots import slots_of
+from ..streaming.drops import ingest_attribute_drops, read_attribute_store, read_attribute_types, read_category_registry
 from .explore import explore, load_attribute_files, new_attribute_store
 from .warehouse import HIDDEN_ROOTS, ROOT, Warehouse, ask, warehouse
 
@@ -446,7 +447,9 @@ def _second_load(w: Warehouse) -> DataFrame:
 @query
 def merge_attributes(w: Warehouse) -> DataFrame:
     new = attributes.match_attributes(w.graph, _second_load(w), F.lit(1).cast("bigint")).person_attr
-    return attributes.merge_attributes(w.person_attr, new).select("person_id", "category", "attr", "value")
+    store = attributes.AttributeStore(w.person_attr, w.types, w.registry, w.attr_slots)
+    merged = store.merged(new, slots_of(w.spark, ["orders"]))
+    return merged.df.select("person_id", "category", "attr", "value")
 
 
 def _earlier_types(w: Warehouse) -> DataFrame:
@@ -733,13 +736,32 @@ def level_band(w: Warehouse) -> DataFrame:
 # --- stream
 
 
-@query
-def attribute_stream(w: Warehouse) -> DataFrame:
-    """Drop all files, ingest, drop a second orders file, ingest again, read the store."""
+def _drops(w: Warehouse) -> str:
+    """Drop all files, ingest, drop a second orders file, ingest again; the store."""
     folder, store = scratch_path(w.spark, "drops"), scratch_path(w.spark, "store")
-    for category, name in CATEGORIES.items():
+    for category, name in (CATEGORIES | {"void": "void.txt"}).items():  # no line is in the last one
         _drop(w, w.lines.filter(F.col("category") == category), f"{folder}/first", name)
     ingest_attribute_drops(w.graph, folder, store, parts=files.SPARK_PARTS).awaitTermination()
     _drop(w, w.ask(SECOND_LOAD), f"{folder}/second", "orders.csv")
     ingest_attribute_drops(w.graph, folder, store, parts=files.SPARK_PARTS).awaitTermination()
+    return store
+
+
+@query
+def attribute_stream(w: Warehouse) -> DataFrame:
+    """All drops merged."""
+    store = w._once("drops", lambda: _drops(w))
     return read_attribute_store(w.spark, store).select("person_id", "category", "attr", "value")
+
+
+@query
+def attribute_stream_types(w: Warehouse) -> DataFrame:
+    """Attribute names as the drops register them."""
+    return read_attribute_types(w.spark, w._once("drops", lambda: _drops(w)))
+
+
+@query
+def attribute_stream_registry(w: Warehouse) -> DataFrame:
+    """Categories of the drops; the file without content has no line and is there."""
+    registry = read_category_registry(w.spark, w._once("drops", lambda: _drops(w)))
+    return registry.select("category", "filename", "format", "is_empty", "modified")

@@ -13,7 +13,6 @@ from ..operators.attributes import (
     TYPE_FIELDS,
     AttributeStore,
     match_attributes,
-    merge_attributes,
     register_loads,
 )
 from ..operators.numbering import dense_index
@@ -29,6 +28,8 @@ from ..sources.attributes import (
     parse_attribute_lines,
     read_attribute_files,
 )
+from ..sources.slots import Slots, slot_of
+
 
 @dataclass(frozen=True)
 class View:
@@ -55,7 +56,8 @@ def explore(
 
 
 def new_attribute_store(spark: SparkSession) -> AttributeStore:
-    return AttributeStore(*(rows_of(spark, [], fields) for fields in (ATTR_FIELDS, TYPE_FIELDS, REGISTRY_FIELDS)))
+    tables = (rows_of(spark, [], fields) for fields in (ATTR_FIELDS, TYPE_FIELDS, REGISTRY_FIELDS))
+    return AttributeStore(*tables, Slots(spark, ATTR_FIELDS, {}))
 
 
 @dataclass(frozen=True)
@@ -91,10 +93,13 @@ def load_attribute_files(
     listed = named.select(F.col("name").alias("category"), F.col("file").alias("url"), "batch")
     sources = category_registry(keyed.withColumn("category", F.col("category.name")), listed)
     kept = store.registry.join(sources.select("category"), "category", "left_anti")
+    touched = [r.slot for r in named.select(slot_of(F.col("name")).alias("slot")).distinct().collect()]
+    slots = store.merged(fresh, touched)
     merged = AttributeStore(
-        materialize(merge_attributes(store.person_attr, fresh), "person_attr").df,
+        slots.df,
         materialize(register_loads(store.types, placed), "types").df,
         materialize(kept.unionByName(sources), "registry").df,
+        slots,
     )
     counts = matched.counts.select("category.*", "matched", "unmatched").withColumnRenamed("name", "category")
     return Loaded(merged, counts, ignored_files(graph.spark, paths))

@@ -594,6 +594,15 @@ FROM named""",
             "FROM (SELECT * FROM levels UNION ALL SELECT id, -1 FROM idx WHERE type = 'org')"
         ),
         "attribute_stream": _ask("SELECT * FROM merged_attr", ATTRIBUTES, MERGED_ATTR),
+        "attribute_stream_types": _ask("SELECT category, attr, ordinal, true AS active FROM types", ATTRIBUTES),
+        "attribute_stream_registry": _ask(
+            "SELECT category, CASE category WHEN 'activity' THEN 'activity.tsv' WHEN 'orders' THEN 'orders.csv' "
+            "ELSE category || '.txt' END AS filename, "
+            "CASE WHEN bool_or(contains(line, chr(9))) THEN 'tab' ELSE 'comma' END AS format, "
+            "bool_and(trim(line) = '') AS is_empty, false AS modified FROM lines GROUP BY category "
+            "UNION ALL SELECT 'void', 'void.txt', 'comma', true, false",
+            ATTRIBUTES,
+        ),
         "load_attributes": _ask(
             "SELECT * FROM merged_attr UNION ALL "
             "SELECT DISTINCT person_id, 'mark', 'by hand', '1' FROM merged_attr WHERE category = 'segment'",

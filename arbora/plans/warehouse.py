@@ -14,8 +14,9 @@ from ..operators.attributes import match_attributes, merge_attributes, register_
 from ..operators.numbering import dense_index
 from ..operators.traverse import org_depth
 from ..operators.visibility import Hidden, hide_subtree
-from ..session import configure, empty_like, materialize, rows_of
+from ..session import configure, empty_like, materialize, rows_of, scratch_path
 from ..sources.attributes import attribute_names, category_registry, parse_attribute_lines
+from ..sources.slots import Slots
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "events", "pages")
 
@@ -165,6 +166,16 @@ class Warehouse:
 
         return self.stored("person_attr", make)
 
+    @property
+    def attr_slots(self) -> Slots:
+        """``person_attr`` by slots of its categories, as loads grow it."""
+
+        def make() -> Slots:
+            schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.person_attr.schema.fields)
+            return Slots(self.spark, schema, {}).append(self.person_attr, scratch_path(self.spark, "attr_slots"))
+
+        return self._once("attr_slots", make)
+
     @property
     def types(self) -> DataFrame:
         none = rows_of(self.spark, [], "category STRING, attr STRING, ordinal BIGINT, active BOOLEAN")

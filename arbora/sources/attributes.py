@@ -49,7 +49,7 @@ def with_order(lines: DataFrame) -> DataFrame:
 def read_attribute_files(
     spark: SparkSession, paths: str | list[str], parts: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Lines ``file, ord, line`` and the files ``file, place, length``, empty ones included.
+    """Lines ``file, ord, line`` and the files ``file, place``, empty ones included.
 
     Scans leave out names that begin with ``_`` or ``.``; ``ignored_files`` lists them.
     """
@@ -57,43 +57,52 @@ def read_attribute_files(
     return with_order(text_lines(text, parts)).drop("time"), list_files(spark, paths, parts)
 
 
-def _hidden(path: str) -> bool:
-    return path.rsplit("/", 1)[-1].startswith(("_", "."))
-
-
 def ignored_files(spark: SparkSession, paths: str | list[str]) -> list[str]:
     """Files with content that no scan reads because of their names.
 
     Markers and check sums that Spark's writers leave next to their parts do not count.
     """
     marker = re.compile(r"_SUCCESS$|_(committed|started)_\d+$|\..*\.crc$")
-    found = (path for _, path, length in _listed(spark, paths) if length and _hidden(path))
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    found, folders = [], [paths] if isinstance(paths, str) else list(paths)
+    # one listing per folder, of the names that begin with "_" or "." only
+    while folders:
+        top = hadoop.Path(folders.pop())
+        fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for entry in fs.globStatus(hadoop.Path(top, "[_.]*")) or []:
+            if entry.isFile() and entry.getLen():
+                found.append(entry.getPath().toUri().toString())
+        folders += [e.getPath().toString() for e in fs.globStatus(hadoop.Path(top, "*")) or [] if e.isDirectory()]
     return sorted(p for p in found if not marker.match(p.rsplit("/", 1)[-1]))
 
 
-def _listed(spark: SparkSession, paths: str | list[str]) -> list[tuple[int, str, int]]:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    found = []
-    for place, pattern in enumerate([paths] if isinstance(paths, str) else paths):
-        top = hadoop.Path(pattern)
-        fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        for match in fs.globStatus(top) or []:
-            entries = fs.listFiles(match.getPath(), True)
-            while entries.hasNext():
-                entry = entries.next()
-                found.append((place, entry.getPath().toUri().toString(), entry.getLen()))
-    return found
+def listed_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``raw``: the files that a scan of the paths looks at, those without content included.
+
+    Spark lists in parallel and hands the names over at once.
+    """
+    text = spark.read.option("recursiveFileLookup", True).text(paths)
+    jvm = spark.sparkContext._jvm
+    names = jvm.scala.collection.immutable.ArraySeq.unsafeWrapArray(text._jdf.inputFiles())
+    names = spark._jsparkSession.createDataset(names, jvm.org.apache.spark.sql.Encoders.STRING())
+    return DataFrame(names.toDF(), spark).toDF("raw")
 
 
 def list_files(spark: SparkSession, paths: str | list[str], parts: str | None = None) -> DataFrame:
-    """``file, place, length`` below the paths; ``place`` is the position of the path in the list.
+    """``file, place`` below the paths; ``place`` is the position of the path in the list.
 
-    Scans skip files without content, so the names come from the file system.
+    Scans skip files without content, so the names come from the listing.
     """
-    found = [f for f in _listed(spark, paths) if not _hidden(f[1])]
-    listed = rows_of(spark, found, "place INT, file STRING, length BIGINT")
-    file = source_path(F.col("file"), parts).alias("file")
-    return listed.groupBy(file).agg(F.min("place").alias("place"), F.sum("length").alias("length"))
+    each = [listed_files(spark, p).withColumn("place", F.lit(n)) for n, p in enumerate([paths] if isinstance(paths, str) else paths)]
+    listed = each[0]
+    for more in each[1:]:
+        listed = listed.union(more)
+    return listed.groupBy(source_path(F.col("raw"), parts).alias("file")).agg(F.min("place").alias("place"))
+
+
+def modified_millis(spark: SparkSession, raw: str) -> int:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(spark.sparkContext._jvm.java.net.URI(raw))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime()
 
 
 def category_from_path(path: Column) -> Column:
@@ -136,6 +145,18 @@ def _several_fields(line: Column, tabbed: Column) -> Column:
     return F.when(tabbed, _has_tab(line)).otherwise(F.contains(line, F.lit(",")))
 
 
+def line_fields(line: Column) -> tuple[Column, Column, Column]:
+    """Identifier, attribute and value of a line, all null if it is no valid one.
+
+    Each line picks its own separator: tab if it has one, else comma.  A missing
+    value is "1", an empty one stays empty.
+    """
+    tabbed = _has_tab(line)
+    valid = not_blank(line) & _several_fields(line, tabbed)
+    fields = [_field(line, tabbed, 0), _field(line, tabbed, 1), F.coalesce(_field(line, tabbed, 2), F.lit("1"))]
+    return tuple(F.when(valid, f) for f in fields)
+
+
 def split_attribute_lines(lines: DataFrame) -> DataFrame:
     """``category, identifier, attr, value, ord`` per valid line.
 

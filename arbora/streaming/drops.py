@@ -1,115 +1,205 @@
 """Attribute files that arrive over time.
 
-Each micro-batch is parsed, matched and written below ``delta/batch=N``, with
-the attribute names and the files it brought in folders next to it.  A batch that runs again after a failure overwrites its own folder, so nothing is
-counted twice, and no batch rewrites what earlier ones wrote.
+The store keeps state by file: an entry per file, identifier and attribute, and
+a row per file, as mergeable figures (last value, first position, oldest part).
+A micro-batch adds the pieces that it saw of each file, so it does not matter
+how the parts of a file, or files, are dealt over batches.  Which file is newer
+is told by its time, not by its batch.  A batch that runs again writes its own
+folders and its own state of the manifest again, so nothing is counted twice.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..graph import Graph
-from ..operators.attributes import TYPE_FIELDS, match_attributes, merge_attributes, register_loads
+from ..operators.attributes import ATTR_KEY, TYPE_FIELDS, register_loads
 from ..operators.numbering import dense_index
 from ..schema import PLACE
-from ..session import empty_like, materialize, rows_of
+from ..session import rows_of
 from ..sources.attributes import (
-    attribute_names,
     category_from_file_name,
+    line_fields,
+    listed_files,
+    modified_millis,
     not_blank,
-    parse_attribute_lines,
+    source_path,
     text_lines,
     with_order,
 )
+from ..sources.slots import Manifest, Slots, slots_of
 
+# Which load is newer: ``batch`` is 0 for all drops, so what is set by hand later can be newer than any.
 LOAD = "STRUCT<batch: BIGINT, time: TIMESTAMP, file: STRING>"
-DELTA = (
-    "person_id STRING, category STRING, attr STRING, value STRING, "
-    f"batch {LOAD}, first_ord {PLACE}, ord {PLACE}"
+# Pieces of files: entries, and with a null identifier the file itself.
+PIECES = (
+    "category STRING, file STRING, identifier STRING, attr STRING, value STRING, "
+    f"last {PLACE}, ord {PLACE}, time TIMESTAMP, tabbed BOOLEAN, filled BOOLEAN, persons ARRAY<STRING>"
 )
-NAMES = f"category STRING, attr STRING, load {LOAD}, place BIGINT"
-FILES = f"file STRING, load {LOAD}, tabbed BOOLEAN, filled BOOLEAN"
+PIECE_KEY = ["category", "file", "identifier", "attr"]
 
 
-def _ingest(graph: Graph, batch: DataFrame, number: int, store: str) -> None:
-    batch = with_order(batch)
-    # one row per file; parts of a folder count as one file, as old as its oldest part
-    shape = batch.groupBy("file").agg(
+def merge_pieces(pieces: DataFrame) -> DataFrame:
+    """One row per file, identifier and attribute, whatever pieces they come in."""
+    return pieces.groupBy(*PIECE_KEY).agg(
+        F.max_by("value", "last").alias("value"),
+        F.max("last").alias("last"),
+        F.min("ord").alias("ord"),
         F.min("time").alias("time"),
-        F.bool_or(F.contains("line", F.lit("\t"))).alias("tabbed"),
-        F.bool_or(not_blank(F.col("line"))).alias("filled"),
+        F.bool_or("tabbed").alias("tabbed"),
+        F.bool_or("filled").alias("filled"),
+        F.max("persons").alias("persons"),
     )
-    load = F.struct(F.lit(number).cast("bigint").alias("batch"), "time", "file").alias("load")
-    files = materialize(shape.select("file", load, "tabbed", "filled"), "files").df
-    files.write.mode("overwrite").parquet(f"{store}/files/batch={number}")
-    # a file is one load: entries of different files never mix
-    lines = batch.drop("time").join(files.select("file", "load"), "file")
-    name = category_from_file_name(F.col("file")).alias("name")
-    keyed = lines.select(F.struct(name, "load").alias("category"), "line", "ord")
-    entries = materialize(parse_attribute_lines(keyed), "entries").df
-    matched = match_attributes(graph, entries).person_attr
-    rows = matched.select(
-        "person_id",
-        F.col("category.name").alias("category"),
-        "attr",
-        "value",
-        F.col("category.load").alias("batch"),
-        "first_ord",
-        "ord",
+
+
+def _pieces(graph: Graph, lines: DataFrame) -> DataFrame:
+    """The pieces of files in a batch of lines, in one pass over them; identifiers with the persons they mean."""
+    line = F.col("line")
+    identifier, attr, value = line_fields(line)
+    ends = [F.col("ord").alias("last"), F.col("ord").alias("ord")]
+    none = F.lit(None).cast("string")
+    file_row = F.struct(none.alias("identifier"), none.alias("attr"), none.alias("value"), *ends)
+    entry = F.struct(identifier.alias("identifier"), attr.alias("attr"), value.alias("value"), *ends)
+    rows = lines.select(
+        category_from_file_name(F.col("file")).alias("category"),
+        "file",
+        F.inline(F.array_compact(F.array(file_row, F.when(identifier.isNotNull(), entry)))),
+        "time",
+        F.contains(line, F.lit("\t")).alias("tabbed"),
+        not_blank(line).alias("filled"),
     )
-    rows.write.mode("overwrite").parquet(f"{store}/delta/batch={number}")
-    placed = dense_index(attribute_names(entries), ["ord", "attr"], ("category",), "place")
-    seen = placed.select(F.col("category.name").alias("category"), "attr", F.col("category.load").alias("load"), "place")
-    seen.write.mode("overwrite").parquet(f"{store}/names/batch={number}")
+    merged = merge_pieces(rows.withColumn("persons", F.lit(None).cast("array<string>"))).drop("persons")
+    people = graph.index.filter("type = 'person'").select(F.col("id").alias("lowered"), F.col("id").alias("by_id"))
+    mails = graph.email_index.select(F.col("email").alias("lowered"), F.col("person_id").alias("by_mail"))
+    known = merged.withColumn("lowered", F.lower("identifier")).join(people, "lowered", "left").join(mails, "lowered", "left")
+    persons = F.array_distinct(F.array_compact(F.array("by_id", "by_mail")))
+    return known.select(*merged.columns, persons.alias("persons"))
+
+
+class Drops:
+    """The store of a folder of drops: its pieces by slot, and its files without content."""
+
+    def __init__(self, spark: SparkSession, store: str):
+        self.spark, self.store, self.manifest = spark, store, Manifest(spark, store)
+
+    def state(self, before: str | None = None) -> tuple[Slots, list[list]]:
+        said = self.manifest.read(before)
+        pieces = {int(s): [f"{self.store}/{f}" for f in folders] for s, folders in said.get("pieces", {}).items()}
+        return Slots(self.spark, PIECES, pieces), said.get("empty", [])
+
+    def save(self, number: str, pieces: Slots, empty: list[list]) -> None:
+        inside = {s: [f.removeprefix(f"{self.store}/") for f in folders] for s, folders in pieces.pieces.items()}
+        self.manifest.write(number, {"pieces": inside, "empty": empty})
+
+    def add(self, graph: Graph, batch: DataFrame, number: int) -> None:
+        name = f"{number:012d}"
+        before, empty = self.state(name)
+        after = before.append(_pieces(graph, with_order(batch)), f"{self.store}/pieces/{name}")
+        self.save(name, after.compact(merge_pieces, f"{self.store}/pieces/{name}-whole"), empty)
+
+    def add_empty(self, listed: DataFrame) -> None:
+        """Remember the listed files (``raw, file``) of which no line was seen."""
+        pieces, empty = self.state()
+        seen = pieces.read().filter("identifier IS NULL").select("file").distinct()
+        void = listed.join(seen, "file", "left_anti").groupBy("file").agg(F.max("raw").alias("raw"))
+        known = {f for f, _ in empty}
+        new = [[r.file, int(modified_millis(self.spark, r.raw))] for r in void.collect() if r.file not in known]
+        if new:
+            self.save(self.manifest.after(), pieces, empty + new)
+
+    def rows(self, categories: list[str] | None) -> DataFrame:
+        pieces, _ = self.state()
+        if categories is None:
+            return merge_pieces(pieces.read())
+        return merge_pieces(pieces.read(slots_of(self.spark, categories)).filter(F.col("category").isin(categories)))
+
+
+class Ingest:
+    """A run over the files of a folder; files without content, of which no stream tells, are added when it ends."""
+
+    def __init__(self, query: StreamingQuery, drops: Drops, listed: DataFrame):
+        self.query, self._drops, self._listed = query, drops, listed
+
+    def awaitTermination(self) -> None:
+        self.query.awaitTermination()
+        self._drops.add_empty(self._listed)
 
 
 def ingest_attribute_drops(
     graph: Graph, folder: str, store: str, files_per_batch: int | None = None, parts: str | None = None
-) -> StreamingQuery:
+) -> Ingest:
     """Merge every attribute file found in ``folder`` into the store, each one once.
 
     Files whose names match ``parts`` are pieces of the folder they lie in.
+    ``files_per_batch`` bounds the work of a micro-batch and changes no result.
     """
     spark = graph.spark
+    # The run sees all files that are there now, so those without a line in the end have no content.
+    listed = listed_files(spark, folder).select("raw", source_path(F.col("raw"), parts).alias("file"))
     reader = spark.readStream.format("text").option("lineSep", "\n").option("recursiveFileLookup", True)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return (
+    drops = Drops(spark, store)
+    query = (
         text_lines(reader.load(folder), parts)
         .writeStream.option("checkpointLocation", f"{store}/checkpoint")
         .trigger(availableNow=True)
-        .foreachBatch(lambda batch, number: _ingest(graph, batch, number, store))
+        .foreachBatch(lambda batch, number: drops.add(graph, batch, number))
         .start()
     )
+    return Ingest(query, drops, listed)
+
+
+def _files(rows: DataFrame) -> DataFrame:
+    """``category, file, load, tabbed, filled`` of the files with content."""
+    load = F.struct(F.lit(0).cast("bigint").alias("batch"), "time", "file").alias("load")
+    return rows.filter("identifier IS NULL").select("category", "file", load, "tabbed", "filled")
+
 
+def _entries(rows: DataFrame) -> DataFrame:
+    """Entries with the load they came in."""
+    load = _files(rows).select("file", "load")
+    return rows.filter("identifier IS NOT NULL").drop("time", "tabbed", "filled").join(load, "file")
 
-def read_attribute_store(spark: SparkSession, store: str) -> DataFrame:
-    """All drops merged: one row per person, category and attribute, the newest file wins."""
-    deltas = _deltas(spark, store, "delta", DELTA)
-    return merge_attributes(empty_like(deltas), deltas)
+
+def read_attribute_store(spark: SparkSession, store: str, categories: list[str] | None = None) -> DataFrame:
+    """All drops merged: one row per person, category and attribute, the newest file wins.
+
+    If several identifiers of a file mean the same person, the one that came up
+    last in it wins.  ``categories`` reads the slots of these only.
+    """
+    entries = _entries(Drops(spark, store).rows(categories)).filter(F.size("persons") > 0)
+    first = F.min("ord").over(Window.partitionBy("category", "file", "identifier")).alias("first_ord")
+    hits = entries.select("category", "attr", "value", "load", "ord", first, F.explode("persons").alias("person_id"))
+    rank = F.min(F.struct(F.col("load").alias("batch"), "first_ord", "ord")).alias("rank")
+    newest = F.max_by("value", F.struct("load", "first_ord")).alias("value")
+    return hits.groupBy(*ATTR_KEY).agg(newest, rank).select(*ATTR_KEY, "value", "rank.*")
 
 
 def read_attribute_types(spark: SparkSession, store: str) -> DataFrame:
     """``category, attr, ordinal, active`` as loading the files one by one numbers them."""
-    return register_loads(rows_of(spark, [], TYPE_FIELDS), _deltas(spark, store, "names", NAMES))
+    entries = _entries(Drops(spark, store).rows(None))
+    names = entries.groupBy("category", "attr", "load").agg(F.min("ord").alias("ord"))
+    placed = dense_index(names, ["ord", "attr"], ("category", "load"), "place")
+    return register_loads(rows_of(spark, [], TYPE_FIELDS), placed.select("category", "attr", "load", "place"))
 
 
 def read_category_registry(spark: SparkSession, store: str) -> DataFrame:
-    """The last file of each category; files of blank lines make empty categories."""
+    """The last file of each category; files without content or of blank lines make empty categories."""
+    drops = Drops(spark, store)
+    files = _files(drops.rows(None)).select("file", "load", "tabbed", "filled")
+    _, empty = drops.state()
+    void = rows_of(spark, [(f, t) for f, t in empty], "file STRING, millis BIGINT").join(files.select("file"), "file", "left_anti")
+    load = F.struct(F.lit(0).cast("bigint").alias("batch"), F.timestamp_millis("millis").alias("time"), "file").alias("load")
+    void = void.groupBy("file").agg(F.max("millis").alias("millis")).select("file", load, F.lit(False).alias("tabbed"), F.lit(False).alias("filled"))
     info = F.struct(
         F.substring_index("file", "/", -1).alias("filename"),
         F.lit(None).cast("string").alias("url"),
         F.when(F.col("filled") & F.col("tabbed"), "tab").otherwise("comma").alias("format"),
         (~F.col("filled")).alias("is_empty"),
     )
-    files = _deltas(spark, store, "files", FILES)
     category = category_from_file_name(F.col("file")).alias("category")
-    last = files.groupBy(category).agg(F.max_by(info, "load").alias("info"))
+    last = files.unionByName(void).groupBy(category).agg(F.max_by(info, "load").alias("info"))
     return last.select("category", "info.*", F.lit(False).alias("modified"))
-
-
-def _deltas(spark: SparkSession, store: str, kind: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{store}/{kind}")

@@ -300,3 +300,69 @@ def test_attribute_by_hand_on_every_store(spark, people, tmp_path):
         assert added.person_attr.schema.simpleString() == kept.person_attr.schema.simpleString()
     again = load_attribute_files(people, add_attribute(loaded, persons, "d", "z", 99), str(folder), 200).store
     assert rows(again.person_attr, "category", "person_id", "attr") == [("c", "p-1", "x"), ("c", "p-2", "y"), ("d", "p-1", "z")]
+
+
+def _three_tables(spark, store):
+    attrs = rows(read_attribute_store(spark, store), "person_id", "category", "attr", "value")
+    types, registry = read_attribute_types(spark, store), read_category_registry(spark, store)
+    return attrs, rows(types, "category", "attr", "ordinal", "active"), rows(registry, "category", "filename", "format", "is_empty")
+
+
+def test_batches_change_nothing(spark, people, tmp_path, monkeypatch):
+    """Parts of a folder and files without content, in batches of one file, of three, and in one."""
+    from arbora.sources import slots
+
+    folder = tmp_path / "in"
+    for name, parts in {
+        "c.csv": ["p-1,x,old\np-2,first", "P2@X.DE,first,mail\nnobody,w", "p-1,x,new\np-1,last", ""],
+        "d.tsv": ["p-2\tq", ",", "p-2\ta\t"],
+        "none.txt": ["", ""],
+        "blank.txt": ["", " \n\t\n"],
+    }.items():
+        (folder / name).mkdir(parents=True)
+        for n, text in enumerate(parts):
+            (folder / name / f"part-{n:05d}-x.txt").write_text(text)
+    seen = {}
+    for batch, most in ((1, 1), (3, 8), (None, 8)):
+        monkeypatch.setattr(slots.Slots.compact, "__defaults__", (most,))
+        store = str(tmp_path / f"store-{batch}")
+        ingest_attribute_drops(people, str(folder), store, batch, parts=S.SPARK_PARTS).awaitTermination()
+        seen[batch] = _three_tables(spark, store)
+    first = seen.pop(None)
+    assert all(other == first for other in seen.values())
+    assert ("none", "none.txt", "comma", True) in first[2] and ("blank", "blank.txt", "comma", True) in first[2]
+    assert ("p-1", "c", "x", "new") in first[0] and [t[2] for t in first[1] if t[0] == "c"] == [1, 3, 2, 0]
+
+
+def test_a_batch_that_runs_again(spark, people, tmp_path):
+    from arbora.sources.attributes import text_lines
+    from arbora.streaming.drops import Drops
+
+    (tmp_path / "c.csv").write_text("p-1,x,1\np-2,y,2")
+    lines = text_lines(spark.read.option("lineSep", "\n").text(str(tmp_path / "c.csv")))
+    store = str(tmp_path / "store")
+    drops = Drops(spark, store)
+    for number in (0, 1, 1, 2, 2):
+        drops.add(people, lines, number)
+    assert rows(read_attribute_store(spark, store), "person_id", "attr", "value") == [("p-1", "x", "1"), ("p-2", "y", "2")]
+    assert all(len(folders) == 3 for folders in drops.state()[0].pieces.values())
+
+
+def test_a_load_reads_only_the_slots_of_its_categories(spark, people, tmp_path):
+    from arbora.plans.explore import load_attribute_files, new_attribute_store
+    from arbora.sources.slots import slots_of
+
+    for name in ("a", "b", "c", "d"):
+        (tmp_path / "one").mkdir(exist_ok=True)
+        (tmp_path / "one" / f"{name}.csv").write_text(f"p-1,x,{name}\np-2,y")
+    (tmp_path / "two").mkdir()
+    (tmp_path / "two" / "b.csv").write_text("p-1,x,newer")
+    store = load_attribute_files(people, new_attribute_store(spark), str(tmp_path / "one"), 0).store
+    before = store.slots
+    after = load_attribute_files(people, store, str(tmp_path / "two"), 10).store
+    (touched,) = slots_of(spark, ["b"])
+    assert {s for s in before.pieces if before.pieces[s] != after.slots.pieces[s]} == {touched}
+    read = before.read([touched]).inputFiles()
+    assert read and all(f"slot={touched}/" in f for f in read)
+    assert ("p-1", "b", "newer") in rows(after.person_attr.filter("attr = 'x'"), "person_id", "category", "value")
+    assert len(rows(after.person_attr)) == 8
