@@ -1,12 +1,14 @@
 """Benchmark decontamination: rare word triples seed, Smith-Waterman alignment decides.
 
-Triples of words of the test items are looked up in every text.  How many texts
+Triples of words of the test items, in a row or with one word between, are looked
+up in every text.  How many texts
 hold each triple is counted first; a triple seeds an alignment if it is rare in
 the corpus or among the rarer half of its item's that occur.  A frequent one, be
 it a common phrase or part of an item with many copies, seeds as well if the
 words around it could reach the least score at all.  Around the seeds the item is
 aligned with the text word by word, so copies with words changed, put in or left
-out still score.
+out still score.  Left and right of a copy the alignment goes on, and long runs of
+seeds are aligned window by window.
 """
 
 from __future__ import annotations
@@ -26,7 +28,11 @@ from .common import free_name, small_batches
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-SEED_WORDS, LEAST_WORDS = 3, 5
+# The words of a triple, counted from its first; copies with every third word changed keep some of the second kind.
+PATTERNS = ((0, 1, 2), (0, 1, 3))
+SEED_WORDS, LEAST_WORDS = 4, 5
+# Words of a run that are aligned at once, in lengths of the item.
+WINDOW = 6
 # A triple in at most this share of the texts, or this number of them, is rare.
 RARE, RARE_TEXTS = 1e-3, 20
 MATCH, ALIKE, MISMATCH, GAP = 2.0, 1.0, -1.0, -1.0
@@ -50,7 +56,7 @@ class Seeds:
         self.items = [(i, w) for i, w in listed if len(w) >= LEAST_WORDS]
         self.number = {w: n + 1 for n, w in enumerate(sorted({w for _, ws in self.items for w in ws}))}
         coded = [self.coded(w) for _, w in self.items]
-        codes = [self.triples(c) for c in coded]
+        codes = [self.triples(c)[0] for c in coded]
         owner = np.repeat(np.arange(len(codes)), [len(c) for c in codes]) if codes else np.zeros(0, int)
         flat = np.concatenate(codes) if codes else np.zeros(0, np.uint64)
         order = np.argsort(flat, kind="stable")
@@ -75,22 +81,27 @@ class Seeds:
         get = self.number.get
         return np.array([get(w, 0) for w in words], np.uint64)
 
-    def triples(self, coded: np.ndarray) -> np.ndarray:
-        """A number for each triple of known words, 0 for the others."""
-        if len(coded) < SEED_WORDS:
-            return np.zeros(0, np.uint64)
-        a, b, c = coded[:-2], coded[1:-1], coded[2:]
-        code = (a * np.uint64(0x9E3779B97F4A7C15) + b) * np.uint64(0x9E3779B97F4A7C15) + c
-        return np.where((a > 0) & (b > 0) & (c > 0), code, np.uint64(0))
+    def triples(self, coded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A number for each triple of known words, and where it begins."""
+        codes, places = [np.zeros(0, np.uint64)], [np.zeros(0, int)]
+        for pattern in PATTERNS:
+            n = len(coded) - pattern[-1]
+            if n <= 0:
+                continue
+            a, b, c = (coded[k : k + n] for k in pattern)
+            at = np.flatnonzero((a > 0) & (b > 0) & (c > 0))
+            code = (a[at] * np.uint64(0x9E3779B97F4A7C15) + b[at]) * np.uint64(0x9E3779B97F4A7C15) + c[at]
+            codes.append(code * np.uint64(2 * pattern[-1] + 1))
+            places.append(at)
+        return np.concatenate(codes), np.concatenate(places)
 
     def hits(self, coded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of the text's triples that items have, and which."""
-        code = self.triples(coded)
-        at = np.flatnonzero(code)
+        code, at = self.triples(coded)
         if not len(at) or not len(self.codes):
             return np.zeros(0, int), np.zeros(0, int)
-        found = np.minimum(np.searchsorted(self.codes, code[at]), len(self.codes) - 1)
-        same = self.codes[found] == code[at]
+        found = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        same = self.codes[found] == code
         return at[same], found[same]
 
 
@@ -114,9 +125,12 @@ def rare_seeds(seeds: Seeds, texts: np.ndarray, total: int) -> np.ndarray:
     """Whether each (triple, item) pair may seed: rare in the corpus, or in the rarer half of the item's that occur."""
     n = texts[np.repeat(np.arange(len(seeds.codes)), np.diff(seeds.bounds))]
     rare = n <= max(RARE * total, RARE_TEXTS)
-    for item in range(len(seeds.items)):
-        own = np.flatnonzero((seeds.owner == item) & (n > 0))
-        rare[own[np.argsort(n[own], kind="stable")[: -(-len(own) // 2)]]] = True
+    own = np.flatnonzero(n > 0)
+    own = own[np.lexsort((n[own], seeds.owner[own]))]
+    first = np.searchsorted(seeds.owner[own], np.arange(len(seeds.items) + 1))
+    place = np.arange(len(own)) - first[seeds.owner[own]]
+    half = -(-np.diff(first) // 2)
+    rare[own[place < half[seeds.owner[own]]]] = True
     return rare
 
 
@@ -194,13 +208,50 @@ def _runs(seeds: Seeds, item: np.ndarray, place: np.ndarray, words: list[str], l
             continue
         key, own = seeds.items[item[start]]
         low, high = max(0, int(place[start]) - len(own)), int(place[n - 1]) + len(own) + SEED_WORDS
-        score, first, end = align(own, words[low:high])
-        if score >= least * MATCH * len(own):
-            found = {"item_id": key, "score": score / (MATCH * len(own)), "first_word": low + first, "words": end - first}
+        for score, first, end in copies(own, words, place[start:n], low, min(high, len(words)), least):
+            found = {"item_id": key, "score": score / (MATCH * len(own)), "first_word": first, "words": end - first}
             yield int(item[start]), low, high, found
         start = n
 
 
+def copies(
+    item: list[str], words: list[str], seeded: np.ndarray, low: int, high: int, least: float
+) -> Iterator[tuple[float, int, int]]:
+    """Score, first word and end of the copies of an item in ``words[low:high]`` that hold a seed, from left to right.
+
+    A copy of the least score has fewer changes than words, so it is at most
+    twice as long as the item.  Windows overlap by as much; a copy that begins in
+    the overlap is left to the next window.
+    """
+    reach = 2 * len(item)
+    while low < high:
+        last = low + WINDOW * len(item) >= high
+        end = high if last else low + WINDOW * len(item)
+        after = end if last else end - reach
+        for score, first, stop in _within(item, words, seeded, low, end, least):
+            if first < end - reach or last:
+                yield score, first, stop
+                after = max(after, stop)
+        low = after
+
+
+def _within(
+    item: list[str], words: list[str], seeded: np.ndarray, low: int, high: int, least: float
+) -> list[tuple[float, int, int]]:
+    """The best copy between two places, and those left and right of it."""
+    found, open_ = [], [(low, high)]
+    while open_:
+        a, b = open_.pop()
+        # so few words cannot reach the score, and words without a seed are none of a copy
+        if b - a < least * len(item) or np.searchsorted(seeded, a) == np.searchsorted(seeded, b):
+            continue
+        score, first, end = align(item, words[a:b])
+        if score >= least * MATCH * len(item):
+            found.append((score, a + first, a + end))
+            open_ += [(a, a + first), (a + end, b)]
+    return sorted(found, key=lambda f: f[1])
+
+
 def _found(shared: Broadcast, rare: Broadcast, least: float):
     """Append the passages to the list in the last column; the text is the one before."""
 

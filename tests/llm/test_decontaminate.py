@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from arbora.llm import decontaminate as dc
@@ -10,8 +11,12 @@ from arbora.llm import queries
 WORDS = [f"word{n}x" for n in range(500)]
 
 
-def _text(rng, n):
-    return " ".join(rng.choice(WORDS) for _ in range(n))
+# No two of these begin alike.
+APART = [f"{n:03d}0word" for n in range(500)]
+
+
+def _text(rng, n, words=WORDS):
+    return " ".join(rng.choice(words) for _ in range(n))
 
 
 @pytest.fixture(scope="module")
@@ -98,3 +103,52 @@ def test_edited_copies_of_an_item_with_many_copies(spark):
     got = dc.flag(spark.createDataFrame(docs, "doc_id BIGINT, text STRING"), spark.createDataFrame([(1, " ".join(item))], "item_id BIGINT, text STRING"))
     found = {r.doc_id for r in got.collect() if r.leaks}
     assert found == {*range(100), 300, *range(400, 469)}
+
+
+@pytest.mark.parametrize("gap", [0, 1, 5, 20, 40])
+def test_copies_next_to_each_other(gap):
+    rng = random.Random(gap)
+    item = _text(rng, 30, APART).split()
+    between = [f"filler{n}" for n in range(gap)]
+    words = _text(rng, 50, APART).split()
+    for _ in range(3):
+        words += [*item, *between]
+    seeds = dc.Seeds([(1, " ".join(item))])
+    rare = dc.rare_seeds(seeds, np.ones(len(seeds.codes), np.int64), 100)
+    found = dc.passages(seeds, rare, words + _text(rng, 50, APART).split(), dc.LEAST_SCORE)
+    assert [(f["first_word"], f["words"]) for f in found] == [(50 + k * (30 + gap), 30) for k in range(3)]
+
+
+def test_very_long_texts_and_repeated_rows(spark):
+    rng = random.Random(3)
+    item = _text(rng, 30, APART)
+    many = " ".join([item] * 1000)
+    long = " ".join([_text(rng, 300_000, APART), item, _text(rng, 200_000, APART), item])
+    docs = [(1, many), (2, long), (3, item), (3, item), (4, "word1x " * 300_000)]
+    got = dc.flag(spark.createDataFrame(docs, "doc_id BIGINT, text STRING"), spark.createDataFrame([(7, item)], "item_id BIGINT, text STRING"))
+    counts = sorted((r.doc_id, len(r.leaks)) for r in got.collect())
+    assert counts == [(1, 1000), (2, 2), (3, 1), (3, 1), (4, 0)]
+
+
+def test_every_third_word_changed():
+    rng = random.Random(9)
+    item = _text(rng, 45, APART).split()
+    for first in range(3):
+        copy = list(item)
+        copy[first::3] = [f"new{n}" for n in range(len(copy[first::3]))]
+        seeds = dc.Seeds([(1, " ".join(item))])
+        rare = dc.rare_seeds(seeds, np.ones(len(seeds.codes), np.int64), 100)
+        assert [f["item_id"] for f in dc.passages(seeds, rare, copy, 0.45)] == [1]
+
+
+def test_against_the_alignment_of_all_pairs(spark, sf):
+    docs = [(r.doc_id, dc.words_of(r.text)) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    items = [(r.item_id, dc.words_of(r.text)) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    wanted = set()
+    for doc, text in docs:
+        for item, words in items:
+            if len(words) >= dc.LEAST_WORDS and dc.align(words, text)[0] >= dc.LEAST_SCORE * dc.MATCH * len(words):
+                wanted.add((doc, item))
+    found = {(r.doc_id, r.item_id) for r in queries.op1_decontaminate(spark, sf).collect()}
+    print("recall", len(found & wanted) / len(wanted), len(wanted))
+    assert found <= wanted and len(found & wanted) >= 0.9 * len(wanted)
