@@ -4,8 +4,8 @@ Triples of words of the test items, in a row or with one word between, are looke
 up in every text.  How many texts
 hold each triple is counted first; a triple seeds an alignment if it is rare in
 the corpus or among the rarer half of its item's that occur.  A frequent one, be
-it a common phrase or part of an item with many copies, seeds as well if the
-words around it could reach the least score at all.  Around the seeds the item is
+it a common phrase or part of an item with many copies, seeds as well if its words
+are in a row and those around it could reach the least score at all.  Around the seeds the item is
 aligned with the text word by word, so copies with words changed, put in or left
 out still score.  Left and right of a copy the alignment goes on, and long runs of
 seeds are aligned window by window.
@@ -62,6 +62,8 @@ class Seeds:
         order = np.argsort(flat, kind="stable")
         self.codes, first = np.unique(flat[order], return_index=True)
         self.bounds, self.owner = np.append(first, len(flat)), owner[order]
+        gapped = [self.triples(c)[2] for c in coded]
+        self.gapped = np.concatenate(gapped)[order] if gapped else np.zeros(0, bool)
         self.words = coded
         self.known: dict[int, tuple[dict, dict]] = {}
 
@@ -81,8 +83,8 @@ class Seeds:
         get = self.number.get
         return np.array([get(w, 0) for w in words], np.uint64)
 
-    def triples(self, coded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """A number for each triple of known words, and where it begins."""
+    def triples(self, coded: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A number for each triple of known words, where it begins, and whether a word is between."""
         codes, places = [np.zeros(0, np.uint64)], [np.zeros(0, int)]
         for pattern in PATTERNS:
             n = len(coded) - pattern[-1]
@@ -93,11 +95,12 @@ class Seeds:
             code = (a[at] * np.uint64(0x9E3779B97F4A7C15) + b[at]) * np.uint64(0x9E3779B97F4A7C15) + c[at]
             codes.append(code * np.uint64(2 * pattern[-1] + 1))
             places.append(at)
-        return np.concatenate(codes), np.concatenate(places)
+        gapped = np.repeat([False, *(p != PATTERNS[0] for p in PATTERNS)][: len(codes)], [len(c) for c in codes])
+        return np.concatenate(codes), np.concatenate(places), gapped
 
     def hits(self, coded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of the text's triples that items have, and which."""
-        code, at = self.triples(coded)
+        code, at, _ = self.triples(coded)
         if not len(at) or not len(self.codes):
             return np.zeros(0, int), np.zeros(0, int)
         found = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
@@ -174,15 +177,15 @@ def passages(seeds: Seeds, rare: np.ndarray, words: list[str], least: float) ->
         return []
     counts = np.diff(seeds.bounds)[which]
     pairs = np.repeat(seeds.bounds[which], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    item, place, rare = seeds.owner[pairs], np.repeat(at, counts), rare[pairs]
+    item, place, rare, plain = seeds.owner[pairs], np.repeat(at, counts), rare[pairs], ~seeds.gapped[pairs]
     order = np.lexsort((place, item))
-    item, place, rare = item[order], place[order], rare[order]
+    item, place, rare, plain = item[order], place[order], rare[order], plain[order]
     out, covered = [], {}
     for key, low, high, passage in _runs(seeds, item[rare], place[rare], words, least):
         out.append(passage)
         covered.setdefault(key, []).append((low, high))
     # Frequent triples outside the surroundings of these passages.
-    other = np.flatnonzero(~rare)
+    other = np.flatnonzero(~rare & plain)
     able = np.zeros(len(other), bool)
     before, reached = -1, 0
     for n, (key, p) in enumerate(zip(item[other].tolist(), place[other].tolist(), strict=True)):
