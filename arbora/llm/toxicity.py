@@ -2,25 +2,32 @@
 
 Two strings are similar if they share subsequences of three letters; one that
 spans ``s`` letters counts ``DECAY ** (s - 3)``, up to ``SPAN`` letters, so an
-insult with letters put in between still matches.  Landmarks are words of the
-labelled texts; kernel values against them, whitened by the landmarks' own
-kernel matrix, are the features of a linear machine.  Because its decision is a
-weighted sum of kernel values, and those are sums over letter triples, the
-trained machine is one table of weights per triple: a word is scored exactly by
-adding up its triples.  A text is judged by its strongest words.
+insult with letters put in between still matches.  A labelled sentence is a bag
+of windows: its words, runs of single letters, and pieces of long words.  A clean
+sentence has clean windows only, a toxic one has some toxic windows.  The machine
+starts from the windows whose sentences are toxic more often than others, and is
+trained in rounds: it picks the strongest windows of each toxic sentence, is
+fitted to them against windows of clean sentences, and the clean windows that it
+takes for toxic are added.  Landmarks are drawn from both kinds of windows;
+kernel values against them, whitened by the landmarks' own kernel matrix, are the
+features of a linear machine.  Because its decision is a weighted sum of kernel
+values, and those are sums over letter triples, the trained machine is one table
+of weights per triple: a window is scored exactly by adding up its triples.  A
+text is judged by its strongest windows.
 """
 
 from __future__ import annotations
 
 import re
 import sys
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast, cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -29,12 +36,14 @@ from .common import free_name, small_batches
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SPAN, DECAY = 7, 0.6
-LETTERS = 63
-LANDMARKS = 128
-# Labelled texts that training uses at most, by hash order; clean words that it uses at most. Documented bounds.
+# Letters with a number of their own, the most frequent ones; the others share SHARED numbers.
+OWN, SHARED = 47, 16
+LANDMARKS, ROUNDS = 192, 3
+PENALTY = 1e-5
+# Labelled texts that training uses at most, by hash order; clean windows it starts from. Documented bounds.
 TRAIN_TEXTS, TRAIN_WORDS = 16_000, 12_000
-# A word is an example of toxic wording if it is this many deviations more frequent in toxic texts.
-TOXIC_DEVIATIONS, TOXIC_TEXTS = 6.0, 5
+# Windows of a toxic text that may be its toxic ones, and how many of them are taken to be; clean windows that a round adds per text.
+CANDIDATES, STRONGEST, HARDEST = 20, 3, 3
 WINDOW, STRIDE = 32, 24
 MEMO_WORDS = 300_000
 # Single characters with blanks between them, as in spelled-out words.
@@ -43,7 +52,7 @@ _SPELLED = re.compile(r"(?<!\S)(?:\S\s+){3,}\S(?!\S)")
 
 @dataclass
 class Model:
-    letters: dict[str, int]
+    letters: dict[str, int]  # numbers of the frequent letters, 1 to OWN
     table: np.ndarray  # weight per triple of letters, flat
     bias: float
     doc_weights: np.ndarray  # logistic regression over doc_features
@@ -66,20 +75,30 @@ def instances(text: str) -> set[str]:
     return words
 
 
+SIZE = OWN + SHARED + 1
+
+
+def _number(letter: str, letters: dict[str, int]) -> int:
+    """The number of a letter; letters without one of their own share some."""
+    return letters.get(letter) or (OWN + 1 + ord(letter) % SHARED if letter != "\0" else 0)
+
+
 def _coded(words: list[str], letters: dict[str, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Letter numbers of words of similar length: (positions, matrix)."""
+    """Letter numbers of words of similar length: (positions, matrix), 0 behind a word's end."""
     lengths = np.array([len(w) for w in words])
     order = np.argsort(lengths, kind="stable")
+    own = np.array(sorted(map(ord, letters)), np.uint32)
+    numbers = np.array([letters[chr(c)] for c in own], np.int32)
     for start in range(0, len(order), 4096):
         rows = order[start : start + 4096]
         width = max(int(lengths[rows].max()), 3)
         text = "".join([words[r].ljust(width, "\0") for r in rows])
-        flat = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        table = np.zeros(0x110000 if flat.size and flat.max() >= 0x3000 else 0x3000, np.int32)
-        for c, n in letters.items():
-            if ord(c) < len(table):
-                table[ord(c)] = n
-        yield rows, table[flat].reshape(len(rows), width)
+        flat = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        code = np.where(flat == 0, 0, OWN + 1 + flat % SHARED).astype(np.int32)
+        if len(own):
+            at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+            code = np.where(own[at] == flat, numbers[at], code)
+        yield rows, code.reshape(len(rows), width)
 
 
 def _steps() -> list[tuple[int, int, float]]:
@@ -88,7 +107,7 @@ def _steps() -> list[tuple[int, int, float]]:
 
 def triple_sums(words: list[str], letters: dict[str, int], table: np.ndarray) -> np.ndarray:
     """For each word the sum of ``table`` over its triples, weighted by their spans."""
-    size = len(letters) + 1
+    size = SIZE
     out = np.zeros(len(words))
     for rows, x in _coded(words, letters):
         width = x.shape[1]
@@ -103,13 +122,12 @@ def triple_sums(words: list[str], letters: dict[str, int], table: np.ndarray) ->
 
 def _triples(word: str, letters: dict[str, int]) -> np.ndarray:
     """The word's feature vector of unit length, as a flat table."""
-    size = len(letters) + 1
-    x = np.array([letters.get(c, 0) for c in word])
+    size = SIZE
+    x = np.array([_number(c, letters) for c in word])
     table = np.zeros((size, size, size), np.float32)
     for a, b, weight in _steps():
         if b < len(x):
             np.add.at(table, (x[: len(x) - b], x[a : len(x) - b + a], x[b:]), weight)
-    table[0], table[:, 0], table[:, :, 0] = 0, 0, 0  # other characters match nothing
     return table.reshape(-1) / max(np.sqrt(np.square(table).sum()), 1e-12)
 
 
@@ -222,15 +240,42 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def _landmarks(toxic: list[str], clean: list[str], count: int) -> list[str]:
-    """Most toxic words that differ from each other, then clean ones."""
-    return list(dict.fromkeys(toxic[: count * 3 // 4] + clean))[:count]
+def _hardest(shared: Broadcast):
+    """The windows of clean texts that the machine takes for toxic first, and how often."""
+
+    def hardest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = _Memo(Model(**shared.value))
+        found: Counter = Counter()
+        for batch in batches:
+            for text in batch.column(0):
+                words = instances(text.as_py())
+                memo.learn(words)
+                found.update(sorted(words, key=lambda w: (-memo[w], w))[:HARDEST])
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
+
+    return hardest
+
+
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``bag, word`` of every window of the texts."""
+    for batch in batches:
+        sets = [sorted(instances(text.as_py())) for text in batch.column(1)]
+        bags = np.repeat(batch.column(0).to_numpy(), [len(words) for words in sets])
+        yield pa.RecordBatch.from_arrays([pa.array(bags), pa.array([w for words in sets for w in words], pa.string())], names=["bag", "word"])
+
+
+def _drawn(windows: dict[str, int], count: int) -> list[str]:
+    """Windows in a random order, frequent ones rather first."""
+    names = sorted(windows)
+    weight = np.array([windows[w] for w in names], float)
+    order = np.argsort(np.random.default_rng(1).exponential(size=len(names)) / weight, kind="stable")
+    return [names[n] for n in order[:count]]
 
 
 def train(labelled: DataFrame, text: str = "text", label: str = "toxic", most_texts: int = TRAIN_TEXTS) -> Model | None:
     """Train on rows with text and label 0 or 1; at most ``most_texts`` of them, by the hash of the text.
 
-    None if one of the two labels has no text or no word sets them apart.
+    None only if one of the two labels has no text with a window.
     """
     spark = labelled.sparkSession
     small_batches(spark)
@@ -238,48 +283,57 @@ def train(labelled: DataFrame, text: str = "text", label: str = "toxic", most_te
     rows = rows.filter("text IS NOT NULL AND label IN (0, 1)")
     total = rows.count()
     place = F.shiftrightunsigned(F.xxhash64("text"), 11).cast("double") / float(1 << 53)
-    sample = materialize(rows.filter(place < min(1.0, most_texts / max(total, 1))).dropDuplicates(["text", "label"]), "labelled")
-    seen = {r.label: r.n for r in sample.df.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(seen) < 2:
+    sample = rows.filter(place < min(1.0, most_texts / max(total, 1))).dropDuplicates(["text", "label"])
+    sample = materialize(sample.withColumn("bag", F.monotonically_increasing_id()), "labelled").df
+    bags = {r.label: r.n for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(bags) < 2:
         return None
-    share = seen[1] / (seen[0] + seen[1])
-    counts = sample.df.mapInArrow(_words, "word STRING, clean BIGINT, toxic BIGINT").groupBy("word")
-    counts = materialize(counts.agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).filter(F.length("word") >= 3), "words").df
-    every = F.col("clean") + F.col("toxic")
-    deviations = (F.col("toxic") - every * share) / F.sqrt(every * share * (1 - share))
-    toxic = counts.withColumn("z", deviations).filter((F.col("z") >= TOXIC_DEVIATIONS) & (F.col("toxic") >= TOXIC_TEXTS))
-    toxic = [r.word for r in toxic.orderBy(F.desc("z"), "word").limit(TRAIN_WORDS).collect()]
-    clean = counts.filter((deviations <= 0.5) & (F.col("clean") > 0))
-    clean = [r.word for r in clean.orderBy(F.xxhash64("word")).limit(TRAIN_WORDS).collect()]
-    if not toxic or not clean:
+    counts = sample.select("text", "label").mapInArrow(_words, "word STRING, clean BIGINT, toxic BIGINT").groupBy("word")
+    counts = materialize(counts.agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "words").df
+    # How much more often a window's sentences are toxic than clean, as if it were in one more of each.
+    odds = F.log((F.col("toxic") + 1) / bags[1]) - F.log(F.col("clean") / bags[0] + 1 / bags[1])
+    toxic = sample.filter("label = 1").select("bag", "text").mapInArrow(_bags, "bag BIGINT, word STRING").join(counts.select("word", odds.alias("odds")), "word")
+    first = Window.partitionBy("bag").orderBy(F.desc("odds"), "word")
+    likely = toxic.withColumn("at", F.row_number().over(first)).filter(F.col("at") <= CANDIDATES).select("bag", "word", "odds").toPandas()
+    clean = counts.filter("clean > 0").orderBy(F.xxhash64("word"), "word").limit(TRAIN_WORDS).select("word", "clean").collect()
+    negative = {r.word: r.clean for r in clean}
+    if not len(likely) or not negative:
         return None
-    frequency: dict[str, int] = {}
-    for w in toxic + clean:
-        for c in w:
-            frequency[c] = frequency.get(c, 0) + 1
-    chosen = sorted((c for c in frequency if c.isalnum()), key=lambda c: (-frequency[c], c))[:LETTERS]
-    model = _fit_words(toxic, clean, {c: n + 1 for n, c in enumerate(chosen)})
-    measured = _measured(sample.df, model, "text", "found").select("label", "found.*").toPandas()
+    frequency: Counter = Counter(c for w in [*likely["word"], *negative] for c in w)
+    letters = {c: n + 1 for n, (c, _) in enumerate(sorted(frequency.items(), key=lambda f: (-f[1], f[0]))[:OWN])}
+    strength = likely["odds"].to_numpy()
+    for turn in range(ROUNDS):
+        order = likely.assign(strength=strength).sort_values(["bag", "strength", "word"], ascending=[True, False, True])
+        positive = Counter(order.groupby("bag").head(STRONGEST)["word"])
+        model = _fit_windows(positive, negative, letters)
+        if turn + 1 < ROUNDS:
+            strength = likely["odds"].to_numpy() + triple_sums(list(likely["word"]), letters, model.table) + model.bias
+            shared = spark.sparkContext.broadcast(vars(model))
+            hard = sample.filter("label = 0").select("text").mapInArrow(_hardest(shared), "word STRING, n BIGINT")
+            for r in hard.groupBy("word").agg(F.sum("n").alias("n")).collect():
+                negative[r.word] = negative.get(r.word, 0) + r.n
+    measured = _measured(sample.select("label", "text"), model, "text", "found").select("label", "found.*").toPandas()
     x = doc_features(*(measured[c].to_numpy(float) for c in ("strong", "second", "hits", "words")))
     model.doc_weights = _logistic(x, measured["label"].to_numpy(float))
     return model
 
 
-def _fit_words(toxic: list[str], clean: list[str], letters: dict[str, int]) -> Model:
-    landmarks = _landmarks(toxic, clean, LANDMARKS)
-    tables = [_triples(w, letters) for w in landmarks]
-    words = toxic + clean
-    y = np.array([1.0] * len(toxic) + [-1.0] * len(clean))
-    against = np.column_stack([triple_sums(words, letters, t) for t in tables])
-    own = np.array([t @ np.array(tables).T for t in tables])
+def _fit_windows(positive: dict[str, int], negative: dict[str, int], letters: dict[str, int]) -> Model:
+    """The machine that sets windows apart, each weighing as often as it came up; both kinds weigh the same."""
+    landmarks = list(dict.fromkeys(_drawn(positive, LANDMARKS // 2) + _drawn(negative, LANDMARKS // 2)))
+    tables = np.array([_triples(w, letters) for w in landmarks])
+    used = np.flatnonzero(tables.any(axis=0))
+    own = (tables[:, used] @ tables[:, used].T).astype(float)
     values, vectors = np.linalg.eigh((own + own.T) / 2)
-    good = values > 1e-6 * values.max()
+    good = values > 1e-6 * max(values.max(), 1e-12)
     whiten = (vectors[:, good] / np.sqrt(values[good])) @ vectors[:, good].T
+    words = [*positive, *negative]
+    y = np.array([1.0] * len(positive) + [-1.0] * len(negative))
+    against = np.column_stack([triple_sums(words, letters, t) for t in tables])
     x = np.column_stack([against @ whiten, np.ones(len(y))])
-    weight = np.where(y > 0, len(y) / (2 * len(toxic)), len(y) / (2 * len(clean))) / len(y)
-    w = _squared_hinge(x, y, weight)
-    alpha = whiten @ w[:-1]
-    table = sum(a * t for a, t in zip(alpha, tables, strict=True)).astype(np.float32)
+    weight = np.array([n / (2 * sum(side.values())) for side in (positive, negative) for n in side.values()])
+    w = _squared_hinge(x, y, weight, PENALTY)
+    table = (whiten @ w[:-1] @ tables).astype(np.float32)
     return Model(letters, table, float(w[-1]), np.zeros(5))
 
 
@@ -287,7 +341,8 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", name: str =
     """All columns plus ``toxicity``, 0 to 1; whole texts, however long.
 
     Null and empty texts get the score of a text without words.  Without a model
-    every score is 0.  A column of the name is replaced.
+    (labels of one kind only) nothing is known to be toxic, and every score is 0.
+    A column of the name is replaced.
     """
     kept = docs.drop(name)
     if model is None:

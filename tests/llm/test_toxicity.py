@@ -75,3 +75,41 @@ def test_query_on_held_out_labels(spark):
     held = [(got[i], t) for i, t in labels.items() if i in got and got[i].held_out and t is not None]
     assert sum(r.predicted == t for r, t in held) / len(held) > 0.9
     assert all(r.predicted == int(r.score >= 0.5) and 0 <= r.score <= 1 for r in got.values())
+
+
+def _held_out(spark, sf):
+    got = {r.doc_id: r for r in queries.op4_string_kernel_toxicity(spark, sf).collect()}
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    held = [(got[i].score, t) for i, t in labels.items() if i in got and got[i].held_out and t is not None]
+    return [s for s, t in held if t], [s for s, t in held if not t], {r.score for r in got.values()}
+
+
+def test_balanced_accuracy_on_held_out_labels(spark):
+    toxic, clean, scores = _held_out(spark, "/root/testdata/sf0.1")
+    recall, spared = sum(s >= 0.5 for s in toxic) / len(toxic), sum(s < 0.5 for s in clean) / len(clean)
+    print("recall", recall, "clean texts left alone", spared)
+    assert recall > 0.85 and spared > 0.97 and len(scores) > 1000
+
+
+def test_few_labels_give_a_model(spark, sf):
+    toxic, clean, scores = _held_out(spark, sf)
+    assert len(scores) > 100
+    assert sum(t > c for t in toxic for c in clean) > 0.8 * len(toxic) * len(clean)
+
+
+def test_second_script(spark):
+    """Letters beyond the frequent ones have a kernel as well."""
+    rng = random.Random(4)
+    letters = [chr(0x10D0 + n) for n in range(30)] + [chr(0x0561 + n) for n in range(30)] + list("abcdefghijklmnopqrstuvwxyz")
+    plain = ["".join(rng.choice(letters) for _ in range(6)) for _ in range(600)]
+    insults = ["\u10d0\u10d1\u10d2\u10d3\u10d4\u10d5\u10d6", "\u0561\u0562\u0563\u0564\u0565\u0566\u0567"]
+    rows = []
+    for n in range(400):
+        words = [rng.choice(plain) for _ in range(30)]
+        if n % 4 == 0:
+            words[rng.randrange(30)] = insults[n % 8 // 4]
+        rows.append((n, " ".join(words), int(n % 4 == 0)))
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id BIGINT, text STRING, toxic INT"))
+    words = [insults[0][:3] + "x" + insults[0][3:], insults[1], *plain[:50]]
+    strength = toxicity.triple_sums(words, model.letters, model.table) + model.bias
+    assert strength[:2].min() > 0 and (strength[2:] > strength[0]).mean() < 0.1 and strength[1] > strength[2:].max()
