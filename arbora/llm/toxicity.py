@@ -131,6 +131,28 @@ def _triples(word: str, letters: dict[str, int]) -> np.ndarray:
     return table.reshape(-1) / max(np.sqrt(np.square(table).sum()), 1e-12)
 
 
+def _sparse(word: str, letters: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    table = _triples(word, letters)
+    code = np.flatnonzero(table)
+    return code, table[code]
+
+
+def _against(words: list[str], letters: dict[str, int], used: np.ndarray, features: np.ndarray) -> np.ndarray:
+    """Kernel values of words against landmarks: sums of the landmarks' weights over the words' triples."""
+    at = np.full(SIZE**3, len(used), np.int32)
+    at[used] = np.arange(len(used))
+    out = np.zeros((len(words), len(features)))
+    for rows, x in _coded(words, letters):
+        width = x.shape[1]
+        for a, b, weight in _steps():
+            if b < width:
+                place = at[(x[:, : width - b] * SIZE + x[:, a : width - b + a]) * SIZE + x[:, b:]]
+                some = np.flatnonzero((place < len(used)).any(axis=1))
+                for n, landmark in enumerate(features):
+                    out[rows[some], n] += weight * landmark[place[some]].sum(axis=1)
+    return out
+
+
 def _squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-4) -> np.ndarray:
     """Linear machine by Newton steps on the squared hinge loss; the last column is the bias."""
     w = np.zeros(x.shape[1])
@@ -321,19 +343,24 @@ def train(labelled: DataFrame, text: str = "text", label: str = "toxic", most_te
 def _fit_windows(positive: dict[str, int], negative: dict[str, int], letters: dict[str, int]) -> Model:
     """The machine that sets windows apart, each weighing as often as it came up; both kinds weigh the same."""
     landmarks = list(dict.fromkeys(_drawn(positive, LANDMARKS // 2) + _drawn(negative, LANDMARKS // 2)))
-    tables = np.array([_triples(w, letters) for w in landmarks])
-    used = np.flatnonzero(tables.any(axis=0))
-    own = (tables[:, used] @ tables[:, used].T).astype(float)
+    found = [_sparse(w, letters) for w in landmarks]
+    used = np.unique(np.concatenate([code for code, _ in found]))
+    # the landmarks' weights of the triples that any of them has; the last column is that of all other triples
+    features = np.zeros((len(landmarks), len(used) + 1), np.float32)
+    for row, (code, weight) in zip(features, found, strict=True):
+        row[np.searchsorted(used, code)] = weight
+    own = (features @ features.T).astype(float)
     values, vectors = np.linalg.eigh((own + own.T) / 2)
     good = values > 1e-6 * max(values.max(), 1e-12)
     whiten = (vectors[:, good] / np.sqrt(values[good])) @ vectors[:, good].T
     words = [*positive, *negative]
     y = np.array([1.0] * len(positive) + [-1.0] * len(negative))
-    against = np.column_stack([triple_sums(words, letters, t) for t in tables])
+    against = _against(words, letters, used, features)
     x = np.column_stack([against @ whiten, np.ones(len(y))])
     weight = np.array([n / (2 * sum(side.values())) for side in (positive, negative) for n in side.values()])
     w = _squared_hinge(x, y, weight, PENALTY)
-    table = (whiten @ w[:-1] @ tables).astype(np.float32)
+    table = np.zeros(SIZE**3, np.float32)
+    table[used] = (whiten @ w[:-1] @ features)[:-1]
     return Model(letters, table, float(w[-1]), np.zeros(5))
 
 

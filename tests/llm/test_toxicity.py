@@ -113,3 +113,14 @@ def test_second_script(spark):
     words = [insults[0][:3] + "x" + insults[0][3:], insults[1], *plain[:50]]
     strength = toxicity.triple_sums(words, model.letters, model.table) + model.bias
     assert strength[:2].min() > 0 and (strength[2:] > strength[0]).mean() < 0.1 and strength[1] > strength[2:].max()
+
+
+def test_kernel_against_landmarks():
+    landmarks, words = ["idiot", "banana", "zz"], ["idxiot", "anana", "", "q", "thequickbrownfox"]
+    found = [toxicity._sparse(w, LETTERS) for w in landmarks]
+    used = np.unique(np.concatenate([c for c, _ in found]))
+    features = np.zeros((3, len(used) + 1), np.float32)
+    for row, (code, weight) in zip(features, found, strict=True):
+        row[np.searchsorted(used, code)] = weight
+    got = toxicity._against(words, LETTERS, used, features)
+    assert np.allclose(got[:, :2], [[_kernel(w, m) for m in landmarks[:2]] for w in words], atol=1e-4) and not got[:, 2].any()
