@@ -36,6 +36,8 @@ WINDOW = 6
 # A triple in at most this share of the texts, or this number of them, is rare.
 RARE, RARE_TEXTS = 1e-3, 20
 MATCH, ALIKE, MISMATCH, GAP = 2.0, 1.0, -1.0, -1.0
+# Words that are looked up together; a longer text is alone.
+WORDS_AT_ONCE = 100_000
 # Alignment score by that of the whole item from which a passage counts as a copy.
 LEAST_SCORE = 0.5
 # Bytes of items that one pass over the texts looks for; a larger benchmark takes several passes.
@@ -108,15 +110,41 @@ class Seeds:
         return at[same], found[same]
 
 
+def _in_texts(seeds: Seeds, texts: Iterator[str | None]) -> Iterator[tuple[list[list[str]], np.ndarray, np.ndarray, np.ndarray]]:
+    """Words of some texts at a time, and the items' triples in them: text, position, and which."""
+    get = seeds.number.get
+    held: list[list[str]] = []
+    flat: list[int] = []
+    starts: list[int] = []
+
+    def looked_up():
+        at, which = seeds.hits(np.array(flat, np.uint64))
+        text = np.searchsorted(starts, at, "right") - 1
+        order = np.argsort(text, kind="stable")
+        return held, text[order], (at - np.array(starts)[text])[order], which[order]
+
+    for body in texts:
+        words = words_of(body or "")
+        held.append(words)
+        starts.append(len(flat))
+        flat.extend([get(w, 0) for w in words])
+        flat.extend([0] * SEED_WORDS)  # no triple runs over a text's end
+        if len(flat) > WORDS_AT_ONCE:
+            yield looked_up()
+            held, flat, starts = [], [], []
+    if held:
+        yield looked_up()
+
+
 def _counted(shared: Broadcast):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds: Seeds = Seeds(shared.value)
         texts, total = np.zeros(len(seeds.codes), np.int64), 0
         for batch in batches:
-            for text in batch.column(0):
-                _, which = seeds.hits(seeds.coded(words_of(text.as_py() or "")))
-                texts[np.unique(which)] += 1
-                total += 1
+            for held, text, _, which in _in_texts(seeds, (t.as_py() for t in batch.column(0))):
+                once = np.unique(text * max(len(seeds.codes), 1) + which) % max(len(seeds.codes), 1)
+                texts += np.bincount(once, minlength=len(texts))
+                total += len(held)
         at = np.flatnonzero(texts)
         columns = [pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(texts[at], total))]
         yield pa.RecordBatch.from_arrays(columns, names=["seed", "n"])
@@ -171,8 +199,11 @@ def align(item: list[str], text: list[str]) -> tuple[float, int, int]:
 
 
 def passages(seeds: Seeds, rare: np.ndarray, words: list[str], least: float) -> list[dict]:
-    """Copies of items in one text: the best alignment around each run of seeds."""
-    at, which = seeds.hits(seeds.coded(words))
+    """Copies of items in one text: the best alignments around each run of seeds."""
+    return _passages(seeds, rare, words, *seeds.hits(seeds.coded(words)), least)
+
+
+def _passages(seeds: Seeds, rare: np.ndarray, words: list[str], at: np.ndarray, which: np.ndarray, least: float) -> list[dict]:
     if not len(at):
         return []
     counts = np.diff(seeds.bounds)[which]
@@ -261,10 +292,14 @@ def _found(shared: Broadcast, rare: Broadcast, least: float):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = Seeds(shared.value)
         for batch in batches:
-            found = [
-                (before or []) + passages(seeds, rare.value, words_of(text.as_py() or ""), least)
-                for text, before in zip(batch.columns[-2], batch.columns[-1].to_pylist(), strict=True)
-            ]
+            found = [before or [] for before in batch.columns[-1].to_pylist()]
+            row = 0
+            for held, text, at, which in _in_texts(seeds, (t.as_py() for t in batch.columns[-2])):
+                bounds = np.searchsorted(text, np.arange(len(held) + 1))
+                for n in np.unique(text).tolist():
+                    own = slice(bounds[n], bounds[n + 1])
+                    found[row + n] = found[row + n] + _passages(seeds, rare.value, held[n], at[own], which[own], least)
+                row += len(held)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(found, batch.schema.field(batch.num_columns - 1).type)], names=batch.schema.names
             )
