@@ -95,11 +95,15 @@ def person_orgs(links: DataFrame) -> DataFrame:
     )
 
 
+def attributes_survive(person_attr: DataFrame, index: DataFrame) -> bool:
+    """Whether new data leaves the attributes: there are none, or one of their persons still exists."""
+    people = index.filter("as_person").select(F.col("id").alias("person_id"))
+    return not person_attr.join(people, "person_id", "left_semi").isEmpty() or person_attr.isEmpty()
+
+
 def attributes_still_valid(person_attr: DataFrame, index: DataFrame) -> DataFrame:
     """After new data: all attributes stay if any of their persons still exists, else none."""
-    people = index.filter("as_person").select(F.col("id").alias("person_id"))
-    survivors = person_attr.join(people, "person_id", "left_semi")
-    return empty_like(person_attr) if survivors.isEmpty() else person_attr
+    return person_attr if attributes_survive(person_attr, index) else empty_like(person_attr)
 
 
 def person_projection(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from ..sources.graph import read_graph_tables, write_graph_tables
 from ..sources.slots import slots_of
 from ..streaming.drops import ingest_attribute_drops, read_attribute_store, read_attribute_types, read_category_registry
 from .explore import explore, load_attribute_files, new_attribute_store
+from .reload import Session, reload, save_session
 from .warehouse import HIDDEN_ROOTS, ROOT, Warehouse, ask, warehouse
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,6 +115,30 @@ def person_projection(w: Warehouse) -> DataFrame:
     return links.select("source", "target")
 
 
+def _reloaded(w: Warehouse, prefix: str) -> DataFrame:
+    """Save the session, reload it with all person ids behind a prefix, count the rows of its tables."""
+    base = scratch_path(w.spark, "session")
+    store = attributes.AttributeStore(w.person_attr, w.types, w.registry)
+    save_session(Session(w.graph, store, w.hidden, w.all_orgs), base)
+    persons, orgs, links = w.raw
+    renamed = persons.withColumn("id", F.when(F.col("id") == "", "").otherwise(F.concat(F.lit(prefix), "id")))
+    tables = reload(w.spark, base, renamed, orgs, links).tables
+    counts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n") for name, df in tables.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
+@query
+def reload_kept(w: Warehouse) -> DataFrame:
+    """The same data again: attributes stay, what is hidden and the scope start empty."""
+    return _reloaded(w, "")
+
+
+@query
+def reload_cleared(w: Warehouse) -> DataFrame:
+    """Other persons: attributes, their names and the registry are cleared, and links to persons fall away."""
+    return _reloaded(w, "other-")
+
+
 # --- adjacency and hierarchy
 
 
@@ -486,6 +512,12 @@ def _some_types(w: Warehouse) -> DataFrame:
     return attributes.toggle_attribute(w.types, "activity", "error")
 
 
+@query
+def toggle_all_attributes(w: Warehouse) -> DataFrame:
+    """All off, as some are on; then one on again."""
+    return attributes.toggle_attribute(attributes.toggle_all_attributes(_some_types(w)), "activity", "error").select("category", "attr", "active")
+
+
 @query
 def toggle_category(w: Warehouse) -> DataFrame:
     """A partly active category goes fully on, a fully active one goes off."""

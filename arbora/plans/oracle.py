@@ -302,6 +302,16 @@ FROM idx LEFT JOIN (SELECT person_id, count(*) AS n FROM shown {where} GROUP BY
 """
 
 
+def _reloaded(links: str, person_attr: str, types: str, registry: str) -> str:
+    """Rows of each table after a reload."""
+    tables = {
+        "nodes": "nodes", "index": "idx", "links": links, "org_parent": "org_parent", "email_index": "emails",
+        "person_attr": person_attr, "types": types, "registry": registry,
+        "hidden_by_root": "(SELECT 1 WHERE false)", "shown_roots": "(SELECT 1)", "allowed": "(SELECT 1 WHERE false)",
+    }
+    return " UNION ALL ".join(f"SELECT '{name}' AS name, count(*) AS n FROM {table} x" for name, table in tables.items())
+
+
 def _hash(text: str) -> str:
     units = f"list_transform(list_filter(string_split({text}, ''), lambda c: c <> ''), lambda c: CAST(unicode(c) AS BIGINT))"
     return f"list_reduce(list_prepend(CAST(0 AS BIGINT), {units}), lambda h, c: (h * 31 + c) & 4294967295)"
@@ -594,6 +604,9 @@ FROM named""",
             "FROM (SELECT * FROM levels UNION ALL SELECT id, -1 FROM idx WHERE type = 'org')"
         ),
         "attribute_stream": _ask("SELECT * FROM merged_attr", ATTRIBUTES, MERGED_ATTR),
+        "reload_kept": _ask(_reloaded("links", "person_attr", "types", "(SELECT DISTINCT category FROM lines)"), ATTRIBUTES),
+        "reload_cleared": _ask(_reloaded("(SELECT * FROM links WHERE kind = 'oo')", *["(SELECT 1 WHERE false)"] * 3), ATTRIBUTES),
+        "toggle_all_attributes": _ask("SELECT category, attr, category = 'activity' AND attr = 'error' AS active FROM types", ATTRIBUTES),
         "attribute_stream_types": _ask("SELECT category, attr, ordinal, true AS active FROM types", ATTRIBUTES),
         "attribute_stream_registry": _ask(
             "SELECT category, CASE category WHEN 'activity' THEN 'activity.tsv' WHEN 'orders' THEN 'orders.csv' "

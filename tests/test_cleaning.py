@@ -171,3 +171,40 @@ def test_small_functions(spark):
 def test_collation_is_not_byte_order(spark):
     df = spark.createDataFrame([("b",), ("B",), ("a",), ("ä",), ("Z",)], "t STRING")
     assert [r.t for r in df.orderBy(scalars.collate(F.col("t"))).collect()] == ["a", "ä", "b", "B", "Z"]
+
+
+def test_reload_in_one_step(spark, make_graph, tmp_path, monkeypatch):
+    """What a reload keeps and clears, and that a reader never sees half of one."""
+    from arbora.operators.attributes import AttributeStore
+    from arbora.operators.visibility import Hidden
+    from arbora.plans import reload as R
+    from arbora.schema import LINK_FIELDS, ORG_FIELDS, PERSON_FIELDS
+
+    graph = make_graph(["a", "b"], ["o"], [("a", "b"), ("b", "o")])
+    attrs = spark.createDataFrame([("a", "c", "x", "1", 0, 0, 0)], "person_id STRING, category STRING, attr STRING, value STRING, batch BIGINT, first_ord BIGINT, ord BIGINT")
+    types = spark.createDataFrame([("c", "x", 0, False)], "category STRING, attr STRING, ordinal BIGINT, active BOOLEAN")
+    registry = spark.createDataFrame([("c", "c.txt", None, "comma", False, True)], "category STRING, filename STRING, url STRING, format STRING, is_empty BOOLEAN, modified BOOLEAN")
+    hidden = Hidden(spark.createDataFrame([("a", "b")], "root_id STRING, node_id STRING"), spark.createDataFrame([("a",)], "root_id STRING"), True)
+    base = str(tmp_path / "session")
+    R.save_session(R.Session(graph, AttributeStore(attrs, types, registry), hidden, spark.createDataFrame([("o",)], "org_id STRING")), base)
+
+    def data(*ids):
+        persons = spark.createDataFrame([(i, None, None, False, n) for n, i in enumerate(ids)], PERSON_FIELDS)
+        return persons, spark.createDataFrame([("o", None, 0)], ORG_FIELDS), spark.createDataFrame([(i, "o", n) for n, i in enumerate(ids)], LINK_FIELDS)
+
+    kept = R.reload(spark, base, *data("a", "z"))
+    assert rows(kept.graph.index, "id") == ["a", "o", "z"] and rows(kept.attributes.types, "attr", "active") == [("x", False)]
+    assert rows(kept.hidden.by_root) == [] and rows(kept.allowed) == []
+    assert rows(kept.hidden.shown_roots) == ["a"] and kept.hidden.show_all
+
+    def lost(*_):
+        raise OSError("lost")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(R.Manifest, "write", lost)
+        with pytest.raises(OSError):
+            R.reload(spark, base, *data("q"))
+    assert rows(R.open_session(spark, base).graph.index, "id") == ["a", "o", "z"]
+    gone = R.reload(spark, base, *data("q"))
+    assert [rows(t) for t in (gone.attributes.person_attr, gone.attributes.types, gone.attributes.registry)] == [[], [], []]
+    assert rows(R.open_session(spark, base).graph.index, "id") == ["o", "q"]
