@@ -40,6 +40,8 @@ SPAN, DECAY = 7, 0.6
 OWN, SHARED = 47, 16
 LANDMARKS, ROUNDS = 192, 3
 PENALTY = 1e-5
+# Triples of windows that meet the landmarks at once.
+PAIRS_AT_ONCE = 1 << 16
 # Labelled texts that training uses at most, by hash order; clean windows it starts from. Documented bounds.
 TRAIN_TEXTS, TRAIN_WORDS = 16_000, 12_000
 # Windows of a toxic text that may be its toxic ones, and how many of them are taken to be; clean windows that a round adds per text.
@@ -141,15 +143,18 @@ def _against(words: list[str], letters: dict[str, int], used: np.ndarray, featur
     """Kernel values of words against landmarks: sums of the landmarks' weights over the words' triples."""
     at = np.full(SIZE**3, len(used), np.int32)
     at[used] = np.arange(len(used))
+    by_triple = np.ascontiguousarray(features.T)
     out = np.zeros((len(words), len(features)))
     for rows, x in _coded(words, letters):
         width = x.shape[1]
         for a, b, weight in _steps():
             if b < width:
                 place = at[(x[:, : width - b] * SIZE + x[:, a : width - b + a]) * SIZE + x[:, b:]]
-                some = np.flatnonzero((place < len(used)).any(axis=1))
-                for n, landmark in enumerate(features):
-                    out[rows[some], n] += weight * landmark[place[some]].sum(axis=1)
+                row, column = np.nonzero(place < len(used))
+                for part in range(0, len(row), PAIRS_AT_ONCE):
+                    own, last = row[part : part + PAIRS_AT_ONCE], column[part : part + PAIRS_AT_ONCE]
+                    some, first = np.unique(own, return_index=True)
+                    out[rows[some]] += weight * np.add.reduceat(by_triple[place[own, last]], first, axis=0)
     return out
 
 
