@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import sys
 import unicodedata
 import uuid
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +43,20 @@ TEXT_BYTES = 4 << 20
 _OLD = regex.compile(r"[^\x00-԰ -⁯₠-₿]")
 
 
+def _known_classes(pattern: str, alphabet: str) -> re.Pattern | None:
+    """The same pattern over an alphabet, its classes spelled out, for the standard engine.
+
+    None if the pattern has more to it than letters, numbers and blanks in brackets.
+    """
+    plain = pattern
+    for name in (r"\p{L}", r"\p{N}", r"\s"):
+        runs = regex.finditer(f"{name}+", alphabet)
+        members = "".join(f"\\u{ord(c):04x}" for m in runs for c in m[0])
+        plain = plain.replace(f"[{name}]", f"[{members}]").replace(f"[^{name}", f"[^{members}").replace(name, members)
+    rest = regex.sub(r"\\u[0-9a-f]{4}", "", plain)
+    return None if regex.search(r"[\\(){}?*.$&~-]", rest) else re.compile(plain)
+
+
 def _byte_letters() -> dict[int, str]:
     """The printable stand-in of each byte in the vocabulary."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -63,6 +79,9 @@ class Tokenizer:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         pattern = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(pattern["pattern"]["Regex"])
+        old = "".join(c for c in map(chr, range(0x10000)) if not _OLD.match(c))
+        self.ascii_words = _known_classes(pattern["pattern"]["Regex"], old[:128]) or self.words
+        self.old_words = _known_classes(pattern["pattern"]["Regex"], old) or self.words
         longest_first = sorted(self.special, key=len, reverse=True)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if longest_first else None
         self.letters = _byte_letters()
@@ -87,12 +106,13 @@ class Tokenizer:
         return self._plain(text)
 
     def _plain(self, text: str) -> list[str]:
-        if not text.isascii():
-            if _OLD.search(text):
-                return self._split_rare(text)
-            # One capital letter has a second small form at the end of words, which is not used here.
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return self.words.findall(text.lower())
+        if text.isascii():
+            return self.ascii_words.findall(text.lower())
+        if _OLD.search(text):
+            return self._split_rare(text)
+        # One capital letter has a second small form at the end of words, which is not used here.
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        return (self.words if _OLD.search(text) else self.old_words).findall(text)
 
     def merge(self, word: str) -> list[int]:
         """Ids of a word: always the pair of the lowest rank, the leftmost first."""
@@ -366,12 +386,14 @@ def _encode(path: str, name: str):
 
 def _decode(path: str):
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = _tokenizer(path).tokens
+        tokens = pa.array(_tokenizer(path).tokens, pa.large_binary())
+        blank = pa.scalar(b" ", pa.large_binary())
         for batch in batches:
-            texts = [b" ".join(map(tokens.__getitem__, np.frombuffer(b or b"", "<u4").tolist())) for b in batch.columns[-1].to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(texts, pa.binary())], names=batch.schema.names
-            )
+            ids = [b or b"" for b in batch.columns[-1].to_pylist()]
+            ends = np.cumsum([0, *map(len, ids)]) // 4
+            each = tokens.take(pa.array(np.frombuffer(b"".join(ids), "<u4")))
+            texts = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(ends), each), blank)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts.cast(pa.binary())], names=batch.schema.names)
 
     return decode
 

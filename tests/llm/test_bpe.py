@@ -76,3 +76,13 @@ def test_automaton_shares_suffixes(tmp_path):
 def test_null_ids_decode_to_nothing(spark):
     df = spark.createDataFrame([(1, None)], "doc_id BIGINT, ids BINARY")
     assert bytes(bpe.decode(df, PATH).select(F.col("decoded")).first()[0]) == b""
+
+
+def test_words_of_known_letters_are_found_by_the_standard_engine():
+    """Both engines cut alike; the quick one is there for ASCII and for the letters all versions agree on."""
+    tokenizer = bpe.Tokenizer(PATH)
+    assert tokenizer.ascii_words is not tokenizer.words and tokenizer.old_words is not tokenizer.words
+    alphabet = [c for c in map(chr, range(0x10000)) if not bpe._OLD.match(c)]
+    for members, quick in ((alphabet[:128], tokenizer.ascii_words), (alphabet, tokenizer.old_words)):
+        text = " ".join(a + b for a, b in zip(members, members[7:])) + " it's we'll 12 x\x1cy"
+        assert quick.findall(text) == tokenizer.words.findall(text)
