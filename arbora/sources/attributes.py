@@ -135,9 +135,13 @@ def _has_tab(line: Column) -> Column:
     return F.contains(line, F.lit("\t"))
 
 
-def _field(line: Column, tabbed: Column, number: int) -> Column:
-    parts = F.when(tabbed, F.split(line, "\t")).otherwise(F.split(line, ","))
-    return trimmed(F.get(parts, F.lit(number)))
+def _parts(line: Column, tabbed: Column) -> Column:
+    return F.when(tabbed, F.split(line, "\t")).otherwise(F.split(line, ","))
+
+
+def _field(parts: str, number: int) -> Column:
+    """A field of the column of split lines, so that a line is split once."""
+    return trimmed(F.get(F.col(parts), F.lit(number)))
 
 
 def _several_fields(line: Column, tabbed: Column) -> Column:
@@ -145,16 +149,18 @@ def _several_fields(line: Column, tabbed: Column) -> Column:
     return F.when(tabbed, _has_tab(line)).otherwise(F.contains(line, F.lit(",")))
 
 
-def line_fields(line: Column) -> tuple[Column, Column, Column]:
-    """Identifier, attribute and value of a line, all null if it is no valid one.
+def with_fields(lines: DataFrame) -> DataFrame:
+    """Add ``identifier, attr, value`` of each line, all null if it is no valid one.
 
     Each line picks its own separator: tab if it has one, else comma.  A missing
     value is "1", an empty one stays empty.
     """
+    line = F.col("line")
     tabbed = _has_tab(line)
     valid = not_blank(line) & _several_fields(line, tabbed)
-    fields = [_field(line, tabbed, 0), _field(line, tabbed, 1), F.coalesce(_field(line, tabbed, 2), F.lit("1"))]
-    return tuple(F.when(valid, f) for f in fields)
+    value = F.when(F.col("_parts").isNotNull(), F.coalesce(_field("_parts", 2), F.lit("1")))
+    fields = {"identifier": _field("_parts", 0), "attr": _field("_parts", 1), "value": value}
+    return lines.withColumn("_parts", F.when(valid, _parts(line, tabbed))).withColumns(fields).drop("_parts")
 
 
 def split_attribute_lines(lines: DataFrame) -> DataFrame:
@@ -165,26 +171,31 @@ def split_attribute_lines(lines: DataFrame) -> DataFrame:
     """
     line = F.col("line")
     tabbed = _has_tab(line)
-    return lines.filter(not_blank(line) & _several_fields(line, tabbed)).select(
+    valid = lines.filter(not_blank(line) & _several_fields(line, tabbed))
+    return valid.select("category", _parts(line, tabbed).alias("_parts"), "ord").select(
         "category",
-        _field(line, tabbed, 0).alias("identifier"),
-        _field(line, tabbed, 1).alias("attr"),
-        F.coalesce(_field(line, tabbed, 2), F.lit("1")).alias("value"),
+        _field("_parts", 0).alias("identifier"),
+        _field("_parts", 1).alias("attr"),
+        F.coalesce(_field("_parts", 2), F.lit("1")).alias("value"),
         "ord",
     )
 
 
 def split_attribute_lines_strict(lines: DataFrame) -> DataFrame:
-    """Variant with one separator per file, no empty names, and "1" for empty values."""
+    """Variant with one separator per file, no empty names, and "1" for empty values.
+
+    Separators, a row per category, go to the lines: most lines may be of one
+    category, so they are not shuffled by it.
+    """
     line, tabbed = F.col("line"), F.col("tabbed")
     full = lines.filter(not_blank(line))
     format_of = full.groupBy("category").agg(F.bool_or(_has_tab(line)).alias("tabbed"))
-    value = _field(line, tabbed, 2)
-    rows = full.join(format_of, "category").filter(_several_fields(line, tabbed))
-    rows = rows.select(
+    value = _field("_parts", 2)
+    rows = full.join(F.broadcast(format_of), "category").filter(_several_fields(line, tabbed))
+    rows = rows.select("category", _parts(line, tabbed).alias("_parts"), "ord").select(
         "category",
-        _field(line, tabbed, 0).alias("identifier"),
-        _field(line, tabbed, 1).alias("attr"),
+        _field("_parts", 0).alias("identifier"),
+        _field("_parts", 1).alias("attr"),
         F.when(has_text(value), value).otherwise("1").alias("value"),
         "ord",
     )
@@ -194,9 +205,11 @@ def split_attribute_lines_strict(lines: DataFrame) -> DataFrame:
 def parse_attribute_lines(lines: DataFrame, mode: str = "live") -> DataFrame:
     """One entry per category, identifier and attribute: last value, first position."""
     rows = split_attribute_lines(lines) if mode == "live" else split_attribute_lines_strict(lines)
-    return rows.groupBy("category", "identifier", "attr").agg(
+    # rows are sorted to be grouped, which is quick by identifiers and slow by the few categories
+    entries = rows.groupBy("identifier", "attr", "category").agg(
         F.max_by("value", "ord").alias("value"), F.min("ord").alias("ord")
     )
+    return entries.select("category", "identifier", "attr", "value", "ord")
 
 
 def attribute_names(entries: DataFrame) -> DataFrame:

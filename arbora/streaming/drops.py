@@ -1,7 +1,8 @@
 """Attribute files that arrive over time.
 
-The store keeps state by file: an entry per file, identifier and attribute, and
-a row per file, as mergeable figures (last value, first position, oldest part).
+The store keeps state by file: an entry per file, identifier and attribute, with
+null for the lines that are no entries, as mergeable figures (last value, first
+position, oldest part).  The rows of a file add up to what is known of the file.
 A micro-batch adds the pieces that it saw of each file, so it does not matter
 how the parts of a file, or files, are dealt over batches.  Which file is newer
 is told by its time, not by its batch.  A batch that runs again writes its own
@@ -21,24 +22,25 @@ from ..schema import PLACE
 from ..session import rows_of
 from ..sources.attributes import (
     category_from_file_name,
-    line_fields,
     listed_files,
     modified_millis,
     not_blank,
     source_path,
     text_lines,
+    with_fields,
     with_order,
 )
 from ..sources.slots import Manifest, Slots, slots_of
 
 # Which load is newer: ``batch`` is 0 for all drops, so what is set by hand later can be newer than any.
 LOAD = "STRUCT<batch: BIGINT, time: TIMESTAMP, file: STRING>"
-# Pieces of files: entries, and with a null identifier the file itself.
+# Pieces of files: entries, and with a null identifier the lines that are none.
 PIECES = (
     "category STRING, file STRING, identifier STRING, attr STRING, value STRING, "
     f"last {PLACE}, ord {PLACE}, time TIMESTAMP, tabbed BOOLEAN, filled BOOLEAN, persons ARRAY<STRING>"
 )
-PIECE_KEY = ["category", "file", "identifier", "attr"]
+# Rows are sorted to be grouped, which is quick by identifiers and slow by the few files.
+PIECE_KEY = ["identifier", "file", "category", "attr"]
 
 
 def merge_pieces(pieces: DataFrame) -> DataFrame:
@@ -55,22 +57,31 @@ def merge_pieces(pieces: DataFrame) -> DataFrame:
 
 
 def _pieces(graph: Graph, lines: DataFrame) -> DataFrame:
-    """The pieces of files in a batch of lines, in one pass over them; identifiers with the persons they mean."""
+    """The pieces of files in a batch of lines, in one pass over them; identifiers with the persons they mean.
+
+    A line is one row, as narrow as can be, since a task sorts what it reads.
+    """
     line = F.col("line")
-    identifier, attr, value = line_fields(line)
-    ends = [F.col("ord").alias("last"), F.col("ord").alias("ord")]
-    none = F.lit(None).cast("string")
-    file_row = F.struct(none.alias("identifier"), none.alias("attr"), none.alias("value"), *ends)
-    entry = F.struct(identifier.alias("identifier"), attr.alias("attr"), value.alias("value"), *ends)
-    rows = lines.select(
-        category_from_file_name(F.col("file")).alias("category"),
+    rows = with_fields(lines).select(
+        "identifier",
         "file",
-        F.inline(F.array_compact(F.array(file_row, F.when(identifier.isNotNull(), entry)))),
+        "attr",
+        "value",
+        "ord",
         "time",
         F.contains(line, F.lit("\t")).alias("tabbed"),
         not_blank(line).alias("filled"),
     )
-    merged = merge_pieces(rows.withColumn("persons", F.lit(None).cast("array<string>"))).drop("persons")
+    merged = rows.groupBy("identifier", "file", "attr").agg(
+        F.max_by("value", "ord").alias("value"),
+        F.max("ord").alias("last"),
+        F.min("ord").alias("ord"),
+        F.min("time").alias("time"),
+        F.bool_or("tabbed").alias("tabbed"),
+        F.bool_or("filled").alias("filled"),
+    )
+    merged = merged.withColumn("category", category_from_file_name(F.col("file")))
+    merged = merged.select("category", "file", "identifier", "attr", "value", "last", "ord", "time", "tabbed", "filled")
     people = graph.index.filter("type = 'person'").select(F.col("id").alias("lowered"), F.col("id").alias("by_id"))
     mails = graph.email_index.select(F.col("email").alias("lowered"), F.col("person_id").alias("by_mail"))
     known = merged.withColumn("lowered", F.lower("identifier")).join(people, "lowered", "left").join(mails, "lowered", "left")
@@ -102,7 +113,7 @@ class Drops:
     def add_empty(self, listed: DataFrame) -> None:
         """Remember the listed files (``raw, file``) of which no line was seen."""
         pieces, empty = self.state()
-        seen = pieces.read().filter("identifier IS NULL").select("file").distinct()
+        seen = pieces.read().select("file").distinct()
         void = listed.join(seen, "file", "left_anti").groupBy("file").agg(F.max("raw").alias("raw"))
         known = {f for f, _ in empty}
         new = [[r.file, int(modified_millis(self.spark, r.raw))] for r in void.collect() if r.file not in known]
@@ -110,10 +121,11 @@ class Drops:
             self.save(self.manifest.after(), pieces, empty + new)
 
     def rows(self, categories: list[str] | None) -> DataFrame:
+        """The pieces as they were added; ``merge_pieces`` makes them whole."""
         pieces, _ = self.state()
         if categories is None:
-            return merge_pieces(pieces.read())
-        return merge_pieces(pieces.read(slots_of(self.spark, categories)).filter(F.col("category").isin(categories)))
+            return pieces.read()
+        return pieces.read(slots_of(self.spark, categories)).filter(F.col("category").isin(categories))
 
 
 class Ingest:
@@ -155,13 +167,15 @@ def ingest_attribute_drops(
 def _files(rows: DataFrame) -> DataFrame:
     """``category, file, load, tabbed, filled`` of the files with content."""
     load = F.struct(F.lit(0).cast("bigint").alias("batch"), "time", "file").alias("load")
-    return rows.filter("identifier IS NULL").select("category", "file", load, "tabbed", "filled")
+    files = rows.groupBy("category", "file").agg(
+        F.min("time").alias("time"), F.bool_or("tabbed").alias("tabbed"), F.bool_or("filled").alias("filled")
+    )
+    return files.select("category", "file", load, "tabbed", "filled")
 
 
-def _entries(rows: DataFrame) -> DataFrame:
-    """Entries with the load they came in."""
-    load = _files(rows).select("file", "load")
-    return rows.filter("identifier IS NOT NULL").drop("time", "tabbed", "filled").join(load, "file")
+def _with_load(entries: DataFrame, rows: DataFrame) -> DataFrame:
+    """Entries with the load they came in, a row per file."""
+    return entries.join(F.broadcast(_files(rows).select("file", "load")), "file")
 
 
 def read_attribute_store(spark: SparkSession, store: str, categories: list[str] | None = None) -> DataFrame:
@@ -170,9 +184,12 @@ def read_attribute_store(spark: SparkSession, store: str, categories: list[str]
     If several identifiers of a file mean the same person, the one that came up
     last in it wins.  ``categories`` reads the slots of these only.
     """
-    entries = _entries(Drops(spark, store).rows(categories)).filter(F.size("persons") > 0)
-    first = F.min("ord").over(Window.partitionBy("category", "file", "identifier")).alias("first_ord")
-    hits = entries.select("category", "attr", "value", "load", "ord", first, F.explode("persons").alias("person_id"))
+    rows = Drops(spark, store).rows(categories)
+    # dealt out and sorted once, for the entries and for the first position of an identifier
+    dealt = rows.filter("identifier IS NOT NULL").repartition("identifier", "file", "category")
+    first = F.min("ord").over(Window.partitionBy("identifier", "file", "category")).alias("first_ord")
+    entries = merge_pieces(dealt).filter(F.size("persons") > 0).select("category", "file", "attr", "value", "ord", first, "persons")
+    hits = _with_load(entries, rows).select("category", "attr", "value", "load", "ord", "first_ord", F.explode("persons").alias("person_id"))
     rank = F.min(F.struct(F.col("load").alias("batch"), "first_ord", "ord")).alias("rank")
     newest = F.max_by("value", F.struct("load", "first_ord")).alias("value")
     return hits.groupBy(*ATTR_KEY).agg(newest, rank).select(*ATTR_KEY, "value", "rank.*")
@@ -180,8 +197,9 @@ def read_attribute_store(spark: SparkSession, store: str, categories: list[str]
 
 def read_attribute_types(spark: SparkSession, store: str) -> DataFrame:
     """``category, attr, ordinal, active`` as loading the files one by one numbers them."""
-    entries = _entries(Drops(spark, store).rows(None))
-    names = entries.groupBy("category", "attr", "load").agg(F.min("ord").alias("ord"))
+    rows = Drops(spark, store).rows(None)
+    first = rows.filter("identifier IS NOT NULL").groupBy("attr", "category", "file").agg(F.min("ord").alias("ord"))
+    names = _with_load(first, rows).select("category", "attr", "load", "ord")
     placed = dense_index(names, ["ord", "attr"], ("category", "load"), "place")
     return register_loads(rows_of(spark, [], TYPE_FIELDS), placed.select("category", "attr", "load", "place"))
 

@@ -366,3 +366,29 @@ def test_a_load_reads_only_the_slots_of_its_categories(spark, people, tmp_path):
     assert read and all(f"slot={touched}/" in f for f in read)
     assert ("p-1", "b", "newer") in rows(after.person_attr.filter("attr = 'x'"), "person_id", "category", "value")
     assert len(rows(after.person_attr)) == 8
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_of_a_category_are_not_gathered_and_entries_are_sorted_by_identifier(spark):
+    lines = spark.createDataFrame([("c", "p\ta\tv", 1), ("c", "q,a", 2)], "category STRING, line STRING, ord BIGINT")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        strict = S.parse_attribute_lines(lines, "strict")
+        assert "BroadcastHashJoin" in _plan(strict) and "SortMergeJoin" not in _plan(strict)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert rows(strict.drop("ord")) == [("c", "p", "a", "v")]
+    assert "SortAggregate(key=[identifier" in _plan(S.parse_attribute_lines(lines))
+
+
+def test_a_line_of_a_drop_is_one_row(make_graph, spark, tmp_path):
+    from arbora.streaming import drops
+
+    (tmp_path / "c.txt").write_text("p,a\np,a,2\nq,b\n")
+    lines = S.with_order(S.text_lines(spark.read.text(str(tmp_path))))
+    pieces = drops._pieces(make_graph(["p"], [], []), lines)
+    assert "Generate" not in _plan(pieces)
+    assert rows(pieces.select("category", "identifier", "attr", "value")) == [("c", "p", "a", "2"), ("c", "q", "b", "1")]
