@@ -54,7 +54,7 @@ def match_attributes(graph: Graph, entries: DataFrame, batch: Column | None = No
     hits = owners.filter("person_id IS NOT NULL")
     place = F.struct("first_ord", "ord")
     person_attr = (
-        entries.join(hits, ["category", "identifier"])
+        entries.join(hits, ["identifier", "category"])
         .groupBy(*ATTR_KEY)
         .agg(F.max_by("value", "first_ord").alias("value"), F.min(place).alias("place"))
         .select(*ATTR_KEY, "value", (batch if batch is not None else F.lit(0).cast("bigint")).alias("batch"), "place.*")
