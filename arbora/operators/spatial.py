@@ -292,6 +292,13 @@ def hulls_at_point(
         .select("id", "x", "y", F.explode(F.array(*map(F.lit, grids)).cast("array<int>")).alias("grid"))
         .withColumns({"cx": cell(F.col("x"), west), "cy": cell(F.col("y"), south)})
     )
+    # a point meets many hulls, so few scan tasks do not hold the work of all points
+    spread = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    located = located.repartition(spread, "id", "x", "y")
     hit = F.col("sides").isNull() | _inside(F.col("sides"), F.col("x"), F.col("y"))
     found = located.join(cells, ["grid", "cx", "cy"]).filter(hit).select("id", "org_id", "depth", "label")
-    return found.orderBy("id", F.desc("depth"), collate(F.col("label")), "org_id") if ordered else found
+    if not ordered:
+        return found
+    # written once: a sort by ranges reads its input twice
+    stored = materialize(found, "hulls-at-point").df
+    return stored.orderBy("id", F.desc("depth"), collate(F.col("label")), "org_id")

@@ -173,3 +173,15 @@ def test_pseudonyms(spark, make_graph):
     folded = dict(rows(pseudonym.pseudonymize_names(labels, names, "old")))
     assert folded == {"Zoe": "N0", "Al": "N1", "zoe ": "N0"}
     assert dict(rows(pseudonym.pseudonymize_names(labels, names))) == {"Zoe": "N0", "Al": "N1", "zoe ": "N0"}
+
+
+def test_points_are_dealt_out_before_they_meet_the_hulls(spark):
+    square = [(0.0, 0.0), (9.0, 0.0), (9.0, 9.0), (0.0, 9.0)]
+    hulls = spark.createDataFrame([("h", square)], f"root_id STRING, polygon {spatial.POINTS}")
+    about = spark.createDataFrame([("h", 1, "h")], "org_id STRING, depth BIGINT, label STRING")
+    where = spark.createDataFrame([("p", 1.0, 2.0)], "id STRING, x DOUBLE, y DOUBLE").coalesce(1)
+    found = [spatial.hulls_at_point(where, hulls, about, about, ordered) for ordered in (False, True)]
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in found]
+    assert "REPARTITION_BY_NUM" in plans[0]
+    assert "Join" not in plans[1]  # the sort reads what was found, twice, and does not find it again
+    assert [rows(df, "id", "org_id") for df in found] == [[("p", "h")]] * 2
