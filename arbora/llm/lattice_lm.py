@@ -49,20 +49,25 @@ class Pieces:
     initial: np.ndarray
     log_p: np.ndarray
     log_stop: float = float(np.log(0.4))
+    table: tuple[np.ndarray, np.ndarray, int] | None = None  # made once for a vocabulary
 
     def __post_init__(self):
         self.longest = max(map(len, self.text))
-        spelled = [t[1:] if i else t for t, i in zip(self.text, self.initial, strict=True)]
-        codes = np.array([_code(t, bool(i)) for t, i in zip(spelled, self.initial, strict=True)], np.uint64)
-        self.slots, self.at, self.probes = _hash_table(codes)
+        if self.table is None:
+            spelled = [t[1:] if i else t for t, i in zip(self.text, self.initial, strict=True)]
+            codes = np.array([_code(t, bool(i)) for t, i in zip(spelled, self.initial, strict=True)], np.uint64)
+            self.table = _hash_table(codes)
+        self.slots, self.at, self.probes = self.table
 
     def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of the codes that are pieces, and their pieces."""
         slot = (codes * MIX >> SHIFT).astype(np.int64)
         held = self.slots[slot]
-        rows = np.flatnonzero(held == codes)
+        # most slots are empty
+        met = np.flatnonzero(held)
+        hit = held[met] == codes[met]
+        rows, left = met[hit], met[~hit]
         found = [(rows, self.at[slot[rows]])]
-        left = np.flatnonzero((held != codes) & (held != 0))
         for probe in range(1, self.probes):
             if not len(left):
                 break
@@ -303,12 +308,12 @@ def fit_pieces(words: DataFrame, pieces: Pieces, rounds: int = ROUNDS) -> Pieces
         log_p = np.log(counts)
         for kind in (False, True):
             log_p[pieces.initial == kind] -= np.log(counts[pieces.initial == kind].sum())
-        pieces = Pieces(pieces.text, pieces.initial, log_p, float(np.log(total / (total + inner))))
+        pieces = Pieces(pieces.text, pieces.initial, log_p, float(np.log(total / (total + inner))), pieces.table)
     return pieces
 
 
 def _plain(pieces: Pieces) -> dict:
-    return {"text": pieces.text, "initial": pieces.initial, "log_p": pieces.log_p, "log_stop": pieces.log_stop}
+    return {"text": pieces.text, "initial": pieces.initial, "log_p": pieces.log_p, "log_stop": pieces.log_stop, "table": pieces.table}
 
 
 def _spelled(shared: Broadcast, n_train: int, n_words: int):

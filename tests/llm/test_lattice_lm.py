@@ -96,3 +96,10 @@ def test_query(spark, sf):
     got = queries.op5_lattice_lm(spark, sf).collect()
     assert len(got) == len(rows)
     _check(rows[:0] or rows, got[:40])
+
+
+def test_the_table_of_pieces_is_made_once():
+    pieces = lm.vocabulary_pieces(queries.vocabulary(queries.SUBWORDS)) if hasattr(queries, "SUBWORDS") else None
+    pieces = pieces or lm.Pieces([b" a", b"a", b"b"], np.array([True, False, False]), np.log(np.array([1.0, 0.5, 0.5])))
+    again = lm.Pieces(**lm._plain(pieces))
+    assert again.slots is pieces.slots and again.at is pieces.at and again.probes == pieces.probes
