@@ -166,8 +166,11 @@ def _squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: fl
     for _ in range(30):
         margin = 1 - y * (x @ w)
         on = margin > 0
-        grad = ridge @ w - x[on].T @ (weight[on] * y[on] * margin[on])
-        step = np.linalg.solve(ridge + (x[on] * weight[on, None]).T @ x[on], grad)
+        # one copy of the rows at a time and one that is weighted: this runs on the driver
+        rows = x[on]
+        grad = ridge @ w - rows.T @ (weight[on] * y[on] * margin[on])
+        step = np.linalg.solve(ridge + (rows * weight[on, None]).T @ rows, grad)
+        del rows
         w -= step
         if np.abs(step).max() < 1e-7:
             break
@@ -360,8 +363,9 @@ def _fit_windows(positive: dict[str, int], negative: dict[str, int], letters: di
     whiten = (vectors[:, good] / np.sqrt(values[good])) @ vectors[:, good].T
     words = [*positive, *negative]
     y = np.array([1.0] * len(positive) + [-1.0] * len(negative))
-    against = _against(words, letters, used, features)
-    x = np.column_stack([against @ whiten, np.ones(len(y))])
+    x = np.empty((len(y), len(whiten) + 1))
+    x[:, :-1] = _against(words, letters, used, features) @ whiten
+    x[:, -1] = 1.0
     weight = np.array([n / (2 * sum(side.values())) for side in (positive, negative) for n in side.values()])
     w = _squared_hinge(x, y, weight, PENALTY)
     table = np.zeros(SIZE**3, np.float32)
